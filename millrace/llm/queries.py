@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from . import media
+from . import media, packing, token_counts
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
-    return {"op7_media_columns": media.op7_media}
+    return {
+        "op1_best_fit_packing": packing.op1_packing,
+        "op2_token_counts": token_counts.op2_counts,
+        "op7_media_columns": media.op7_media,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
