@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from . import media, packing, token_counts
+from . import media, packing, quality_rules, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
     return {
         "op1_best_fit_packing": packing.op1_packing,
         "op2_token_counts": token_counts.op2_counts,
+        "op6_url_filter": url_filter.op6_urls,
         "op7_media_columns": media.op7_media,
+        "op9_quality_rules": quality_rules.op9_rules,
     }
 
 
