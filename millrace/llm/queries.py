@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from . import media, packing, quality_rules, token_counts, url_filter
+from . import media, near_dedup, packing, quality_rules, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
         "op2_token_counts": token_counts.op2_counts,
         "op6_url_filter": url_filter.op6_urls,
         "op7_media_columns": media.op7_media,
+        "op8_minhash_near_dedup": near_dedup.op8_near_dedup,
         "op9_quality_rules": quality_rules.op9_rules,
     }
 
