@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from . import media, near_dedup, packing, quality_rules, token_counts, url_filter
+from . import media, near_dedup, packing, quality_classifier, quality_rules, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
     return {
         "op1_best_fit_packing": packing.op1_packing,
         "op2_token_counts": token_counts.op2_counts,
+        "op3_quality_classifier": quality_classifier.op3_quality,
         "op6_url_filter": url_filter.op6_urls,
         "op7_media_columns": media.op7_media,
         "op8_minhash_near_dedup": near_dedup.op8_near_dedup,
