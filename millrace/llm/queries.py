@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from . import media, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
+from . import language_model, media, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
         "op1_best_fit_packing": packing.op1_packing,
         "op2_token_counts": token_counts.op2_counts,
         "op3_quality_classifier": quality_classifier.op3_quality,
+        "op4_lm_scoring": language_model.op4_scores,
         "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op6_url_filter": url_filter.op6_urls,
         "op7_media_columns": media.op7_media,
