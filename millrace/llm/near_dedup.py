@@ -220,5 +220,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents, one of each group of near duplicates; rows of one id stay if their texts differ."""
+    judged = near_duplicates(docs, shingle, similarity).where("doc_id IS NOT NULL")
+    kept = keep(judged.where("kept").groupBy("doc_id").count(), "kept")
+    stay = docs.join(kept.where("count = 1").select("doc_id"), "doc_id", "left_semi")
+    repeated = docs.join(kept.where("count > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return stay.unionByName(repeated).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+
+
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, similarity=0.85)

@@ -16,6 +16,7 @@ scored like any others; an empty table gives no row; further columns are ignored
 from __future__ import annotations
 
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_mod, slices, table
 
@@ -42,7 +44,8 @@ class _Buckets(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        self[word] = b = xxhash.xxh3_64_intdigest(word.encode()) & (1 << WORD_BITS) - 1
+        plain = word.strip(string.punctuation).lower()
+        self[word] = b = xxhash.xxh3_64_intdigest(plain.encode()) & (1 << WORD_BITS) - 1
         return b
 
 
@@ -119,55 +122,73 @@ def _inputs(docs: DataFrame, *carry: str) -> DataFrame:
     return docs.select(*carry, "text", n_chars.alias("n_chars"))
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[float, np.ndarray, np.ndarray] | None:
-    """Fit on labelled documents ``labels(doc_id, quality)``; None without both kinds of label."""
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    n = known.count()
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(n, train_rows))) < train_rows)
-    rows = _inputs(docs, "doc_id").join(F.broadcast(drawn), "doc_id").select("quality", "text", "n_chars")  # bounded by train_rows
+def train_classes(docs: DataFrame, labelled: DataFrame, n_classes: int, train_rows: int = TRAIN_ROWS) -> list:
+    """One model per class of ``labelled(doc_id, class)``, each against the rest; None for a class that all rows or none have."""
+    n = labelled.count()
+    drawn = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(n, train_rows))) < train_rows)
+    rows = _inputs(docs, "doc_id").join(F.broadcast(drawn), "doc_id").select("class", "text", "n_chars")  # bounded by train_rows
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             made = [features(t or "", c) for t, c in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
-            yield pa.record_batch([part.column(0).cast(pa.int32()), pa.array([i.tobytes() for i, _ in made], pa.binary()), pa.array([x.tobytes() for _, x in made], pa.binary())], names=["label", "i", "x"])
+            yield pa.record_batch([part.column(0).cast(pa.int32()), pa.array([i.tobytes() for i, _ in made], pa.binary()), pa.array([x.tobytes() for _, x in made], pa.binary())], names=["class", "i", "x"])
 
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["i", "x", "label"])  # so that the fit does not hang on the rows' order
-        y = (pdf.label.to_numpy() > 0).astype(np.float32)
+    def learn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["i", "x", "class"])  # so that the fit does not hang on the rows' order
+        y = (pdf["class"] == key[0]).to_numpy().astype(np.float32)
         if not 0 < y.mean() < 1:
-            return pd.DataFrame({"bias": [], "w": [], "v": []})
+            return pd.DataFrame({"class": [], "bias": [], "w": [], "v": []})
         made = [(np.frombuffer(i, np.int32), np.frombuffer(x, np.float32)) for i, x in zip(pdf.i, pdf.x, strict=True)]
         bias, w, v = fit(made, y)
-        return pd.DataFrame({"bias": [bias], "w": [w.tobytes()], "v": [v.tobytes()]})
+        return pd.DataFrame({"class": [key[0]], "bias": [bias], "w": [w.tobytes()], "v": [v.tobytes()]})
+
+    made = rows.mapInArrow(featurise, "class int, i binary, x binary")
+    wanted = F.array(*(F.lit(c) for c in range(n_classes))) if n_classes > 2 else F.array(F.lit(1))
+    got = made.withColumn("target", F.explode(wanted)).groupBy("target").applyInPandas(learn, "class int, bias double, w binary, v binary").collect()
+    by = {r["class"]: (r.bias, np.frombuffer(r.w, np.float32), np.frombuffer(r.v, np.float32).reshape(SIZE, FACTORS)) for r in got}
+    return [by.get(c) for c in range(n_classes)]
+
+
+def least_label(labels: DataFrame, column: str) -> DataFrame:
+    """One label per document: the least of those that are not null."""
+    return labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(column).alias(column))
+
 
-    made = rows.mapInArrow(featurise, "label int, i binary, x binary")
-    got = made.groupBy(F.lit(0).alias("all")).applyInPandas(learn, "bias double, w binary, v binary").collect()
-    if not got:
-        return None
-    return got[0].bias, np.frombuffer(got[0].w, np.float32), np.frombuffer(got[0].v, np.float32).reshape(SIZE, FACTORS)
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS):
+    """Fit on labelled documents ``labels(doc_id, quality)``; None without both kinds of label."""
+    known = least_label(labels, "quality").select("doc_id", (F.col("quality") > 0).cast("int").alias("class"))
+    return train_classes(docs, known, 2, train_rows)[1]
+
+
+def score_batch(part: pa.RecordBatch, models: list) -> list[np.ndarray]:
+    """Per model the scores of a batch with ``text`` and ``n_chars``; the features are made once."""
+    made = [features(t or "", c) for t, c in zip(part.column("text").to_pylist(), part.column("n_chars").to_pylist(), strict=True)]
+    starts = np.concatenate([[0], np.cumsum([len(i) for i, _ in made])[:-1]])
+    index, value = np.concatenate([i for i, _ in made]), np.concatenate([x for _, x in made])
+    return [logistic(bias + _sums(index, value, starts, w, v)[0]).astype(np.float64) for bias, w, v in models]
 
 
 def score(docs: DataFrame, model, *carry: str) -> DataFrame:
     """``carry`` columns and ``score`` of every document, 0 to 1."""
     inputs = _inputs(docs, *carry)
-    schema = inputs.select(*carry).schema.add("score", "double")
+    schema = T.StructType([*inputs.select(*carry).schema, T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            if shared.value is None:
-                out = np.full(part.num_rows, 0.5)
-            else:
-                bias, w, v = shared.value
-                made = [features(t or "", c) for t, c in zip(part.column("text").to_pylist(), part.column("n_chars").to_pylist(), strict=True)]
-                starts = np.concatenate([[0], np.cumsum([len(i) for i, _ in made])[:-1]])
-                raw, _ = _sums(np.concatenate([i for i, _ in made]), np.concatenate([x for _, x in made]), starts, w, v)
-                out = logistic(bias + raw)
-            yield pa.record_batch([*(part.column(c) for c in carry), pa.array(out.astype(np.float64))], names=[*carry, "score"])
+            out = np.full(part.num_rows, 0.5) if shared.value is None else score_batch(part, [shared.value])[0]
+            yield pa.record_batch([*(part.column(c) for c in carry), pa.array(out)], names=[*carry, "score"])
 
     return inputs.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents, in their own columns, that the classifier does not reject."""
+    model = train(docs, labels)
+    rows = docs.withColumn("_row", F.struct(*docs.columns))
+    return score(rows, model, "_row").where("score >= 0.5").select("_row.*")
+
+
 def op3_quality(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train(docs, labels.where(crc_mod("doc_id", 3) != 1))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from . import language_model, media, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
+from . import language_model, media, mixing, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
         "op7_media_columns": media.op7_media,
         "op8_minhash_near_dedup": near_dedup.op8_near_dedup,
         "op9_quality_rules": quality_rules.op9_rules,
+        "op10_source_mixing": mixing.op10_mixing,
     }
 
 

@@ -32,6 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import shuffle_partitions, table, text_or_empty
 
@@ -42,7 +43,6 @@ COMMON = 4096
 BLOCK_BYTES, SEGMENT = 4 << 20, 1 << 18
 NO_ID = np.iinfo(np.int64).max
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-SPANS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, span_starts array<long>, span_ends array<long>"
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -118,7 +118,7 @@ class _Block:
         raw = [t.as_buffer() if t.is_valid else b"" for t in group.column("raw")]
         raw = [np.frombuffer(r, np.uint8) if r is not None and len(r) else np.empty(0, np.uint8) for r in raw]
         order = sorted(range(len(ids)), key=lambda i: (ids[i], raw[i].tobytes()))
-        self.ids, self.raw = ids[order], [raw[i] for i in order]
+        self.order, self.ids, self.raw = order, ids[order], [raw[i] for i in order]
         made = [zones(r) for r in self.raw]
         self.anchor = np.concatenate([m[0] for m in made])
         self.first, self.last = (np.concatenate([m[k] for m in made]) for k in (1, 2))
@@ -147,9 +147,10 @@ class _Block:
         return place, least, np.array(uses, np.int64).reshape(-1, 4)
 
 
-def _texts_by_block(docs: DataFrame) -> DataFrame:
-    """Texts as bytes, dealt by hash into blocks of about BLOCK_BYTES."""
-    raw = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("binary").alias("raw"))
+def _texts_by_block(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """Texts as bytes, with the columns to carry as one, dealt by hash into blocks of about BLOCK_BYTES."""
+    row = F.struct(*carry) if carry else F.lit(None).cast("int")
+    raw = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("binary").alias("raw"), row.alias("row"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // BLOCK_BYTES))
     # a large document's hash differs with its text, so that rows of one id are not one block
@@ -165,11 +166,15 @@ def _bits(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """Every document with what is left of its bytes (``kept``) and the spans removed from it."""
+def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Every document with what is left of its bytes (``kept``) and the spans removed from it.
+
+    Columns named in ``carry`` come along as the fields of ``row``.
+    """
     spark = docs.sparkSession
     ranges = shuffle_partitions(spark)
-    texts = _texts_by_block(docs)
+    texts = _texts_by_block(docs, carry or [])
+    spans = T.StructType([*SPANS, texts.schema["row"]])
 
     def send_anchors(group: pa.Table) -> pa.Table:
         block = _Block(group)
@@ -230,8 +235,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([1] * len(rows), pa.int32()), "a": pa.array([r[1] for r in rows], pa.binary()), "b": pa.array([r[2] for r in rows], pa.binary())})
 
     def cut(group: pa.Table, told: pa.Table) -> pa.Table:
+        row = group.column("row").combine_chunks()
+        fields = pa.schema([*spans_schema, ("row", row.type)])
         if not group.num_rows:
-            return spans_schema.empty_table()
+            return fields.empty_table()
         block = _Block(group)
         place, least, uses = block.units(*shared_of(told))
         bits, least = np.zeros(len(place), np.int64), np.array(least, np.int64)
@@ -255,25 +262,48 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             turn = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
             kept = raw[~gone].tobytes()
             out.append((None if doc == NO_ID else doc, len(raw), int(gone.sum()), int((turn > 0).sum()), kept, hashlib.sha256(kept).hexdigest(), np.flatnonzero(turn > 0), np.flatnonzero(turn < 0)))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), spans_schema, strict=True)], schema=spans_schema)
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), spans_schema, strict=True)]
+        return pa.table([*columns, row.take(pa.array(block.order, pa.int64()))], schema=fields)
 
     anchors = texts.groupBy("block").applyInArrow(send_anchors, ANCHORS)
     shared = anchors.groupBy("range").applyInArrow(find_shared, SHARED)
     units = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_units, UNITS)
     verdicts = units.groupBy("meet").applyInArrow(compare, SHARED)
     told = shared.unionByName(verdicts)
-    return texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(cut, SPANS)
+    return texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(cut, spans)
 
 
 units_schema = pa.schema([("meet", pa.int32()), ("block", pa.int64()), ("unit", pa.int32()), ("least", pa.int64()), ("anchor", pa.int64()), ("raw", pa.binary())])
 spans_schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string()), ("span_starts", pa.list_(pa.int64())), ("span_ends", pa.list_(pa.int64()))])
 
 
+_KINDS = {pa.int64(): T.LongType(), pa.binary(): T.BinaryType(), pa.string(): T.StringType(), pa.list_(pa.int64()): T.ArrayType(T.LongType())}
+SPANS = [T.StructField(f.name, _KINDS[f.type]) for f in spans_schema]
+
+
 def _stable(place: dict) -> Iterator[tuple]:
     """Keys with a number in place of the window's bytes that every worker computes alike."""
     for cut, anchor, raw in place:
         yield cut, anchor, int.from_bytes(hashlib.blake2b(raw, digest_size=6).digest(), "little") if cut else raw
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with their texts cut, ``n_chars`` following if there is such a column.
+
+    Bytes of a character that a span's end cuts through go with it; a text of which nothing is left is empty.
+    """
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=["row", "left"])
+
+    others = [c for c in docs.columns if c != "text"]
+    cut = remove_repeats(docs, others).select("row", "kept")
+    decoded = cut.mapInArrow(decode, T.StructType([cut.schema["row"], T.StructField("left", T.StringType())]))
+    columns = {c: F.col("left") if c == "text" else F.length("left").cast("long") if c == "n_chars" else F.col("row").getField(c) for c in docs.columns}
+    return decoded.select(*(v.alias(c) for c, v in columns.items()))
+
+
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
