@@ -58,5 +58,5 @@ def classify_search(items: DataFrame, forbidden: tuple[str, ...]) -> DataFrame:
 def forbidden_links(documents: DataFrame, forbidden: tuple[str, ...]) -> DataFrame:
     """``(doc_id, target)``: forbidden addresses that a text holds, as they stand or in another spelling."""
     found = F.transform(F.regexp_extract_all("text", F.lit(f"({urls.ABSOLUTE_URL})"), 1), lambda u: urls.canonical_url(F.rtrim(u, F.lit(".,);]"))))
-    hits = [F.when(F.col("text").contains(u) | F.exists("_found", lambda x, u=u: x == urls.canonical_url(F.lit(u))), urls.display_url(F.lit(u))) for u in forbidden]
+    hits = [F.when(F.col("text").contains(u) | F.array_contains("_found", urls.canonical_url(F.lit(u))), urls.display_url(F.lit(u))) for u in forbidden]
     return documents.withColumn("_found", found).select("doc_id", F.explode(F.array_distinct(F.array_compact(F.array(*hits)))).alias("target"))

@@ -71,8 +71,8 @@ def line_findings(lines: DataFrame, phrases: tuple[str, ...] = (), detectors: tu
         for okay in (allowed or {}).get(name, ()):
             column = F.when(~F.regexp_extract(line, f"((?U){pattern})", 1).rlike(f"^(?:{okay})$"), column)
         found.append(_finding("sensitive_data_shape", name, column))
-    each = lines.select("path", "line_number", F.explode(F.array_compact(F.array(*found))).alias("f"))
-    return each.select("path", "line_number", "f.rule", "f.detector", F.col("f.column").cast("int").alias("column"))
+    each = lines.select("path", "line_number", F.explode(F.array_compact(F.array(*found)).cast("array<struct<rule:string,detector:string,column:int>>")).alias("f"))
+    return each.select("path", "line_number", "f.rule", "f.detector", "f.column")
 
 
 def with_evidence(findings: DataFrame) -> DataFrame:

@@ -103,11 +103,11 @@ def link_dedup_priority(spark, d):
 
 
 def link_classify(spark, d):
-    pages = _t(spark, d, "pages")
-    found = link_dedup_priority(spark, d).join(pages.select("page_id", "url"), "page_id")
-    paths = pages.select(F.ltrim(urls.part(F.col("url"), 5), F.lit("/")).alias("path"))
-    done = links.classify(found, F.lit("https://site.example.com/index.html"), ("site.example.com",), paths)
-    return done.groupBy("context", "classification").agg(F.count("*").alias("n"))
+    """A site whose files are what the even pages link to."""
+    found = link_dedup_priority(spark, d)
+    raw = links.href_links(_t(spark, d, "pages").where("page_id % 2 = 0"))
+    files = raw.select(F.concat(F.regexp_extract("raw", "^/([^?#]*)", 1), F.lit(".html")).alias("path"))
+    return links.classify(found, F.lit("https://site.example.com/index.html"), ("site.example.com",), files).select("page_id", "target", "classification", "fingerprint")
 
 
 def host_suffix_deny(spark, d):
@@ -254,6 +254,9 @@ ORACLES: dict[str, str] = {
     "html_hrefs_parsed": f"WITH {_SQL_HREFS} SELECT page_id, count(*) AS n_links FROM hrefs WHERE raw <> '' GROUP BY page_id",
     "link_first": f"WITH {_SQL_HREFS} SELECT page_id, min(position) AS position, raw FROM hrefs GROUP BY page_id, raw",
     "link_dedup_priority": f"WITH {_SQL_HREFS} SELECT DISTINCT page_id, trim(raw) AS target, 'navigation' AS context FROM hrefs WHERE raw <> ''",
+    "link_classify": f"""WITH {_SQL_HREFS}, files AS (SELECT DISTINCT regexp_extract(raw, '^/([^?#]*)', 1) AS f FROM hrefs WHERE page_id % 2 = 0), t AS (SELECT DISTINCT page_id, trim(raw) AS target FROM hrefs WHERE raw <> '')
+      SELECT page_id, target, CASE WHEN contains(target, '%') THEN 'invalid_link' WHEN regexp_extract(target, '^/([^?#]*)', 1) <> '' AND regexp_extract(target, '^/([^?#]*)', 1) IN (SELECT f FROM files) THEN 'internal-artifact-link' ELSE 'missing_internal_link_target' END AS classification,
+        sha256('https://site.example.com' || target) AS fingerprint FROM t""",
     "host_suffix_deny": f"SELECT page_id, lower(u.h) AS host FROM (SELECT page_id, {_SQL_URL} AS u FROM pages) WHERE " + " OR ".join(f"suffix(lower(u.h), '{s}')" for s in DENIED),
     "path_collision": """WITH names AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN list_aggregate(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ') ELSE p_name END AS path FROM part)
       SELECT path FROM names QUALIFY count(*) OVER (PARTITION BY lower(path)) > 1""",
