@@ -131,6 +131,12 @@ def parse_header(data: bytes, at: int) -> tuple[int, int, int, int, int] | None:
     return frame_bytes(kbits, hertz, b2 >> 1 & 1, v1), kbits, hertz, 1152 if v1 else 576, side
 
 
+def _checked(data: bytes, at: int, side: int) -> bool:
+    """Whether the frame at ``at`` has a checksum, and it holds."""
+    body = at + HEAD + CRC
+    return not data[at + 1] & 1 and crc16(data[at + 2 : at + 4] + data[body : body + side]) == int.from_bytes(data[body - 2 : body], "big")
+
+
 def _tags(data: bytes) -> tuple[dict[str, str], int, int]:
     """Fields of the tags, and where the audio begins and ends."""
     tags, begin, end = {}, 0, len(data)
@@ -162,18 +168,16 @@ def parse_stream(data: bytes) -> dict:
     while at + 4 <= end:
         head = parse_header(data, at)
         after = at + head[0] if head else 0
-        # a header counts if its frame ends at the end of the audio or at another header
-        if not head or after > end or after != end and not parse_header(data, after):
+        # a header counts if its checksum holds, or its frame ends at the end of the audio or at another header
+        if not head or after > end or not (after == end or parse_header(data, after) or _checked(data, at, head[4])):
             following = data.find(b"\xff", at + 1, end)
             skipped += (following if following >= 0 else end) - at
             at = following if following >= 0 else end
             continue
         size, kbits, hertz, count, side = head
-        body = at + HEAD
-        if not data[at + 1] & 1:
-            body += CRC
-            bad += crc16(data[at + 2 : at + 4] + data[body : body + side]) != int.from_bytes(data[body - 2 : body], "big")
-        main = body + side
+        guarded = not data[at + 1] & 1
+        bad += guarded and not _checked(data, at, side)
+        main = at + HEAD + CRC * guarded + side
         offsets.append(at)
         rates.append(kbits)
         samples += count
