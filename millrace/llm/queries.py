@@ -24,5 +24,46 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
     }
 
 
+_NEAR = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+  g AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) END) AS s FROM w),
+  n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+  c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)),
+  e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+  r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+  SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, k.c AS component_id, d.doc_id = k.c AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) k ON k.a = d.doc_id"""
+
+_RULE_SQL = {
+    "symbols_per_word": "n_symbols / n_words", "duplicate_lines": "CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END", "repeated_words": "n_repeat_words / n_words",
+    "capitals": "capitals / word_chars", "exclamations_per_word": "exclamations / n_words", "mean_word_length": "word_chars / n_words",
+}
+
+
+def _rules_sql() -> str:
+    """Base counts, the certified cutoffs by the exact tail, and the verdict."""
+    pairs = [(r, c) for r, cs in quality_rules.RULES.items() for c in cs]
+    tests = ", ".join(f"('{r}', {c})" for r, c in pairs)
+    p = quality_rules.RISK / len(quality_rules.RULES)
+    value = "CASE rule " + " ".join(f"WHEN '{r}' THEN {_RULE_SQL[r]}" for r in quality_rules.RULES) + " END"
+    return f"""WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS x FROM documents),
+  b AS (SELECT doc_id, lang, x, list_filter(string_split_regex(x, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws, list_filter(string_split(x, chr(10)), lambda s: regexp_matches(s, '[^\\x20\\x09-\\x0D]')) AS ls FROM t),
+  win AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM b)),
+  twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+  rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) r(k) GROUP BY 1),
+  s AS (SELECT doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+      CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(x, '[^A-Z]', '', 'g')) AS capitals, length(regexp_replace(x, '[^!]', '', 'g')) AS exclamations
+      FROM b LEFT JOIN rep USING (doc_id)),
+  f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s),
+  good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY 1 HAVING min(quality) = 1),
+  held AS (SELECT f.* FROM f WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)),
+  grid(rule, cutoff) AS (VALUES {tests}),
+  counts AS (SELECT lang, rule, cutoff, count(*) AS n, count(*) FILTER (WHERE {value} > cutoff) AS k FROM held, grid GROUP BY ALL),
+  sure AS (SELECT lang, rule, cutoff FROM counts WHERE k <= n * {p} AND list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) <= {quality_rules.DELTA} / (SELECT count(*) FROM counts)),
+  best AS (SELECT lang, rule, min(cutoff) AS cutoff FROM sure GROUP BY ALL),
+  broken AS (SELECT DISTINCT f.doc_id FROM f JOIN best ON f.lang IS NOT DISTINCT FROM best.lang WHERE NOT base_failed AND {value} > cutoff)
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM broken) AS kept FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the operators that SQL can express; the others are tested against brute force."""
+    return {"op8_minhash_near_dedup": _NEAR, "op9_quality_rules": _rules_sql()}
