@@ -33,7 +33,6 @@ from .common import keep, slices, table
 DOMAINS = ("clean", "toxic", "junk")
 TARGETS = {"clean": 0.96, "toxic": 0.02, "junk": 0.02}
 STEPS, PULL, ENOUGH, DUST = 40, 1e-3, 1e-4, 32
-_WORDS = qc._WORDS
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -58,7 +57,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, *carry: str) -> DataFrame:
                 p /= p.sum(1, keepdims=True)
             else:
                 p[:, 0] = 1
-            n = [len(_WORDS.findall(t or "")) for t in part.column("text").to_pylist()]
+            n = [len((t or "").split()) for t in part.column("text").to_pylist()]
             yield pa.record_batch([*(part.column(c) for c in carry), pa.array(n, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], names=[*carry, "n_tokens", "posterior"])
 
     return inputs.mapInArrow(run, schema)

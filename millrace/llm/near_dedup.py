@@ -11,8 +11,12 @@ their sketch ``need`` follows from the similarity and nothing can be missed; for
 ``(similarity - SLACK) * k``, six standard deviations below the expected overlap at the bound.
 
 Links are found in rounds so that no list is expanded into all its pairs.  In the first round each
-class meets only its neighbour in each of its lists; the confirmed links are contracted to components.
-The second round joins, within each list, only classes whose components still differ.
+class meets only its neighbour and the earliest document in each of its lists; the confirmed links are
+contracted to components.  Later rounds join, within a list, only classes whose components still differ.
+Lists that are long even so hold many classes that are alike but not similar enough, which sketches cannot
+tell apart.  These classes alone are listed anew by their whole sets: rarest shingles first, as many as
+the similarity leaves open, and two meet only if what follows in both lists can still be overlap enough.
+That prefix and that bound are exact, so nothing is missed there either.
 
 Defined cases: a null or empty text (or one without words) has an empty set and links with nothing; fewer
 words than a shingle make one shingle; documents with a null id stand alone with a null component; rows
@@ -36,6 +40,8 @@ from .common import keep, slices, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 K, SLACK, COMMON = 64, 0.3, 32
+#: Members of a list from which on their whole sets are compared by exact prefixes.
+LONG = 32
 _BREAKS = re.compile(r"[\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -116,14 +122,22 @@ def _ratio(similarity: float) -> tuple[int, int]:
     return round(similarity * 1000), 1000
 
 
-def exact_links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Of the pairs ``(a, b)`` of classes, those whose whole sets are similar; sets are built for these classes alone."""
-    num, den = _ratio(similarity)
+def whole_sets(wanted: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """``(cls, own)``: the whole sets of the classes in ``wanted(cls)``, made from one text each."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            own = [shingle_set(t.as_py() or "", shingle).view(np.int64) for t in part.column(1)]
-            yield pa.record_batch([pa.array([set_class(o.view(np.uint64)) for o in own], pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["cls", "own"])
+            own = [shingle_set(t.as_py() or "", shingle) for t in part.column(1)]
+            yield pa.record_batch([pa.array([set_class(o) for o in own], pa.int64()), pa.array([o.view(np.int64) for o in own], pa.list_(pa.int64()))], names=["cls", "own"])
+
+    docs = wanted.distinct().join(classes.select("cls", "rep"), "cls").select(F.col("rep").alias("doc_id")).distinct()
+    made = texts.join(docs, "doc_id", "left_semi").mapInArrow(run, "cls long, own array<long>")
+    return made.groupBy("cls").agg(F.first("own").alias("own"))
+
+
+def exact_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs ``(a, b)`` of classes, those whose whole sets are similar."""
+    num, den = _ratio(similarity)
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 256):
@@ -134,12 +148,52 @@ def exact_links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle:
                 yes.append(den * both >= num * (len(x) + len(y) - both))
             yield part.select([0, 1]).filter(pa.array(yes, pa.bool_()))
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "rep"), "cls").select(F.col("rep").alias("doc_id")).distinct()
-    own = texts.join(asked, "doc_id", "left_semi").mapInArrow(sets, "cls long, own array<long>").groupBy("cls").agg(F.first("own").alias("own"))
-    first, second = own.select(F.col("cls").alias("a"), F.col("own").alias("x")), own.select(F.col("cls").alias("b"), F.col("own").alias("y"))
+    first, second = sets.select(F.col("cls").alias("a"), F.col("own").alias("x")), sets.select(F.col("cls").alias("b"), F.col("own").alias("y"))
     return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a").union(pairs.select("b")).toDF("cls")
+
+
+def first_meetings(lists: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: every class of ``lists(v, cls, n, rep)`` with its neighbour by size and the earliest of each list."""
+    num, den = _ratio(similarity)
+    # common values are dealt out by salt; later rounds join what that keeps apart
+    neighbours = Window.partitionBy("v", F.pmod(F.hash("cls"), F.lit(16))).orderBy("n", "cls")
+    chain = lists.select("cls", "n", F.lead("cls").over(neighbours).alias("other"), F.lead("n").over(neighbours).alias("m"))
+    hubs = lists.groupBy("v").agg(F.min_by(F.struct("cls", "n"), "rep").alias("h"))
+    star = lists.join(hubs, "v").select("cls", "n", F.col("h.cls").alias("other"), F.col("h.n").alias("m"))
+    met = chain.unionByName(star).where((F.col("cls") != F.col("other")) & (den * F.col("n") >= num * F.col("m")) & (den * F.col("m") >= num * F.col("n")))
+    return met.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
+
+
+def apart(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """``lists`` with components, only those lists that hold several."""
+    placed = lists.join(found, "cls")
+    mixed = placed.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("long")).where("lo <> hi").select("v", "long")
+    return placed.join(mixed, "v")
+
+
+def crossings(lists: DataFrame, similarity: float, feasible: Column | None = None) -> DataFrame:
+    """``(a, b)``: classes of one list whose components differ and whose sizes allow a link."""
+    num, den = _ratio(similarity)
+    on = (F.col("x.v") == F.col("y.v")) & (F.col("x.component") < F.col("y.component")) & (den * F.col("x.n") >= num * F.col("y.n")) & (den * F.col("y.n") >= num * F.col("x.n"))
+    both = lists.alias("x").join(lists.alias("y"), on if feasible is None else on & feasible)
+    return both.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+
+
+def rare_first(sets: DataFrame, similarity: float) -> DataFrame:
+    """``(v, cls, n, rest)``: the exact prefix of every set, rarest shingles first; ``rest`` counts from there to the end."""
+    num, den = _ratio(similarity)
+    each = sets.select("cls", F.size("own").alias("n"), F.explode("own").alias("v"))
+    often = each.groupBy("v").agg(F.count("*").alias("count")).where("count > 1")
+    ranked = each.join(often, "v", "left").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(1)).alias("count"), "v"))).alias("rs"))
+    length = F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1
+    prefix = ranked.select("cls", "n", F.posexplode(F.slice("rs", F.lit(1), length)).alias("p", "r"))
+    return prefix.where("r.count > 1").select(F.col("r.v").alias("v"), "cls", "n", (F.col("n") - F.col("p")).alias("rest"))
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``(cls, component)`` for every node ``cls``; the component is named by one of its nodes.
 
@@ -177,41 +231,39 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     classes = known.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = keep(classes, "classes")
 
-    values = classes.select("cls", "n", F.explode("sketch").alias("v"))
+    values = classes.select("cls", "n", "rep", F.explode("sketch").alias("v"))
     common = keep(values.groupBy("v").count().where(F.col("count") > COMMON), "common")
-    ranked = values.join(common, "v", "left").select("cls", "n", F.struct(F.coalesce("count", F.lit(0)).alias("count"), "v").alias("r"))
-    prefix = ranked.groupBy("cls", "n").agg(F.sort_array(F.collect_list("r")).alias("rs"))
+    ranked = values.join(common, "v", "left").select("cls", "n", "rep", F.struct(F.coalesce("count", F.lit(0)).alias("count"), "v").alias("r"))
+    prefix = ranked.groupBy("cls", "n", "rep").agg(F.sort_array(F.collect_list("r")).alias("rs"))
     size = F.least("n", F.lit(k)) - overlap_needed(F.col("n"), k, similarity) + 1
-    lists = prefix.select("cls", "n", F.explode(F.transform(F.slice("rs", F.lit(1), size.cast("int")), lambda r: r["v"])).alias("v"))
+    lists = prefix.select("cls", "n", "rep", F.explode(F.transform(F.slice("rs", F.lit(1), size.cast("int")), lambda r: r["v"])).alias("v"))
     shared = lists.groupBy("v").count().where("count > 1").select("v")
     lists = keep(lists.join(shared, "v", "left_semi"), "lists")
 
-    num, den = _ratio(similarity)
     sketch_of = classes.select("cls", "sketch")
-    floor = similarity - 0.25
 
     def estimated(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs whose union sketch does not rule them out."""
-        pairs = pairs.distinct().join(sketch_of.withColumnsRenamed({"cls": "a", "sketch": "s"}), "a").join(sketch_of.withColumnsRenamed({"cls": "b", "sketch": "t"}), "b")
-        return pairs.where(union_estimate(F.col("s"), F.col("t"), k) >= floor).select("a", "b")
+        """Pairs whose union sketch does not rule them out."""
+        pairs = pairs.join(sketch_of.withColumnsRenamed({"cls": "a", "sketch": "s"}), "a").join(sketch_of.withColumnsRenamed({"cls": "b", "sketch": "t"}), "b")
+        return keep(pairs.where(union_estimate(F.col("s"), F.col("t"), k) >= similarity - 0.25).select("a", "b"), "estimated")
 
-    # lists of common values are dealt out by salt; the second round joins what that keeps apart
-    neighbours = Window.partitionBy("v", F.pmod(F.hash("cls"), F.lit(16))).orderBy("n", "cls")
-    chain = lists.withColumns({"b": F.lead("cls").over(neighbours), "m": F.lead("n").over(neighbours)})
-    chain = chain.where(F.col("b").isNotNull() & (den * F.col("n") >= num * F.col("m"))).select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b"))
-    links = keep(exact_links(keep(estimated(chain), "chain"), classes, texts, shingle, similarity), "links")
     nodes = classes.select("cls")
-    found = keep(components(nodes, links), "found")
-
-    placed = keep(lists.join(found, "cls"), "placed")
-    mixed = placed.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("v")
-    open_lists = keep(placed.join(mixed, "v", "left_semi"), "open")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    apart = (F.col("x.v") == F.col("y.v")) & (F.col("x.component") < F.col("y.component"))
-    sized = (den * F.col("x.n") >= num * F.col("y.n")) & (den * F.col("y.n") >= num * F.col("x.n"))
-    more = x.join(y, apart & sized).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
-    late = keep(exact_links(keep(estimated(more), "apart"), classes, texts, shingle, similarity), "late")
-    final = keep(components(nodes, links.union(late)), "final")
+    met = estimated(first_meetings(lists, similarity))
+    links = keep(exact_links(met, whole_sets(_ends(met), classes, texts, shingle), similarity), "links")
+    open_lists = keep(apart(lists, components(nodes, links)), "open")
+
+    short = estimated(crossings(open_lists.where(F.col("long") <= LONG), similarity))
+    links = keep(links.union(exact_links(short, whole_sets(_ends(short), classes, texts, shingle), similarity)), "links")
+
+    # what long lists hold, by whole sets
+    sets = keep(whole_sets(open_lists.where(F.col("long") > LONG).select("cls"), classes, texts, shingle), "sets")
+    listed = keep(rare_first(sets, similarity).join(classes.select("cls", "rep"), "cls"), "rare")
+    num, den = _ratio(similarity)
+    enough = F.least("x.rest", "y.rest") * (den + num) >= num * (F.col("x.n") + F.col("y.n"))
+    links = keep(links.union(exact_links(first_meetings(listed, similarity), sets, similarity)), "links")
+    late = crossings(keep(apart(listed, components(nodes, links)), "open"), similarity, enough)
+    links = keep(links.union(exact_links(late, sets, similarity)), "links")
+    final = keep(components(nodes, links), "final")
 
     members = keep(known.select("doc_id", "n_shingles", "cls").join(final, "cls", "left"), "members")
     least = members.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("first_id"))

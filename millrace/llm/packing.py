@@ -35,6 +35,8 @@ CAPACITY, END_ID = 1024, 2
 SHARD_PIECES, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2048, 3, 2, 8, 5
 #: A sequence filled less than this is packed again in the next round.
 WELL_FILLED, ROUNDS = 0.998, 3
+#: Islands that one task evolves, about.
+TASK_ISLANDS = 16
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -146,8 +148,11 @@ def evolve(sizes: list[int], immigrants: list[np.ndarray], seed: int, capacity:
     return out
 
 
-def evolve_islands(shards: DataFrame, capacity: int) -> DataFrame:
-    """``(shard, lengths)`` to ``(shard, elite)``: the best packing that any island found."""
+def evolve_islands(shards: DataFrame, capacity: int, n_shards: int) -> DataFrame:
+    """``(shard, lengths)`` to ``(shard, elite)``: the best packing that any island found.
+
+    Rows are few bytes and much work, so their number of tasks is set, not left to their size.
+    """
 
     def epoch(number: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,13 +169,13 @@ def evolve_islands(shards: DataFrame, capacity: int) -> DataFrame:
 
     schema = "shard long, island int, lengths array<int>, elites array<binary>, score int"
     state = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "lengths", F.array().cast("array<binary>").alias("elites"))
-    state = state.repartition("shard", "island")
+    n_tasks = -(-n_shards * ISLANDS // TASK_ISLANDS)
+    state = state.repartition(n_tasks, "shard", "island")
     for number in range(EPOCHS):
-        state = state.select("shard", "island", "lengths", "elites").mapInPandas(epoch(number), schema)
+        state = keep(state.select("shard", "island", "lengths", "elites").mapInPandas(epoch(number), schema), "islands")
         if number + 1 < EPOCHS:  # the elite of each island also goes to the next one
             moved = state.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("elites").alias("arrived"))
-            state = keep(state, "islands") if number else state
-            state = state.join(moved, ["shard", "island"]).withColumn("elites", F.concat("elites", "arrived"))
+            state = state.join(moved, ["shard", "island"]).withColumn("elites", F.concat("elites", "arrived")).repartition(n_tasks, "shard", "island")
     return state.groupBy("shard").agg(F.max_by(F.element_at("elites", 1), "score").alias("elite"))
 
 
@@ -180,7 +185,7 @@ def _pack_round(pieces: DataFrame, capacity: int, seed: int, n_pieces: int) -> D
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("row_no", F.lit(seed)), F.lit(n_shards)))
     row = F.struct("length", "row_no", "doc_id", "piece", "start", "ids_crc32")
     shards = keep(dealt.groupBy("shard").agg(F.sort_array(F.collect_list(row)).alias("rows")), "shards")
-    best = evolve_islands(shards.select("shard", F.transform("rows", lambda r: r["length"].cast("int")).alias("lengths")), capacity)
+    best = evolve_islands(shards.select("shard", F.transform("rows", lambda r: r["length"].cast("int")).alias("lengths")), capacity, n_shards)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

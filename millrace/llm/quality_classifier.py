@@ -15,9 +15,7 @@ scored like any others; an empty table gives no row; further columns are ignored
 
 from __future__ import annotations
 
-import re
 import string
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +31,9 @@ from .common import crc_mod, slices, table
 TRAIN_ROWS = 12_000
 WORD_BITS, FACTORS, BINS = 15, 8, 16
 EPOCHS, BATCH, RATE, RIDGE = 5, 64, 0.05, 1e-5
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-_SYMBOL = re.compile(r"[#*$%&|<>!?@~^_={}\[\]\\/+]")
-_UPPER, _DIGIT = re.compile("[A-Z]"), re.compile("[0-9]")
-N_STATISTICS = 11
+# Bytes that statistics count the share of.
+_SYMBOLS, _DIGITS, _CAPITALS = b"#*$%&|<>!?@~^_={}[]\\/+", string.digits.encode(), string.ascii_uppercase.encode()
+N_STATISTICS = 12
 SIZE = (1 << WORD_BITS) + N_STATISTICS * BINS
 
 
@@ -52,27 +49,29 @@ class _Buckets(dict):
 _BUCKETS = _Buckets()
 
 
-def statistics(text: str, words: list[str], n_chars: int | None) -> list[int]:
-    """The bin of every structure statistic, shares on a root scale and sizes on a log scale."""
-    n, chars = max(1, len(words)), max(1, len(text))
-    lines = [s for s in text.split("\n") if s.strip()]
-    share = lambda a, b: min(BINS - 1, int(BINS * (min(1.0, a / max(1, b))) ** 0.5))
-    log = lambda x: min(BINS - 1, int(np.log2(x + 1)))
-    counts = Counter(words)
+def statistics(text: str, words: list[str], counts: np.ndarray, n_chars: int | None) -> list[int]:
+    """The bin of every structure statistic, shares on a root scale and sizes on a log scale.
+
+    ``counts`` are of the words' buckets.
+    """
+    n, chars, raw = max(1, len(words)), max(1, len(text)), text.encode()
+    lines = [s for s in text.split("\n") if s and not s.isspace()]
+    share = lambda a, b: min(BINS - 1, int(BINS * min(1.0, a / max(1, b)) ** 0.5))
+    log = lambda x: min(BINS - 1, int(x + 1).bit_length() - 1)
+    of = lambda kind: share(len(raw) - len(raw.translate(None, kind)), chars)
     return [
-        log(len(words)), min(BINS - 1, sum(map(len, words)) // n), share(len(_SYMBOL.findall(text)), chars), share(len(_DIGIT.findall(text)), chars),
-        share(len(_UPPER.findall(text)), chars), share(len(counts), n), share(max(counts.values(), default=0), n), share(len(lines) - len(set(lines)), len(lines)),
-        log(chars / max(1, len(lines))), share(sum(len(w) == 1 for w in words), n), 0 if n_chars is None else max(1, log(max(0, n_chars))),
+        log(len(words)), min(BINS - 1, (chars - len(words)) // n), of(_SYMBOLS), of(_DIGITS), of(_CAPITALS), share(len(counts), n), share(int(counts.max(initial=0)), n),
+        share(len(lines) - len(set(lines)), len(lines)), log(chars // max(1, len(lines))), share(raw.count(b"|"), n), share(sum(map((1).__eq__, map(len, words))), n), 0 if n_chars is None else max(1, log(max(0, n_chars))),
     ]
 
 
 def features(text: str, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values of the features of one text."""
-    words = _WORDS.findall(text)
+    words = text.split()
     index, count = np.unique(np.fromiter(map(_BUCKETS.__getitem__, words), np.int32, len(words)), return_counts=True)
     value = np.log1p(count).astype(np.float32)
     value /= max(1.0, float(np.sqrt((value**2).sum())))
-    bins = np.arange(N_STATISTICS, dtype=np.int32) * BINS + np.array(statistics(text, words, n_chars), np.int32) + (1 << WORD_BITS)
+    bins = np.arange(N_STATISTICS, dtype=np.int32) * BINS + np.array(statistics(text, words, count, n_chars), np.int32) + (1 << WORD_BITS)
     return np.concatenate([index, bins]), np.concatenate([value, np.full(N_STATISTICS, 0.5, np.float32)])
 
 

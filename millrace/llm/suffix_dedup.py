@@ -7,14 +7,16 @@ documents and hash range; the answer is which of them are shared.
 
 Around shared anchors, a zone is the run of windows with that anchor.  Within a block equal zones are one
 unit with its least document, so a string copied a million times costs a row per block.  Units meet by
-anchor, and there a suffix array of their bytes is refined to depth ``LENGTH``: initial buckets of
-q-grams, then each bucket is sorted on the bucket identifiers at the offset it has reached, and the
-identifiers made so are the pointers of the next, twice as deep, refinement.  Suffixes left in one bucket
-share ``LENGTH`` bytes; each bucket's least document keeps them.  Units of anchors that are too common to
-meet in one task are cut into single windows and meet by the window's own hash.
+anchor as hashes first: a unit that an earlier document has elsewhere goes whole, and one whose anchor has
+no other surroundings is done.  Only of the others the bytes travel, once per distinct zone.  Where they
+meet, a suffix array of them is refined to depth ``LENGTH``: initial buckets of q-grams, then each bucket
+is sorted on the bucket identifiers at the offset it has reached, and the identifiers made so are the
+pointers of the next, twice as deep, refinement.  Suffixes left in one bucket share ``LENGTH`` bytes; each
+bucket's least document keeps them.  Units of anchors with very many surroundings are cut into single
+windows and meet by the window's own hash, so no anchor fills a task.
 
-A bit per window goes back to the block, which cuts the bytes.  Only distinct anchors, zones near a
-repeat and these answers are shuffled, besides the texts, once.
+A bit per window goes back to the block, which cuts the bytes.  Only anchors, units near a repeat and
+these answers are shuffled, besides the texts, once.
 
 Defined cases: a null or empty text has no bytes; texts shorter than ``LENGTH`` lose nothing; rows that
 repeat an id do not make each other's bytes removable; rows with a null id come after all others and lose
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +41,7 @@ from .common import shuffle_partitions, table, text_or_empty
 
 LENGTH, GRAM = 50, 24
 WIDTH = LENGTH - GRAM + 1
-#: Blocks that hold an anchor with differing surroundings, from which on its zones are cut into windows.
+#: Distinct surroundings of an anchor from which on they are cut into windows.
 COMMON = 4096
 BLOCK_BYTES, SEGMENT = 4 << 20, 1 << 18
 NO_ID = np.iinfo(np.int64).max
@@ -124,27 +127,45 @@ class _Block:
         self.first, self.last = (np.concatenate([m[k] for m in made]) for k in (1, 2))
         self.owner = np.repeat(np.arange(len(made)), [len(m[0]) for m in made])
 
-    def shared(self, anchors: np.ndarray) -> np.ndarray:
-        if not len(anchors):
-            return np.zeros(len(self.anchor), bool)
-        at = np.minimum(np.searchsorted(anchors, self.anchor), len(anchors) - 1)
-        return anchors[at] == self.anchor
-
-    def units(self, shared: np.ndarray, common: np.ndarray) -> tuple[dict[tuple, int], list, np.ndarray]:
-        """Distinct (anchor or window, bytes) with the place in order, least document; and the unit of each zone or window."""
-        pick = np.flatnonzero(self.shared(shared))
-        single = np.isin(self.anchor[pick], common)
-        place, least, uses = {}, [], []
-        for z, cut in zip(pick.tolist(), single.tolist(), strict=True):
-            d, first, last = int(self.owner[z]), int(self.first[z]), int(self.last[z])
-            raw, anchor = self.raw[d], int(self.anchor[z])
-            for a, b in [(s, s) for s in range(first, last + 1)] if cut else [(first, last)]:
-                key = (cut, anchor, raw[a : b + LENGTH].tobytes())
-                u = place.setdefault(key, len(place))
-                if u == len(least):
-                    least.append(self.ids[d])
-                uses.append((u, d, a, b))
-        return place, least, np.array(uses, np.int64).reshape(-1, 4)
+        self.key, self.of_zone = np.unique(self.anchor, return_inverse=True)
+
+    def units(self, told: dict) -> None:
+        """The zones at shared anchors (``pick``), and the distinct (anchor, bytes) among them with their least document."""
+        cuts = _bounds(self.key, told["ranges"])
+        flags = np.concatenate([np.unpackbits(told[0][r], count=b - a) if b > a else np.empty(0, np.uint8) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+        self.pick = np.flatnonzero(flags[self.of_zone])
+        spans = zip(self.owner[self.pick].tolist(), self.first[self.pick].tolist(), self.last[self.pick].tolist(), strict=True)
+        content = np.fromiter((xxhash.xxh3_64_intdigest(self.raw[d][a : b + LENGTH]) for d, a, b in spans), np.uint64, len(self.pick))
+        order = np.lexsort((content, self.anchor[self.pick]))
+        anchor, content = self.anchor[self.pick][order], content[order]
+        new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])]) if len(order) else np.empty(0, bool)
+        self.unit = np.empty(len(order), np.int64)
+        self.unit[order] = np.cumsum(new) - 1
+        self.unit_anchor, self.unit_content = anchor[new], content[new]
+        self.unit_zone = self.pick[order][new]
+        self.least = np.full(len(self.unit_anchor), NO_ID)
+        np.minimum.at(self.least, self.unit, self.ids[self.owner[self.pick]])
+
+    def classes(self, told: dict) -> np.ndarray:
+        """What was answered on each unit: 1 an earlier document has it, 2 its bytes are asked for, 3 so as windows."""
+        cuts = _bounds(self.unit_anchor, told["ranges"])
+        return np.concatenate([told[1][r] if b > a else np.empty(0, np.uint8) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+
+
+def _bounds(key: np.ndarray, ranges: int) -> list[int]:
+    """Where sorted hashes are cut into equal ranges of values."""
+    return [*np.searchsorted(key, np.array([(r << 64) // ranges for r in range(ranges)], np.uint64)).tolist(), len(key)]
+
+
+def _six(a: np.ndarray) -> bytes:
+    """The upper 48 bits of hashes, in six bytes each."""
+    return (a >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _of_six(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
 
 
 def _texts_by_block(docs: DataFrame, carry: list[str]) -> DataFrame:
@@ -158,14 +179,33 @@ def _texts_by_block(docs: DataFrame, carry: list[str]) -> DataFrame:
 
 
 ANCHORS = "range int, block long, hashes binary, several binary"
-SHARED = "block long, kind int, a binary, b binary"
-UNITS = "meet int, block long, unit int, least long, anchor long, raw binary"
+ZONES = "range int, block long, anchors binary, contents binary, least binary"
+TOLD = "block long, kind int, range int, a binary, b binary"
+UNITS = "meet int, block long, unit int, shift int, least long, raw binary"
+units_schema = pa.schema([("meet", pa.int32()), ("block", pa.int64()), ("unit", pa.int32()), ("shift", pa.int32()), ("least", pa.int64()), ("raw", pa.binary())])
+told_schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("range", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+zones_schema = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("anchors", pa.binary()), ("contents", pa.binary()), ("least", pa.binary())])
 
 
 def _bits(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 
 
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+def _told(rows: pa.Table, ranges: int) -> dict:
+    """Answers by kind and range; those on windows (kind 2) as a list."""
+    out = {"ranges": ranges, 0: {}, 1: {}, 2: []}
+    for kind, r, a, b in zip(*(rows.column(c).to_pylist() for c in ("kind", "range", "a", "b")), strict=True):
+        if kind == 2:
+            out[2].append((np.frombuffer(a, "<i4"), np.frombuffer(b, "<i8")))
+        else:
+            out[kind][r] = np.frombuffer(a, np.uint8)
+    return out
+
+
 def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Every document with what is left of its bytes (``kept``) and the spans removed from it.
 
@@ -173,46 +213,67 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
     """
     spark = docs.sparkSession
     ranges = shuffle_partitions(spark)
+    meets = 8 * ranges
     texts = _texts_by_block(docs, carry or [])
     spans = T.StructType([*SPANS, texts.schema["row"]])
 
     def send_anchors(group: pa.Table) -> pa.Table:
         block = _Block(group)
-        key, own = np.unique(block.anchor, return_inverse=True)
-        lowest, highest = np.full(len(key), NO_ID), np.full(len(key), np.iinfo(np.int64).min)
+        lowest, highest = np.full(len(block.key), NO_ID), np.full(len(block.key), np.iinfo(np.int64).min)
         ids = block.ids[block.owner]
-        np.minimum.at(lowest, own, ids)
-        np.maximum.at(highest, own, ids)
-        bounds = np.searchsorted(key, [np.uint64(((1 << 64) * r // ranges)) for r in range(ranges)]).tolist() + [len(key)]
-        rows = [(r, key[a:b].tobytes(), _bits(lowest[a:b] != highest[a:b])) for r, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
-        number = group.column("block")[0].as_py()
-        return pa.table({"range": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([number] * len(rows), pa.int64()), "hashes": pa.array([r[1] for r in rows], pa.binary()), "several": pa.array([r[2] for r in rows], pa.binary())})
+        np.minimum.at(lowest, block.of_zone, ids)
+        np.maximum.at(highest, block.of_zone, ids)
+        cuts, number = _bounds(block.key, ranges), group.column("block")[0].as_py()
+        rows = [(r, number, _six(block.key[a:b]), _bits(lowest[a:b] != highest[a:b])) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+        return _rows(rows, pa.schema([("range", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("several", pa.binary())]))
 
     def find_shared(group: pa.Table) -> pa.Table:
-        lists = [np.frombuffer(h, np.uint64) for h in group.column("hashes").to_pylist()]
+        lists = [_of_six(h) for h in group.column("hashes").to_pylist()]
         several = [np.unpackbits(np.frombuffer(s, np.uint8), count=len(h)) for s, h in zip(group.column("several").to_pylist(), lists, strict=True)]
         key, count = np.unique(np.concatenate(lists), return_counts=True)
         count[np.searchsorted(key, np.concatenate([h[s > 0] for h, s in zip(lists, several, strict=True)]))] += 1
-        answers = []
-        for h in lists:
-            n = count[np.searchsorted(key, h)]
-            answers.append((h[n > 1].tobytes(), h[n > COMMON].tobytes()))
-        a, b = zip(*answers, strict=True)
-        return pa.table({"block": group.column("block"), "kind": pa.array([0] * len(lists), pa.int32()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        r = group.column("range")[0].as_py()
+        return _rows([(n, 0, r, _bits(count[np.searchsorted(key, h)] > 1), None) for n, h in zip(group.column("block").to_pylist(), lists, strict=True)], told_schema)
 
-    def shared_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        own = [(a, b) for kind, a, b in zip(*(rows.column(c).to_pylist() for c in ("kind", "a", "b")), strict=True) if kind == 0]
-        return tuple(np.sort(np.frombuffer(b"".join(x[k] for x in own), np.uint64)) for k in (0, 1))
+    def send_zones(group: pa.Table, told: pa.Table) -> pa.Table:
+        if not group.num_rows:
+            return zones_schema.empty_table()
+        block = _Block(group)
+        block.units(_told(told, ranges))
+        cuts, number = _bounds(block.unit_anchor, ranges), group.column("block")[0].as_py()
+        rows = [(r, number, _six(block.unit_anchor[a:b]), block.unit_content[a:b].tobytes(), block.least[a:b].tobytes()) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+        return _rows(rows, zones_schema)
+
+    def find_classes(group: pa.Table) -> pa.Table:
+        anchors = [_of_six(x) for x in group.column("anchors").to_pylist()]
+        anchor = np.concatenate(anchors)
+        content = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("contents").to_pylist()])
+        least = np.concatenate([np.frombuffer(x, np.int64) for x in group.column("least").to_pylist()])
+        order = np.lexsort((least, content, anchor))
+        anchor, content, least = anchor[order], content[order], least[order]
+        new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+        new = new_anchor | np.concatenate([[True], content[1:] != content[:-1]])
+        first = least[new][np.cumsum(new) - 1]
+        n_contents = np.bincount(np.cumsum(new_anchor) - 1, new)[np.cumsum(new_anchor) - 1]
+        flags = np.empty(len(order), np.uint8)
+        flags[order] = np.where(least > first, 1, np.where(n_contents < 2, 0, np.where(n_contents > COMMON, 3, 2)))
+        r, ends = group.column("range")[0].as_py(), np.cumsum([len(x) for x in anchors])
+        return _rows([(n, 1, r, f.tobytes(), None) for n, f in zip(group.column("block").to_pylist(), np.split(flags, ends[:-1]), strict=True)], told_schema)
 
     def send_units(group: pa.Table, told: pa.Table) -> pa.Table:
         if not group.num_rows:
-            return pa.table({f.split()[0]: [] for f in UNITS.split(", ")}).cast(units_schema)
-        place, least, _ = _Block(group).units(*shared_of(told))
-        meet = [hash(raw) % (8 * ranges) if cut else anchor % (8 * ranges) for cut, anchor, raw in _stable(place)]
-        return pa.table([
-            pa.array(meet, pa.int32()), pa.array([group.column("block")[0].as_py()] * len(place), pa.int64()), pa.array(range(len(place)), pa.int32()),
-            pa.array(least, pa.int64()), pa.array(np.array([k[1] for k in place], np.uint64).view(np.int64)), pa.array([k[2] for k in place], pa.binary()),
-        ], schema=units_schema)
+            return units_schema.empty_table()
+        block, answers = _Block(group), _told(told, ranges)
+        block.units(answers)
+        classes, number, rows = block.classes(answers), group.column("block")[0].as_py(), []
+        for u in np.flatnonzero(classes > 1).tolist():
+            z = block.unit_zone[u]
+            raw, least = block.raw[block.owner[z]][block.first[z] : block.last[z] + LENGTH].tobytes(), int(block.least[u])
+            if classes[u] == 2:
+                rows.append((int(block.unit_anchor[u]) % meets, number, u, 0, least, raw))
+            else:
+                rows += [(xxhash.xxh3_64_intdigest(raw[k : k + LENGTH]) % meets, number, u, k, least, raw[k : k + LENGTH]) for k in range(len(raw) - LENGTH + 1)]
+        return _rows(rows, units_schema)
 
     def compare(group: pa.Table) -> pa.Table:
         """Which windows of each unit an earlier document has."""
@@ -229,31 +290,32 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
         gone = first[bucket] < least[unit]
         bits = np.zeros(len(raw), np.int64)
         np.bitwise_or.at(bits, unit, gone.astype(np.int64) << offset)
+        bits <<= group.column("shift").to_numpy()
         own = np.flatnonzero(bits)
         by = pd.DataFrame({"block": group.column("block").to_numpy()[own], "unit": group.column("unit").to_numpy()[own].astype("<i4"), "bits": bits[own]})
-        rows = [(k, g.unit.to_numpy().tobytes(), g.bits.to_numpy().tobytes()) for k, g in by.groupby("block")]
-        return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([1] * len(rows), pa.int32()), "a": pa.array([r[1] for r in rows], pa.binary()), "b": pa.array([r[2] for r in rows], pa.binary())})
+        return _rows([(k, 2, 0, g.unit.to_numpy().tobytes(), g.bits.to_numpy().tobytes()) for k, g in by.groupby("block")], told_schema)
 
     def cut(group: pa.Table, told: pa.Table) -> pa.Table:
         row = group.column("row").combine_chunks()
         fields = pa.schema([*spans_schema, ("row", row.type)])
         if not group.num_rows:
             return fields.empty_table()
-        block = _Block(group)
-        place, least, uses = block.units(*shared_of(told))
-        bits, least = np.zeros(len(place), np.int64), np.array(least, np.int64)
-        for kind, a, b in zip(*(told.column(c).to_pylist() for c in ("kind", "a", "b")), strict=True):
-            if kind == 1:
-                bits[np.frombuffer(a, "<i4")] |= np.frombuffer(b, np.int64)
-        out, at = [], np.argsort(uses[:, 1], kind="stable")
-        uses = uses[at]
-        bounds = np.searchsorted(uses[:, 1], np.arange(len(block.ids) + 1))
+        block, answers = _Block(group), _told(told, ranges)
+        block.units(answers)
+        whole = block.classes(answers) == 1
+        bits = np.zeros(len(whole), np.int64)
+        for u, b in answers[2]:
+            np.bitwise_or.at(bits, u, b)
+        owner, out = block.owner[block.pick], []
+        bounds = np.searchsorted(owner, np.arange(len(block.ids) + 1))
         for d, (doc, raw) in enumerate(zip(block.ids.tolist(), block.raw, strict=True)):
-            u, _, a, b = uses[bounds[d] : bounds[d + 1]].T
-            n = b - a + 1
-            start = np.repeat(a, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+            part = slice(bounds[d], bounds[d + 1])
+            u, a = block.unit[part], block.first[block.pick[part]]
+            n = block.last[block.pick[part]] - a + 1
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            start = np.repeat(a, n) + place
             # a later document of the block loses the whole unit, the least one what others have before it
-            own = np.repeat(least[u] < doc, n) | (np.repeat(bits[u], n) >> (start - np.repeat(a, n)) & 1).astype(bool)
+            own = np.repeat(whole[u] | (block.least[u] < doc), n) | (np.repeat(bits[u], n) >> place & 1).astype(bool)
             start = start[own]
             edge = np.zeros(len(raw) + 1, np.int32)
             np.add.at(edge, start, 1)
@@ -265,15 +327,14 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
         columns = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), spans_schema, strict=True)]
         return pa.table([*columns, row.take(pa.array(block.order, pa.int64()))], schema=fields)
 
-    anchors = texts.groupBy("block").applyInArrow(send_anchors, ANCHORS)
-    shared = anchors.groupBy("range").applyInArrow(find_shared, SHARED)
-    units = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_units, UNITS)
-    verdicts = units.groupBy("meet").applyInArrow(compare, SHARED)
-    told = shared.unionByName(verdicts)
-    return texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(cut, spans)
+    by_block = texts.groupBy("block")
+    shared = by_block.applyInArrow(send_anchors, ANCHORS).groupBy("range").applyInArrow(find_shared, TOLD)
+    classes = by_block.cogroup(shared.groupBy("block")).applyInArrow(send_zones, ZONES).groupBy("range").applyInArrow(find_classes, TOLD)
+    known = shared.unionByName(classes)
+    verdicts = by_block.cogroup(known.groupBy("block")).applyInArrow(send_units, UNITS).groupBy("meet").applyInArrow(compare, TOLD)
+    return by_block.cogroup(known.unionByName(verdicts).groupBy("block")).applyInArrow(cut, spans)
 
 
-units_schema = pa.schema([("meet", pa.int32()), ("block", pa.int64()), ("unit", pa.int32()), ("least", pa.int64()), ("anchor", pa.int64()), ("raw", pa.binary())])
 spans_schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string()), ("span_starts", pa.list_(pa.int64())), ("span_ends", pa.list_(pa.int64()))])
 
 
@@ -281,12 +342,6 @@ _KINDS = {pa.int64(): T.LongType(), pa.binary(): T.BinaryType(), pa.string(): T.
 SPANS = [T.StructField(f.name, _KINDS[f.type]) for f in spans_schema]
 
 
-def _stable(place: dict) -> Iterator[tuple]:
-    """Keys with a number in place of the window's bytes that every worker computes alike."""
-    for cut, anchor, raw in place:
-        yield cut, anchor, int.from_bytes(hashlib.blake2b(raw, digest_size=6).digest(), "little") if cut else raw
-
-
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with their texts cut, ``n_chars`` following if there is such a column.
 

@@ -61,8 +61,8 @@ def test_an_allowed_first_match_hides_its_line(spark):
 
 
 def test_obfuscation_changes_nothing(spark):
-    rows = [("plain", "Code Red"), ("entity", "Co&#100;e Red"), ("width", "Code R​ed"), ("full", "Ｃode Red"), ("space", "code   red")]
-    got = scan(spark, rows, phrases=("code red",), detectors=()).collect()
+    rows = [("plain", "Blue Moon"), ("entity", "Blu&#101; Moon"), ("width", "Blue M\u200boon"), ("full", "\uff22lue Moon"), ("space", "blue   moon")]
+    got = scan(spark, rows, phrases=("blue moon",), detectors=()).collect()
     assert {r.path for r in got} == {p for p, _ in rows}
 
 
