@@ -36,6 +36,18 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch. Both the JVM and a Python worker hold a batch of whole texts for each task.
+ARROW_ROWS = 1000
+#: Words whose hashes a Python worker remembers, for each kind of hash.
+CACHED_WORDS = 1 << 16
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, of whole texts, and from now on Arrow batches that hold few of them."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keep, slices, table
+from .common import CACHED_WORDS, keep, slices, small_batches, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 K, SLACK, COMMON = 64, 0.3, 32
@@ -52,7 +52,7 @@ class _WordHash(dict):
     """64-bit hashes of words; emptied when it holds too many."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > CACHED_WORDS:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word.encode())
         return h
@@ -104,7 +104,7 @@ def sketches(docs: DataFrame, shingle: int, k: int) -> DataFrame:
             n, cls, low = zip(*rows, strict=True)
             yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(low, pa.list_(pa.int64()))], names=[f.split()[0] for f in SKETCHES.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SKETCHES)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, SKETCHES)
 
 
 def overlap_needed(n: Column, k: int, similarity: float) -> Column:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, slices, table
+from .common import keep, slices, small_batches, table
 from .tokenizers_io import load_ranks
 
 CAPACITY, END_ID = 1024, 2
@@ -60,7 +60,7 @@ def token_pieces(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", capacity
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
 
 def best_fit(bins: list[list], items: list[int], sizes: list[int], capacity: int) -> None:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, slices, table
+from .common import CACHED_WORDS, crc_mod, slices, small_batches, table
 
 TRAIN_ROWS = 12_000
 WORD_BITS, FACTORS, BINS = 15, 8, 16
@@ -39,7 +39,7 @@ SIZE = (1 << WORD_BITS) + N_STATISTICS * BINS
 
 class _Buckets(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > CACHED_WORDS:
             self.clear()
         plain = word.strip(string.punctuation).lower()
         self[word] = b = xxhash.xxh3_64_intdigest(plain.encode()) & (1 << WORD_BITS) - 1
@@ -118,7 +118,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
 
 def _inputs(docs: DataFrame, *carry: str) -> DataFrame:
     n_chars = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
-    return docs.select(*carry, "text", n_chars.alias("n_chars"))
+    return small_batches(docs).select(*carry, "text", n_chars.alias("n_chars"))
 
 
 def train_classes(docs: DataFrame, labelled: DataFrame, n_classes: int, train_rows: int = TRAIN_ROWS) -> list:

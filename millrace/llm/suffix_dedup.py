@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_partitions, table, text_or_empty
+from .common import shuffle_partitions, small_batches, table, text_or_empty
 
 LENGTH, GRAM = 50, 24
 WIDTH = LENGTH - GRAM + 1
@@ -171,7 +171,7 @@ def _of_six(b: bytes) -> np.ndarray:
 def _texts_by_block(docs: DataFrame, carry: list[str]) -> DataFrame:
     """Texts as bytes, with the columns to carry as one, dealt by hash into blocks of about BLOCK_BYTES."""
     row = F.struct(*carry) if carry else F.lit(None).cast("int")
-    raw = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("binary").alias("raw"), row.alias("row"))
+    raw = small_batches(docs).select(F.col("doc_id").cast("long"), text_or_empty().cast("binary").alias("raw"), row.alias("row"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // BLOCK_BYTES))
     # a large document's hash differs with its text, so that rows of one id are not one block
