@@ -8,8 +8,11 @@ the scale of the domain's present total, plus a small pull towards rate 1.  Proj
 follows from its posterior and the misses so far, so an iteration is one aggregation that sends a few
 sums to the driver; no state is kept.
 
-Without a total, the target is the largest that no domain with a weight needs repeating for.  Rates become
-whole copies by a hash of the document, so that expected totals hold; dust below 1/32 is rounded away first.
+Without a total, the domain of the greatest weight is wanted whole, each once, and the others in proportion to
+it, but none beyond what it has: a scarce domain is wanted whole too and lowers no other, so its share is missed
+and the others keep theirs among themselves.  With a total, domains are repeated as it asks.  Rates become whole
+copies by a hash of the document, so that expected totals hold; they are first rounded to 1/32, but for those
+that this would make zero.
 
 Defined cases: a null or empty text has 0 tokens and a posterior like any other; a domain that nothing is
 labelled with gets posterior 0 and its weight goes to the others; without labels every document is
@@ -71,6 +74,12 @@ def rates_of(p: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
     return rate
 
 
+def wanted(have: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The domains' totals if none is to be repeated and a scarce one lowers no other; of equal weights the larger domain leads."""
+    first = max(range(len(have)), key=lambda k: (weight[k], have[k]))
+    return np.minimum(weight * (have[first] / weight[first]), have)
+
+
 def fit_rates(members: DataFrame, targets: dict[str, float], total: float | None = None) -> tuple[list[np.ndarray], list[dict]]:
     """The misses of every step, and per step the domains' totals; ``members`` has n_tokens and posterior."""
 
@@ -93,7 +102,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], total: float | None
     if not weight.sum():
         return [], []
     weight /= weight.sum()
-    goal = weight * (total if total is not None else (have[weight > 0] / weight[weight > 0]).min())
+    goal = weight * total if total is not None else wanted(have, weight)
     history, now, log = [], have, []
     for _ in range(STEPS):
         log.append({d: float(x) for d, x in zip(DOMAINS, now, strict=True)})
@@ -115,6 +124,7 @@ def with_rates(members: DataFrame, history: list[np.ndarray], doc_id: str = "doc
             yield pa.record_batch([*part.columns, pa.array(rates_of(p, history))], names=[*part.schema.names, "rate"])
 
     even = F.round(F.col("rate") * DUST) / DUST
+    even = F.when(even > 0, even).otherwise(F.col("rate"))
     chance = F.pmod(F.xxhash64(F.coalesce(F.col(doc_id), F.lit(-1)), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     return members.mapInArrow(run, schema).withColumn("copies", F.floor(even + chance).cast("int"))
 

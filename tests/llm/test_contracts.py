@@ -467,3 +467,27 @@ def test_rates_solve_the_least_squares():
     rate = mixing.rates_of(p, history)
     slope = p @ history[-1] + mixing.PULL * (rate - 1)
     assert np.abs(slope[rate > 0]).max() < 1e-3 and slope[rate == 0].min(initial=0) > -1e-3
+
+
+def test_a_scarce_domain_lowers_no_other(spark):
+    """One labelled junk document left, as after a quality stage."""
+    own, _ = labelled(spark)
+    toxic = F.col("doc_id") % 40 == 1
+    own = own.where("doc_id % 4 <> 0 OR doc_id = 4").withColumn("text", F.when(toxic, F.concat("text", F.lit(" scum moron idiot loser trash"))).otherwise(F.col("text")))
+    labels = own.select("doc_id", (F.col("doc_id") != 4).cast("int").alias("quality"), toxic.cast("int").alias("toxic"))
+    kept = [r.doc_id for r in mixing.mixed(own, labels).select("doc_id").collect()]
+    clean = {i for i in range(400) if i % 4 and i % 40 != 1}
+    assert len(clean & set(kept)) >= 0.99 * len(clean)
+
+
+def test_totals_without_repeats():
+    weight = np.array([0.96, 0.02, 0.02])
+    assert mixing.wanted(np.array([960.0, 500.0, 0.5]), weight) == pytest.approx([960, 20, 0.5])
+    assert mixing.wanted(np.array([960.0, 20.0, 20.0]), weight) == pytest.approx([960, 20, 20])
+    assert mixing.wanted(np.array([1.0, 900.0, 500.0]), np.array([0.4, 0.4, 0.2])) == pytest.approx([1, 900, 450])
+
+
+def test_small_rates_are_not_rounded_away(spark):
+    members = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(10).cast("long").alias("n_tokens"), F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0)).alias("posterior"))
+    got = mixing.with_rates(members, [np.array([0.0, 0.99 * (1 + mixing.PULL), 0.0])])
+    assert got.agg(F.sum("copies")).first()[0] == pytest.approx(200, rel=0.3)
