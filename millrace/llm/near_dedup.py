@@ -8,7 +8,8 @@ Equal sets form one class first, so copies cost nothing further.  Values that ma
 last in an order by frequency, and only a prefix of each sketch in that order is listed: two sketches
 that overlap in at least ``need`` values must meet in the first ``k - need + 1``.  For sets that fit in
 their sketch ``need`` follows from the similarity and nothing can be missed; for larger ones it is
-``(similarity - SLACK) * k``, six standard deviations below the expected overlap at the bound.
+``(similarity - SLACK) * k``, over six standard deviations below the expected overlap at the bound, and
+estimates are allowed the same.
 
 Links are found in rounds so that no list is expanded into all its pairs.  In the first round each
 class meets only its neighbour and the earliest document in each of its lists; the confirmed links are
@@ -39,12 +40,13 @@ from pyspark.sql.window import Window
 from .common import CACHED_WORDS, keep, slices, small_batches, table
 
 SHINGLE, SIMILARITY = 5, 0.8
-K, SLACK, COMMON = 64, 0.3, 32
+K, SLACK, COMMON = 64, 0.32, 32
 #: Members of a list from which on their whole sets are compared by exact prefixes.
 LONG = 32
 _BREAKS = re.compile(r"[\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_SIGN = np.uint64(1 << 63)
 SKETCHES = "doc_id long, n_shingles long, cls long, sketch array<long>"
 
 
@@ -92,14 +94,14 @@ def set_class(own: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, shingle: int, k: int) -> DataFrame:
-    """``(doc_id, text)`` to set size, class (equal for equal sets) and bottom-k sketch."""
+    """``(doc_id, text)`` to set size, class (equal for equal sets) and bottom-k sketch, whose order as longs is the one it was cut by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             rows = []
             for text in part.column(1):
                 own = shingle_set(text.as_py() or "", shingle)
-                low = np.sort(mix(own + _MIX))[:k].view(np.int64)
+                low = (np.sort(mix(own + _MIX))[:k] ^ _SIGN).view(np.int64)
                 rows.append((len(own), set_class(own), low))
             n, cls, low = zip(*rows, strict=True)
             yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(low, pa.list_(pa.int64()))], names=[f.split()[0] for f in SKETCHES.split(", ")])
@@ -245,7 +247,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     def estimated(pairs: DataFrame) -> DataFrame:
         """Pairs whose union sketch does not rule them out."""
         pairs = pairs.join(sketch_of.withColumnsRenamed({"cls": "a", "sketch": "s"}), "a").join(sketch_of.withColumnsRenamed({"cls": "b", "sketch": "t"}), "b")
-        return keep(pairs.where(union_estimate(F.col("s"), F.col("t"), k) >= similarity - 0.25).select("a", "b"), "estimated")
+        return keep(pairs.where(union_estimate(F.col("s"), F.col("t"), k) >= similarity - SLACK).select("a", "b"), "estimated")
 
     nodes = classes.select("cls")
     met = estimated(first_meetings(lists, similarity))

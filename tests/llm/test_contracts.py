@@ -283,6 +283,34 @@ def test_sketches_meet_where_sets_are_similar():
                 assert len(low[0] & low[1]) >= math.ceil(near_dedup.K * (similarity - near_dedup.SLACK))
 
 
+def test_truncated_copies_at_the_bound_are_found(spark):
+    """Sets somewhat larger than a sketch: the estimate is that of the true unions, and every pair is linked."""
+    rows, want = [], {}
+    for similarity in (0.8, 0.85):
+        for n in range(60, 141, 4):
+            for again in range(3):
+                words = [f"s{similarity}n{n}a{again}w{k}" for k in range(n + 2)]
+                text, cut = " ".join(words), " ".join(words[: math.ceil(similarity * n - 1e-9) + 2])
+                own, part = (near_dedup.mix(near_dedup.shingle_set(t, 3) + near_dedup._MIX) for t in (text, cut))
+                want[len(rows)] = similarity, float(np.isin(np.sort(own)[: near_dedup.K], part).mean())
+                rows += [(len(rows), text), (len(rows) + 1, cut)]
+    made = near_dedup.sketches(table(spark, rows), 3, near_dedup.K).select("doc_id", "sketch")
+    pairs = made.where("doc_id % 2 = 0").join(made.select((F.col("doc_id") - 1).alias("doc_id"), F.col("sketch").alias("other")), "doc_id")
+    for r in pairs.select("doc_id", near_dedup.union_estimate(F.col("sketch"), F.col("other"), near_dedup.K).alias("share")).collect():
+        similarity, share = want[r.doc_id]
+        assert r.share == pytest.approx(share) and r.share >= similarity - near_dedup.SLACK
+    for similarity in (0.8, 0.85):
+        own = [r for r in rows if want[r[0] // 2 * 2][0] == similarity]
+        got = near_dedup.near_duplicates(table(spark, own), 3, similarity).select("doc_id", "component_id").collect()
+        assert {(r.doc_id, r.component_id) for r in got} == {(i, i // 2 * 2) for i, _ in own}
+
+
+def test_slack_makes_misses_as_rare_as_claimed():
+    for similarity in (0.8, 0.85):
+        need = math.ceil(near_dedup.K * (similarity - near_dedup.SLACK))
+        assert sum(math.comb(near_dedup.K, i) * similarity**i * (1 - similarity) ** (near_dedup.K - i) for i in range(need)) < 1e-8
+
+
 # --- quality --------------------------------------------------------------------------------------------
 
 
