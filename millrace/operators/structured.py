@@ -30,32 +30,28 @@ KEY_ALIASES: dict[str, tuple[str, ...]] = {
 }
 
 
-def json_leaves(rows: DataFrame, key: str, text: str, max_depth: int = 4) -> DataFrame:
+def json_leaves(rows: DataFrame, key: str, text: str, max_depth: int = MAX_DEPTH) -> DataFrame:
     """``(key, path, name, ancestors, value)`` of every scalar of strict JSON texts, down to ``max_depth`` levels.
 
-    A level is one lateral ``variant_explode``; list items keep the name above them.  Texts that are not
-    strict JSON (duplicate keys, NaN) give one row whose path is null.  What lies deeper is one row of its
-    container, so that nothing is passed over in silence.
+    A level is one lateral ``variant_explode`` that only rows of containers open and others pass, so the
+    texts are read once; list items keep the name above them.  Texts that are not strict JSON (duplicate
+    keys, NaN) give one row whose path is null.  What lies deeper is one row of its container, so that
+    nothing is passed over in silence.
     """
     spark = rows.sparkSession
     parsed = rows.select(F.col(key).alias("key"), F.try_parse_json(text).alias("v"))
-    bad = parsed.where("v IS NULL").selectExpr("key", "CAST(NULL AS STRING) AS path", "CAST(NULL AS STRING) AS name", "CAST(array() AS ARRAY<STRING>) AS ancestors", "CAST(NULL AS STRING) AS value")
-    level = parsed.where("v IS NOT NULL").selectExpr("key", "'$' AS path", "CAST(NULL AS STRING) AS name", "CAST(array() AS ARRAY<STRING>) AS ancestors", "v")
-    nested = "schema_of_variant(v) RLIKE '^(OBJECT|ARRAY)'"
-    leaves = []
+    nested = "schema_of_variant({}) RLIKE '^(OBJECT|ARRAY)'"
+    level = parsed.selectExpr("key", "IF(v IS NULL, NULL, '$') AS path", "CAST(NULL AS STRING) AS name", "CAST(array() AS ARRAY<STRING>) AS ancestors", "v", f"v IS NOT NULL AND {nested.format('v')} AS open")
     for _ in range(min(max_depth, MAX_DEPTH)):
-        leaves.append(level.where(f"NOT ({nested})"))
-        above = "IF(name IS NULL, ancestors, array_append(ancestors, name))"
         level = spark.sql(
-            f"""SELECT key, IF(e.key IS NULL, concat(path, '[', e.pos, ']'), concat(path, '.', e.key)) AS path, coalesce(e.key, name) AS name,
-                IF(e.key IS NULL, ancestors, {above}) AS ancestors, e.value AS v FROM {{level}} l, LATERAL variant_explode(v) AS e(pos, key, value)""".replace("SELECT key", "SELECT l.key"),
-            level=level.where(nested),
+            f"""SELECT key, CASE WHEN NOT open THEN path WHEN e_key IS NULL THEN concat(path, '[', e_pos, ']') ELSE concat(path, '.', e_key) END AS path,
+                coalesce(e_key, name) AS name, IF(e_key IS NULL OR name IS NULL, ancestors, array_append(ancestors, name)) AS ancestors,
+                IF(open, e_value, v) AS v, IF(open, {nested.format("e_value")}, false) AS open
+                FROM {{level}} l, LATERAL variant_explode_outer(IF(l.open, l.v, NULL)) AS e(e_pos, e_key, e_value) WHERE NOT open OR e_pos IS NOT NULL""",
+            level=level,
         )
-    out = leaves[0]
-    for more in [*leaves[1:], level]:
-        out = out.unionByName(more)
     rendered = "coalesce(try_variant_get(v, '$', 'string'), to_json(v))"
-    return out.selectExpr("key", "path", "name", "ancestors", f"{rendered} AS value").unionByName(bad)
+    return level.selectExpr("key", "path", "name", "ancestors", f"{rendered} AS value")
 
 
 def key_findings(leaves: DataFrame) -> DataFrame:

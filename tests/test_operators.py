@@ -113,6 +113,16 @@ def test_json(spark):
     assert values(deep, "path", "value") == [("$.a.b", '{"c":1}')]
 
 
+def test_json_keys_below_the_fourth_level(spark):
+    text = '{"a":{"b":{"c":{"d":{"password":"p","empty":{}}}}},"list":[[[[[{"email":"e"}]]]]]}'
+    rows = [(1, text), (2, '{"x":' * 31 + '{"ssn":"s"}' + "}" * 31), (3, '{"x":' * 32 + '{"ssn":"s"}' + "}" * 32)]
+    leaves = structured.json_leaves(spark.createDataFrame(rows, "id long, t string"), "id", "t")
+    assert {(r.path, r.detector) for r in structured.key_findings(leaves).collect()} == {
+        ("$.a.b.c.d.password", "passwords"), ("$.list[0][0][0][0][0].email", "email_address_values"), ("$" + ".x" * 31 + ".ssn", "government_identifiers"),
+    }
+    assert values(leaves.where("key = 3"), "path", "value") == [("$" + ".x" * 32, '{"ssn":"s"}')]
+
+
 def test_chains(spark):
     rows = [("s", 0, None, "h0"), ("s", 1, "h0", "h1"), ("s", 3, "h1", "h3"), ("t", 0, None, "g0"), ("t", 1, "x", "g1"), ("t", 1, "x", "g1"), ("u", 2, None, "k")]
     df = spark.createDataFrame(rows, "stream string, seq long, prev string, own string")
