@@ -1,4 +1,4 @@
-"""Suffix-array dedup by bucket-pointer refinement: drop bytes covered by strings that an earlier document has.
+"""Suffix-array dedup by prefix doubling: drop bytes covered by strings that an earlier document has.
 
 Which suffixes can share ``LENGTH`` bytes is found first.  Of the q-gram hashes in every window of
 ``LENGTH`` bytes the least is the window's anchor; equal windows have equal anchors, so only windows whose
@@ -9,9 +9,9 @@ Around shared anchors, a zone is the run of windows with that anchor.  Within a
 unit with its least document, so a string copied a million times costs a row per block.  Units meet by
 anchor as hashes first: a unit that an earlier document has elsewhere goes whole, and one whose anchor has
 no other surroundings is done.  Only of the others the bytes travel, once per distinct zone.  Where they
-meet, a suffix array of them is refined to depth ``LENGTH``: initial buckets of q-grams, then each bucket
-is sorted on the bucket identifiers at the offset it has reached, and the identifiers made so are the
-pointers of the next, twice as deep, refinement.  Suffixes left in one bucket share ``LENGTH`` bytes; each
+meet, a suffix array of them is refined to depth ``LENGTH`` by prefix doubling: buckets of single bytes first,
+then all positions are ranked anew by their bucket and the one at the offset reached, twice as deep each
+pass.  Suffixes left in one bucket share ``LENGTH`` bytes; each
 bucket's least document keeps them.  Units of anchors with very many surroundings are cut into single
 windows and meet by the window's own hash, so no anchor fills a task.
 
