@@ -1,18 +1,24 @@
 """Mixing sources to target weights, with soft membership.
 
 A classifier of the labelled table's domains (clean, toxic, junk) gives every document a posterior over
-domains.  Each document gets a rate, how often it is to be seen; the rates minimise the squared misses of
-the domains' expected token totals, ``sum_d rate_d tokens_d posterior_dk`` against the target, each on
-the scale of the domain's present total, plus a small pull towards rate 1.  Projected gradient steps
-(scaled by tokens, projected on rates >= 0) are taken by all documents at once.  A document's rate
-follows from its posterior and the misses so far, so an iteration is one aggregation that sends a few
-sums to the driver; no state is kept.
+domains.  Each document gets a rate, how often it is to be seen.  The rates minimise the squared misses of
+the domains' expected token totals, ``sum_d rate_d tokens_d posterior_dk`` against the target, each divided
+by the domain's present total, plus ``PULL`` times the squared distance (by tokens) from rate 1.
+
+They are found by projected gradient steps that all documents take at once.  A document's gradient is its
+posterior times the misses, so the sum of all steps is one vector of the domains, and the rate is the
+projection on ``rate >= 0`` of 1 less the posterior times that vector.  The steps are scaled by the inverse
+of the free documents' Gram matrix (those with a rate above zero) and halved while the dual objective does
+not fall enough.  A pass over the documents is thus one native aggregation to ten sums.  The loop ends when the
+optimality condition holds to ``ENOUGH`` of every domain's total; if it does not within ``PASSES`` it raises.
 
 Without a total, the domain of the greatest weight is wanted whole, each once, and the others in proportion to
 it, but none beyond what it has: a scarce domain is wanted whole too and lowers no other, so its share is missed
 and the others keep theirs among themselves.  With a total, domains are repeated as it asks.  Rates become whole
-copies by a hash of the document, so that expected totals hold; they are first rounded to 1/32, but for those
-that this would make zero.
+copies by a hash of the document, so that expected totals hold.
+
+Tokens are words, unless ``tokens`` names a column of counts (those of ``token_counts``, say): only ratios of
+totals count here, and counting by a tokenizer costs as much again as everything else.
 
 Defined cases: a null or empty text has 0 tokens and a posterior like any other; a domain that nothing is
 labelled with gets posterior 0 and its weight goes to the others; without labels every document is
@@ -26,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +41,7 @@ from .common import keep, slices, table
 
 DOMAINS = ("clean", "toxic", "junk")
 TARGETS = {"clean": 0.96, "toxic": 0.02, "junk": 0.02}
-STEPS, PULL, ENOUGH, DUST = 40, 1e-3, 1e-4, 32
+PULL, ENOUGH, PASSES = 1e-6, 1e-7, 200
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -44,11 +50,12 @@ def domain_of(labels: DataFrame) -> DataFrame:
     return per.select("doc_id", F.when(F.col("q") == 0, 2).when(F.col("t") == 1, 1).otherwise(0).alias("class"))
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, *carry: str) -> DataFrame:
+def posteriors(docs: DataFrame, labels: DataFrame, *carry: str, tokens: str | None = None) -> DataFrame:
     """``carry`` columns, ``n_tokens`` and ``posterior`` (an array in the order of DOMAINS) of every document."""
     models = qc.train_classes(docs, domain_of(labels), len(DOMAINS))
     shared = docs.sparkSession.sparkContext.broadcast(models)  # of fixed size
-    inputs = qc._inputs(docs, *carry)
+    counts = F.coalesce(F.col(tokens).cast("long"), F.lit(0)) if tokens else F.lit(None).cast("long")
+    inputs = qc._inputs(docs.withColumn("_tokens", counts), "_tokens", *carry)
     schema = T.StructType([*inputs.select(*carry).schema, T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,18 +67,16 @@ def posteriors(docs: DataFrame, labels: DataFrame, *carry: str) -> DataFrame:
                 p /= p.sum(1, keepdims=True)
             else:
                 p[:, 0] = 1
-            n = [len((t or "").split()) for t in part.column("text").to_pylist()]
-            yield pa.record_batch([*(part.column(c) for c in carry), pa.array(n, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], names=[*carry, "n_tokens", "posterior"])
+            n = part.column("_tokens") if tokens else pa.array([len((t or "").split()) for t in part.column("text").to_pylist()], pa.int64())
+            yield pa.record_batch([*(part.column(c) for c in carry), n, pa.array(list(p), pa.list_(pa.float64()))], names=[*carry, "n_tokens", "posterior"])
 
     return inputs.mapInArrow(run, schema)
 
 
-def rates_of(p: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
-    """The rates after the steps that the misses in ``history`` (per domain, scaled) call for."""
-    rate = np.ones(len(p))
-    for miss in history:
-        rate = np.maximum(0.0, rate - (p @ miss + PULL * (rate - 1)) / (1 + PULL))
-    return rate
+def rate_of(steps: np.ndarray) -> Column:
+    """The rate of a document by its ``posterior``: 1 less what all steps together say, projected on ``>= 0``."""
+    moved = sum((F.get("posterior", F.lit(k)) * float(x) for k, x in enumerate(steps)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), 1.0 - moved)
 
 
 def wanted(have: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -80,68 +85,71 @@ def wanted(have: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.minimum(weight * (have[first] / weight[first]), have)
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], total: float | None = None) -> tuple[list[np.ndarray], list[dict]]:
-    """The misses of every step, and per step the domains' totals; ``members`` has n_tokens and posterior."""
+class NotReached(RuntimeError):
+    """The rates did not come to satisfy the optimality condition."""
 
-    def totals(history: list[np.ndarray]) -> np.ndarray:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = np.zeros(len(DOMAINS))
-            for part in batches:
-                p = part.column(1).flatten().to_numpy().reshape(-1, len(DOMAINS))
-                own += (rates_of(p, history) * part.column(0).to_numpy()) @ p
-            yield pa.record_batch([pa.array(range(len(DOMAINS)), pa.int32()), pa.array(own)], names=["k", "tokens"])
 
-        sums = members.select("n_tokens", "posterior").mapInArrow(run, "k int, tokens double").groupBy("k").agg(F.sum("tokens").alias("tokens")).collect()
-        out = np.zeros(len(DOMAINS))
-        for r in sums:
-            out[r.k] = r.tokens
-        return out
+def fit_rates(members: DataFrame, targets: dict[str, float], total: float | None = None) -> tuple[np.ndarray, list[dict]]:
+    """The sum of all steps (see ``rate_of``), and per pass the domains' totals; ``members`` has n_tokens and posterior."""
+    size = len(DOMAINS)
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    p, n = [F.get("posterior", F.lit(k)) for k in range(size)], F.col("n_tokens").cast("double")
 
-    have = totals([])
+    def sums(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """The domains' totals, the free documents' Gram matrix, and half the squared rates by tokens."""
+        rate = rate_of(steps)
+        got = members.agg(*(F.sum(n * rate * x) for x in p), *(F.sum(F.when(rate > 0, n * p[i] * p[j])) for i, j in pairs), F.sum(n * rate * rate) / 2).first()
+        got = [x or 0.0 for x in got]
+        gram = np.zeros((size, size))
+        for (i, j), x in zip(pairs, got[size:-1], strict=True):
+            gram[i, j] = gram[j, i] = x
+        return np.array(got[:size]), gram, got[-1]
+
+    steps = np.zeros(size)
+    have, gram, half = sums(steps)
     weight = np.array([targets.get(d, 0.0) for d in DOMAINS]) * (have > 0)
     if not weight.sum():
-        return [], []
+        return steps, []
     weight /= weight.sum()
     goal = weight * total if total is not None else wanted(have, weight)
-    history, now, log = [], have, []
-    for _ in range(STEPS):
+    there, pull, now, log = have > 0, PULL * have, have, []
+    for _ in range(PASSES):
         log.append({d: float(x) for d, x in zip(DOMAINS, now, strict=True)})
-        miss = np.divide(now - goal, have, out=np.zeros_like(now), where=have > 0)
-        if np.abs(miss).max() < ENOUGH:
-            break
-        history.append(miss)
-        now = totals(history)
-    return history, log
-
-
-def with_rates(members: DataFrame, history: list[np.ndarray], doc_id: str = "doc_id") -> DataFrame:
+        slope = np.where(there, now - goal - pull * steps, 0.0)
+        if (np.abs(slope) <= ENOUGH * have).all():
+            return steps, log
+        # the scaled gradient step, halved until the dual objective falls as it should
+        step = np.zeros(size)
+        step[there] = np.linalg.solve((gram + np.diag(pull + 1e-12 * have))[np.ix_(there, there)], slope[there])
+        objective = half + goal @ steps + pull @ steps**2 / 2
+        for halvings in range(60):
+            tried = steps + step / 2**halvings
+            now, gram, half = sums(tried)
+            if half + goal @ tried + pull @ tried**2 / 2 <= objective - 1e-4 * (slope @ step) / 2**halvings + 1e-12 * abs(objective):
+                break
+        steps = tried
+    raise NotReached(f"mixing: misses of {dict(zip(DOMAINS, (now - goal).tolist(), strict=True))} tokens after {PASSES} passes")
+
+
+def with_rates(members: DataFrame, steps: np.ndarray, doc_id: str = "doc_id") -> DataFrame:
     """``members`` with ``rate`` and ``copies``: the rate as whole copies, the fraction by the id's hash."""
-    schema = T.StructType([*members.schema, T.StructField("rate", T.DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            p = part.column("posterior").flatten().to_numpy().reshape(-1, len(DOMAINS))
-            yield pa.record_batch([*part.columns, pa.array(rates_of(p, history))], names=[*part.schema.names, "rate"])
-
-    even = F.round(F.col("rate") * DUST) / DUST
-    even = F.when(even > 0, even).otherwise(F.col("rate"))
     chance = F.pmod(F.xxhash64(F.coalesce(F.col(doc_id), F.lit(-1)), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    return members.mapInArrow(run, schema).withColumn("copies", F.floor(even + chance).cast("int"))
+    return members.withColumn("rate", rate_of(steps)).withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | None = None, tokens: str | None = None) -> DataFrame:
     """``(doc_id, n_tokens, posterior, rate, copies)`` of every document."""
-    members = keep(posteriors(docs, labels, "doc_id"), "posteriors")
-    history, _ = fit_rates(members, targets or TARGETS, total)
-    return with_rates(members, history)
+    members = keep(posteriors(docs, labels, "doc_id", tokens=tokens), "posteriors")
+    steps, _ = fit_rates(members, targets or TARGETS, total)
+    return with_rates(members, steps)
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | None = None) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | None = None, tokens: str | None = None) -> DataFrame:
     """The documents themselves, each row as often as its rate says, in the columns they came in."""
     rows = docs.withColumn("_row", F.struct(*docs.columns))  # so that no column of theirs meets one made here
-    members = keep(posteriors(rows, labels, "_row"), "posteriors")
-    history, _ = fit_rates(members, targets or TARGETS, total)
-    copies = with_rates(members, history, "_row.doc_id").where("copies > 0")
+    members = keep(posteriors(rows, labels, "_row", tokens=tokens), "posteriors")
+    steps, _ = fit_rates(members, targets or TARGETS, total)
+    copies = with_rates(members, steps, "_row.doc_id").where("copies > 0")
     return copies.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 
 
