@@ -1,22 +1,21 @@
-"""Suffix-array dedup by prefix doubling: drop bytes covered by strings that an earlier document has.
+"""Suffix-array dedup by bucket-pointer refinement: drop bytes covered by strings that an earlier document has.
 
 Which suffixes can share ``LENGTH`` bytes is found first.  Of the q-gram hashes in every window of
 ``LENGTH`` bytes the least is the window's anchor; equal windows have equal anchors, so only windows whose
 anchor occurs in two documents can repeat.  Anchors travel as sorted hashes, one list per block of
-documents and hash range; the answer is which of them are shared.
+documents and hash range; the answer is which of them are shared.  Hashes only bound what is sorted: every
+verdict below comes from the bytes.
 
 Around shared anchors, a zone is the run of windows with that anchor.  Within a block equal zones are one
-unit with its least document, so a string copied a million times costs a row per block.  Units meet by
-anchor as hashes first: a unit that an earlier document has elsewhere goes whole, and one whose anchor has
-no other surroundings is done.  Only of the others the bytes travel, once per distinct zone.  Where they
-meet, a suffix array of them is refined to depth ``LENGTH`` by prefix doubling: buckets of single bytes first,
-then all positions are ranked anew by their bucket and the one at the offset reached, twice as deep each
-pass.  Suffixes left in one bucket share ``LENGTH`` bytes; each
-bucket's least document keeps them.  Units of anchors with very many surroundings are cut into single
-windows and meet by the window's own hash, so no anchor fills a task.
-
-A bit per window goes back to the block, which cuts the bytes.  Only anchors, units near a repeat and
-these answers are shuffled, besides the texts, once.
+unit with its least document, so a string copied a million times costs a row per block.  Units meet by anchor, with
+their bytes.  There, equal ones become one string, and the suffixes of all strings are put into a suffix
+array to depth ``LENGTH`` by bucket-pointer refinement (see ``refine``).  Neighbours in it with ``LENGTH`` bytes in
+common, compared as bytes, are one class; the least document of a class keeps its bytes.  Units of anchors
+with very many zones are cut into single windows and meet by the window's own hash, so no anchor fills a task:
+what meets by one window is at most ``LENGTH`` and some bytes per block.
+
+A bit per window goes back to the block, which cuts the bytes.  Only anchors, units and these answers are
+shuffled, besides the texts, once.
 
 Defined cases: a null or empty text has no bytes; texts shorter than ``LENGTH`` lose nothing; rows that
 repeat an id do not make each other's bytes removable; rows with a null id come after all others and lose
@@ -27,10 +26,10 @@ further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -41,9 +40,11 @@ from .common import shuffle_partitions, small_batches, table, text_or_empty
 
 LENGTH, GRAM = 50, 24
 WIDTH = LENGTH - GRAM + 1
-#: Distinct surroundings of an anchor from which on they are cut into windows.
-COMMON = 4096
-BLOCK_BYTES, SEGMENT = 4 << 20, 1 << 18
+#: Zones of an anchor from which on they are cut into windows.
+COMMON = 1 << 16
+BLOCK_BYTES, SEGMENT = 8 << 20, 1 << 18
+#: Bytes that initial buckets are made of, and parts that are refined one after the other.
+DIGIT, PARTS = 8, 8
 NO_ID = np.iinfo(np.int64).max
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -98,19 +99,62 @@ def zones(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def refine(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Bucket identifiers, to depth ``length``, of the suffixes of ``text`` at ``starts``.
-
-    The text ends in ``length`` bytes at least that belong to no suffix asked for.
+    """The class of each suffix of ``text`` at ``starts``: equal exactly where ``length`` bytes are equal.
+
+    The text ends in ``length`` bytes at least that belong to no suffix asked for.  Initial buckets are those of
+    DIGIT bytes; a position's pointer is its bucket's place in the order of all positions.  Buckets of several
+    suffixes are refined: sorted on the pointers at a later offset, which makes smaller buckets, whose pointers
+    are updated at once and refined recursively at offsets further on.  One part of the buckets goes after
+    another, so that a bucket whose later offsets have all been refined takes over their depth: if those are done,
+    so is what they leave together.  Where not all of them are suffixes asked for, the initial pointers serve.
     """
-    rank = text.astype(np.int64)
-    depth = 1
-    while 2 * depth <= length:  # each pass sorts on the identifiers that the last one made
-        pairs = rank[:-depth] * (int(rank.max()) + 1) + rank[depth:]
-        rank = np.unique(pairs, return_inverse=True)[1].astype(np.int64)
-        depth *= 2
-    rest = length - depth
-    pairs = rank[starts] * (int(rank.max()) + 1) + rank[starts + rest] if rest else rank[starts]
-    return np.unique(pairs, return_inverse=True)[1]
+    if not len(starts):
+        return starts
+    grams = _eights(np.concatenate([text, np.zeros(DIGIT - 1, np.uint8)])).byteswap()  # in the order of the strings
+    order = np.argsort(grams, kind="stable")
+    new = np.concatenate([[True], grams[order][1:] != grams[order][:-1]])
+    initial = np.empty(len(text), np.int64)
+    initial[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
+    pointer, asked, done = initial.copy(), np.zeros(len(text), bool), np.zeros(len(text), bool)
+    asked[starts] = True
+    array = np.unique(starts)
+    array = array[np.argsort(initial[array], kind="stable")]
+    edges = np.flatnonzero(np.concatenate([[True], initial[array][1:] != initial[array][:-1], [True]]))
+    for part in np.array_split(np.arange(len(edges) - 1), min(PARTS, len(edges) - 1)):
+        active, offset = array[edges[part[0]] : edges[part[-1] + 1]], 0
+        while True:
+            # what stands alone is done, and so is what has been compared to the whole depth
+            own = pointer[active]
+            first = np.concatenate([[True], own[1:] != own[:-1]])
+            size = np.diff(np.append(np.flatnonzero(first), len(active)))
+            alone = np.repeat(size, size) == 1
+            done[active[alone]] = True
+            active = active[~done[active]]
+            if offset + DIGIT >= length or not len(active):
+                break
+            offset = min(offset + DIGIT, length - DIGIT)
+            own, later = pointer[active], active + offset
+            bounds = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            size = np.diff(np.append(bounds, len(active)))
+            deep = np.repeat(np.logical_and.reduceat(asked[later], bounds), size)
+            closed = np.repeat(np.logical_and.reduceat(asked[later] & done[later], bounds), size)
+            key = np.where(deep, pointer[later], initial[later])
+            order = np.argsort((np.repeat(np.arange(len(bounds)), size) << 32) | key, kind="stable")
+            active, key, own, closed = active[order], key[order], own[order], closed[order]
+            new = np.concatenate([[True], (own[1:] != own[:-1]) | (key[1:] != key[:-1])])
+            at = np.flatnonzero(new)[np.cumsum(new) - 1]
+            pointer[active] = own + at - np.repeat(bounds, size)
+            done[active] = closed
+        done[array[edges[part[0]] : edges[part[-1] + 1]]] = True
+    # the suffix array; neighbours are compared byte by byte
+    array = array[np.argsort(pointer[array], kind="stable")]
+    differ = np.zeros(max(0, len(array) - 1), bool)
+    for at in [*range(0, length - DIGIT, DIGIT), length - DIGIT]:
+        own = grams[array + at]
+        differ |= own[1:] != own[:-1]
+    out = np.empty(len(text), np.int64)
+    out[array] = np.cumsum(np.concatenate([[False], differ]))
+    return out[starts]
 
 
 class _Block:
@@ -130,27 +174,21 @@ class _Block:
         self.key, self.of_zone = np.unique(self.anchor, return_inverse=True)
 
     def units(self, told: dict) -> None:
-        """The zones at shared anchors (``pick``), and the distinct (anchor, bytes) among them with their least document."""
+        """The zones at shared anchors (``pick``), and the distinct strings among them with their least document."""
         cuts = _bounds(self.key, told["ranges"])
-        flags = np.concatenate([np.unpackbits(told[0][r], count=b - a) if b > a else np.empty(0, np.uint8) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+        flags = np.concatenate([told[0][r] if b > a else np.empty(0, np.uint8) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
         self.pick = np.flatnonzero(flags[self.of_zone])
         spans = zip(self.owner[self.pick].tolist(), self.first[self.pick].tolist(), self.last[self.pick].tolist(), strict=True)
-        content = np.fromiter((xxhash.xxh3_64_intdigest(self.raw[d][a : b + LENGTH]) for d, a, b in spans), np.uint64, len(self.pick))
-        order = np.lexsort((content, self.anchor[self.pick]))
-        anchor, content = self.anchor[self.pick][order], content[order]
-        new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])]) if len(order) else np.empty(0, bool)
-        self.unit = np.empty(len(order), np.int64)
-        self.unit[order] = np.cumsum(new) - 1
-        self.unit_anchor, self.unit_content = anchor[new], content[new]
-        self.unit_zone = self.pick[order][new]
-        self.least = np.full(len(self.unit_anchor), NO_ID)
+        strings: dict[bytes, int] = {}
+        raw = [r.tobytes() for r in self.raw]
+        self.unit = np.fromiter((strings.setdefault(raw[d][a : b + LENGTH], len(strings)) for d, a, b in spans), np.int64, len(self.pick))
+        self.strings = list(strings)
+        zone = np.empty(len(strings), np.int64)
+        zone[self.unit[::-1]] = self.pick[::-1]
+        self.unit_anchor, self.common = self.anchor[zone], flags[self.of_zone[zone]] == 2
+        self.least = np.full(len(strings), NO_ID)
         np.minimum.at(self.least, self.unit, self.ids[self.owner[self.pick]])
 
-    def classes(self, told: dict) -> np.ndarray:
-        """What was answered on each unit: 1 an earlier document has it, 2 its bytes are asked for, 3 so as windows."""
-        cuts = _bounds(self.unit_anchor, told["ranges"])
-        return np.concatenate([told[1][r] if b > a else np.empty(0, np.uint8) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
-
 
 def _bounds(key: np.ndarray, ranges: int) -> list[int]:
     """Where sorted hashes are cut into equal ranges of values."""
@@ -178,17 +216,12 @@ def _texts_by_block(docs: DataFrame, carry: list[str]) -> DataFrame:
     return raw.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("raw")), F.lit(n)))
 
 
-ANCHORS = "range int, block long, hashes binary, several binary"
-ZONES = "range int, block long, anchors binary, contents binary, least binary"
+ANCHORS = "range int, block long, hashes binary, zones binary"
 TOLD = "block long, kind int, range int, a binary, b binary"
-UNITS = "meet int, block long, unit int, shift int, least long, raw binary"
-units_schema = pa.schema([("meet", pa.int32()), ("block", pa.int64()), ("unit", pa.int32()), ("shift", pa.int32()), ("least", pa.int64()), ("raw", pa.binary())])
+UNITS = "meet int, block long, units binary, shifts binary, sizes binary, least binary, raw binary"
+anchors_schema = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("zones", pa.binary())])
+units_schema = pa.schema([("meet", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("units", "shifts", "sizes", "least", "raw"))])
 told_schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("range", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
-zones_schema = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("anchors", pa.binary()), ("contents", pa.binary()), ("least", pa.binary())])
-
-
-def _bits(flags: np.ndarray) -> bytes:
-    return np.packbits(flags).tobytes()
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -196,13 +229,13 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 
 def _told(rows: pa.Table, ranges: int) -> dict:
-    """Answers by kind and range; those on windows (kind 2) as a list."""
-    out = {"ranges": ranges, 0: {}, 1: {}, 2: []}
+    """Answers on anchors by range (0 not shared, 1 shared, 2 by many zones), and those on windows as a list."""
+    out = {"ranges": ranges, 0: {}, 1: []}
     for kind, r, a, b in zip(*(rows.column(c).to_pylist() for c in ("kind", "range", "a", "b")), strict=True):
-        if kind == 2:
-            out[2].append((np.frombuffer(a, "<i4"), np.frombuffer(b, "<i8")))
+        if kind == 1:
+            out[1].append((np.frombuffer(a, "<i4"), np.frombuffer(b, "<i8")))
         else:
-            out[kind][r] = np.frombuffer(a, np.uint8)
+            out[0][r] = np.frombuffer(a, np.uint8)
     return out
 
 
@@ -211,9 +244,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
 
     Columns named in ``carry`` come along as the fields of ``row``.
     """
-    spark = docs.sparkSession
-    ranges = shuffle_partitions(spark)
-    meets = 8 * ranges
+    ranges = meets = 4 * shuffle_partitions(docs.sparkSession)  # several a partition, so that partitions come out even
     texts = _texts_by_block(docs, carry or [])
     spans = T.StructType([*SPANS, texts.schema["row"]])
 
@@ -223,77 +254,66 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
         ids = block.ids[block.owner]
         np.minimum.at(lowest, block.of_zone, ids)
         np.maximum.at(highest, block.of_zone, ids)
+        # a byte per anchor: how many zones, and whether of several documents
+        n_zones = (np.minimum(np.bincount(block.of_zone, minlength=len(block.key)), 127) | (lowest != highest).astype(np.int64) << 7).astype(np.uint8)
         cuts, number = _bounds(block.key, ranges), group.column("block")[0].as_py()
-        rows = [(r, number, _six(block.key[a:b]), _bits(lowest[a:b] != highest[a:b])) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-        return _rows(rows, pa.schema([("range", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("several", pa.binary())]))
+        return _rows([(r, number, _six(block.key[a:b]), n_zones[a:b].tobytes()) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a], anchors_schema)
 
     def find_shared(group: pa.Table) -> pa.Table:
         lists = [_of_six(h) for h in group.column("hashes").to_pylist()]
-        several = [np.unpackbits(np.frombuffer(s, np.uint8), count=len(h)) for s, h in zip(group.column("several").to_pylist(), lists, strict=True)]
-        key, count = np.unique(np.concatenate(lists), return_counts=True)
-        count[np.searchsorted(key, np.concatenate([h[s > 0] for h, s in zip(lists, several, strict=True)]))] += 1
-        r = group.column("range")[0].as_py()
-        return _rows([(n, 0, r, _bits(count[np.searchsorted(key, h)] > 1), None) for n, h in zip(group.column("block").to_pylist(), lists, strict=True)], told_schema)
-
-    def send_zones(group: pa.Table, told: pa.Table) -> pa.Table:
-        if not group.num_rows:
-            return zones_schema.empty_table()
-        block = _Block(group)
-        block.units(_told(told, ranges))
-        cuts, number = _bounds(block.unit_anchor, ranges), group.column("block")[0].as_py()
-        rows = [(r, number, _six(block.unit_anchor[a:b]), block.unit_content[a:b].tobytes(), block.least[a:b].tobytes()) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-        return _rows(rows, zones_schema)
-
-    def find_classes(group: pa.Table) -> pa.Table:
-        anchors = [_of_six(x) for x in group.column("anchors").to_pylist()]
-        anchor = np.concatenate(anchors)
-        content = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("contents").to_pylist()])
-        least = np.concatenate([np.frombuffer(x, np.int64) for x in group.column("least").to_pylist()])
-        order = np.lexsort((least, content, anchor))
-        anchor, content, least = anchor[order], content[order], least[order]
-        new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-        new = new_anchor | np.concatenate([[True], content[1:] != content[:-1]])
-        first = least[new][np.cumsum(new) - 1]
-        n_contents = np.bincount(np.cumsum(new_anchor) - 1, new)[np.cumsum(new_anchor) - 1]
-        flags = np.empty(len(order), np.uint8)
-        flags[order] = np.where(least > first, 1, np.where(n_contents < 2, 0, np.where(n_contents > COMMON, 3, 2)))
-        r, ends = group.column("range")[0].as_py(), np.cumsum([len(x) for x in anchors])
-        return _rows([(n, 1, r, f.tobytes(), None) for n, f in zip(group.column("block").to_pylist(), np.split(flags, ends[:-1]), strict=True)], told_schema)
+        every, n_zones = np.concatenate(lists), np.frombuffer(b"".join(group.column("zones").to_pylist()), np.uint8)
+        key, place = np.unique(every, return_inverse=True)
+        blocks, zones_of = np.bincount(place, minlength=len(key)), np.bincount(place, n_zones & 127, len(key))
+        shared = (blocks > 1) | (np.bincount(place, n_zones >> 7, len(key)) > 0)
+        flags = np.where(shared, np.where(zones_of > COMMON, 2, 1), 0).astype(np.uint8)[place]
+        r, ends = group.column("range")[0].as_py(), np.cumsum([len(x) for x in lists])
+        return _rows([(n, 0, r, f.tobytes(), None) for n, f in zip(group.column("block").to_pylist(), np.split(flags, ends[:-1]), strict=True)], told_schema)
 
     def send_units(group: pa.Table, told: pa.Table) -> pa.Table:
         if not group.num_rows:
             return units_schema.empty_table()
-        block, answers = _Block(group), _told(told, ranges)
-        block.units(answers)
-        classes, number, rows = block.classes(answers), group.column("block")[0].as_py(), []
-        for u in np.flatnonzero(classes > 1).tolist():
-            z = block.unit_zone[u]
-            raw, least = block.raw[block.owner[z]][block.first[z] : block.last[z] + LENGTH].tobytes(), int(block.least[u])
-            if classes[u] == 2:
-                rows.append((int(block.unit_anchor[u]) % meets, number, u, 0, least, raw))
+        block = _Block(group)
+        block.units(_told(told, ranges))
+        number, by = group.column("block")[0].as_py(), defaultdict(list)
+        for u, (raw, meet, common) in enumerate(zip(block.strings, (block.unit_anchor % np.uint64(meets)).tolist(), block.common.tolist(), strict=True)):
+            if common:
+                for k in range(len(raw) - LENGTH + 1):
+                    by[xxhash.xxh3_64_intdigest(raw[k : k + LENGTH]) % meets].append((u, k, raw[k : k + LENGTH]))
             else:
-                rows += [(xxhash.xxh3_64_intdigest(raw[k : k + LENGTH]) % meets, number, u, k, least, raw[k : k + LENGTH]) for k in range(len(raw) - LENGTH + 1)]
+                by[meet].append((u, 0, raw))
+        rows = []
+        for meet, own in by.items():
+            unit, shift, raw = zip(*own, strict=True)
+            rows.append((meet, number, np.array(unit, "<i4").tobytes(), bytes(shift), bytes(map(len, raw)), block.least[list(unit)].tobytes(), b"".join(raw)))
         return _rows(rows, units_schema)
 
     def compare(group: pa.Table) -> pa.Table:
         """Which windows of each unit an earlier document has."""
-        raw, least = group.column("raw").to_pylist(), group.column("least").to_numpy()
-        sizes = np.array([len(r) for r in raw])
-        text = np.frombuffer(b"".join(raw) + bytes(LENGTH), np.uint8)
-        begin = np.cumsum(sizes) - sizes
-        n = sizes - LENGTH + 1
-        unit = np.repeat(np.arange(len(raw)), n)
-        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        bucket = refine(text, begin[unit] + offset, LENGTH)
-        first = np.full(int(bucket.max()) + 1, NO_ID)
-        np.minimum.at(first, bucket, least[unit])
-        gone = first[bucket] < least[unit]
-        bits = np.zeros(len(raw), np.int64)
-        np.bitwise_or.at(bits, unit, gone.astype(np.int64) << offset)
-        bits <<= group.column("shift").to_numpy()
+        read = lambda c, kind: np.frombuffer(b"".join(group.column(c).to_pylist()), kind)
+        size, least, shift, unit = read("sizes", np.uint8).astype(np.int64), read("least", "<i8"), read("shifts", np.uint8), read("units", "<i4")
+        raw = b"".join(group.column("raw").to_pylist())
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)]).dictionary_encode()
+        of, distinct = strings.indices.to_numpy(), strings.dictionary.to_pylist()
+        text = np.frombuffer(b"".join(distinct) + bytes(LENGTH), np.uint8)
+        length = np.array([len(x) for x in distinct])
+        n, begin = length - LENGTH + 1, np.cumsum(length) - length
+        window = np.cumsum(n) - n
+        place = np.arange(n.sum()) - np.repeat(window, n)
+        classes = refine(text, np.repeat(begin, n) + place, LENGTH)
+        of_string = np.full(len(distinct), NO_ID)
+        np.minimum.at(of_string, of, least)
+        first = np.full(int(classes.max()) + 1, NO_ID)
+        np.minimum.at(first, classes, np.repeat(of_string, n))
+        each = n[of]
+        k = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        gone = first[classes[np.repeat(window[of], each) + k]] < np.repeat(least, each)
+        bits = np.bitwise_or.reduceat(gone.astype(np.int64) << k, np.cumsum(each) - each) << shift
+        block = np.repeat(group.column("block").to_numpy(), [len(x) // 4 for x in group.column("units").to_pylist()])
         own = np.flatnonzero(bits)
-        by = pd.DataFrame({"block": group.column("block").to_numpy()[own], "unit": group.column("unit").to_numpy()[own].astype("<i4"), "bits": bits[own]})
-        return _rows([(k, 2, 0, g.unit.to_numpy().tobytes(), g.bits.to_numpy().tobytes()) for k, g in by.groupby("block")], told_schema)
+        own = own[np.argsort(block[own], kind="stable")]
+        heads = np.flatnonzero(np.concatenate([[True], block[own][1:] != block[own][:-1]])) if len(own) else own
+        return _rows([(int(block[i[0]]), 1, 0, unit[i].tobytes(), bits[i].tobytes()) for i in np.split(own, heads[1:]) if len(i)], told_schema)
 
     def cut(group: pa.Table, told: pa.Table) -> pa.Table:
         row = group.column("row").combine_chunks()
@@ -302,9 +322,8 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
             return fields.empty_table()
         block, answers = _Block(group), _told(told, ranges)
         block.units(answers)
-        whole = block.classes(answers) == 1
-        bits = np.zeros(len(whole), np.int64)
-        for u, b in answers[2]:
+        bits = np.zeros(len(block.strings), np.int64)
+        for u, b in answers[1]:
             np.bitwise_or.at(bits, u, b)
         owner, out = block.owner[block.pick], []
         bounds = np.searchsorted(owner, np.arange(len(block.ids) + 1))
@@ -315,7 +334,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
             place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             start = np.repeat(a, n) + place
             # a later document of the block loses the whole unit, the least one what others have before it
-            own = np.repeat(whole[u] | (block.least[u] < doc), n) | (np.repeat(bits[u], n) >> place & 1).astype(bool)
+            own = np.repeat(block.least[u] < doc, n) | (np.repeat(bits[u], n) >> place & 1).astype(bool)
             start = start[own]
             edge = np.zeros(len(raw) + 1, np.int32)
             np.add.at(edge, start, 1)
@@ -329,10 +348,8 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
 
     by_block = texts.groupBy("block")
     shared = by_block.applyInArrow(send_anchors, ANCHORS).groupBy("range").applyInArrow(find_shared, TOLD)
-    classes = by_block.cogroup(shared.groupBy("block")).applyInArrow(send_zones, ZONES).groupBy("range").applyInArrow(find_classes, TOLD)
-    known = shared.unionByName(classes)
-    verdicts = by_block.cogroup(known.groupBy("block")).applyInArrow(send_units, UNITS).groupBy("meet").applyInArrow(compare, TOLD)
-    return by_block.cogroup(known.unionByName(verdicts).groupBy("block")).applyInArrow(cut, spans)
+    verdicts = by_block.cogroup(shared.groupBy("block")).applyInArrow(send_units, UNITS).groupBy("meet").applyInArrow(compare, TOLD)
+    return by_block.cogroup(shared.unionByName(verdicts).groupBy("block")).applyInArrow(cut, spans)
 
 
 spans_schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string()), ("span_starts", pa.list_(pa.int64())), ("span_ends", pa.list_(pa.int64()))])
