@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep, slices, small_batches, table
-from .tokenizers_io import load_ranks
+from .tokenizers_io import byte_level_ids
 
 CAPACITY, END_ID = 1024, 2
 SHARD_PIECES, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2048, 3, 2, 8, 5
@@ -40,23 +40,18 @@ TASK_ISLANDS = 16
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def text_ids(text: str, ranks: str) -> bytes:
-    """All ids of a text as little-endian 32-bit words; special strings inside it are special ids."""
-    return load_ranks(ranks).encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
-
-
-def token_pieces(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """``(doc_id, text)`` to pieces of at most ``capacity`` ids: their place, length and checksum."""
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             rows = []
             for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                ids = memoryview(text_ids(text.as_py() or "", ranks) + end)
-                n = len(ids) // 4
+                ids = np.concatenate([byte_level_ids(text.as_py() or "", tokenizer), end])
+                n = len(ids)
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                rows += [(doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+                rows += [(doc, k, a, b - a, zlib.crc32(ids[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
 

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import base64
 import os
+import re
+import sys
+import unicodedata
 from functools import lru_cache
 
+import numpy as np
+
 
 def tokenizer_path(name: str) -> str:
     """A full path stays; a bare name is looked up among the installed public tokenizers."""
@@ -25,11 +30,37 @@ def load_json(name: str):
 
 
 @lru_cache(maxsize=4)
-def load_ranks(name: str):
-    """The byte-level vocabulary as ranks: the same ids as its .json form, special string included."""
+def load_ranks(name: str, special_from: str):
+    """A byte-level vocabulary as ranks, with the special strings and ids of its .json form ``special_from``."""
     import public_tokenizers
     import tiktoken
 
     with open(tokenizer_path(name), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
+    special = {t.content: i for i, t in load_json(special_from).get_added_tokens_decoder().items()}
+    return tiktoken.Encoding(special_from, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
+@lru_cache(maxsize=1)
+def _unassigned() -> re.Pattern:
+    """Code points without a category, on which libraries of different Unicode versions split texts differently."""
+    points = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
+    starts = [c for c, before in zip(points, [-2, *points], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(points, [*points[1:], -2], strict=True) if after != c + 1]
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True)) + "]")
+
+
+def byte_level_ids(text: str, tokenizer: str) -> np.ndarray:
+    """The ids that the tokenizers library gives a whole text, special strings inside it as special ids.
+
+    Its rank file, where there is one, gives the same ids several times faster, but for texts with
+    unassigned code points and for those that its pattern engine gives up (very long runs of blanks): these go to the
+    library.
+    """
+    ranks = f"{tokenizer.removesuffix('.json')}.tiktoken"
+    if os.path.exists(tokenizer_path(ranks)) and (text.isascii() or not _unassigned().search(text)):
+        try:
+            return load_ranks(ranks, tokenizer).encode_to_numpy(text, allowed_special="all").astype("<u4")
+        except ValueError:
+            pass
+    return np.array(load_json(tokenizer).encode(text, add_special_tokens=False).ids, "<u4")
