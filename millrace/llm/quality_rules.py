@@ -1,11 +1,14 @@
 """Quality rules with risk-controlled thresholds: statistics of each text, cutoffs certified on labelled holdouts.
 
-Every rule says "reject above the cutoff" of one statistic; the candidate cutoffs are fixed beforehand.
-For each stratum (language), rule and cutoff, the labelled good documents of the stratum are the
-holdout: with ``k`` of ``n`` rejected, the cutoff is certified if a true false-rejection rate of
-``risk / rules`` would give ``k`` or fewer with probability at most ``delta / hypotheses`` (the exact
-binomial tail, Bonferroni over all strata, rules and cutoffs).  The strictest certified cutoff counts, so
-with probability ``1 - delta`` no stratum loses more than ``risk`` of its good documents.  A stratum
+Every rule says "reject above the cutoff" of one statistic; the candidate cutoffs are fixed beforehand, loosest
+first.  The labelled good documents of each stratum (language) are halved by a hash of their id.  One half
+tunes: of every rule it picks the strictest cutoff that costs it at most ``risk / rules``.  The other half
+certifies: the policies "all rules, each ``s`` cutoffs looser than tuned" reject ever more as ``s`` falls, so they
+are tested in that order, each at the whole level of the stratum, up to the first that fails (fixed sequence;
+nothing is split among rules and cutoffs).  A policy is certified if a true false-rejection rate of ``risk``
+would show as few rejections as ``k`` of ``n`` with probability at most ``delta / strata`` (the exact
+binomial tail, Bonferroni over the strata).  The strictest certified policy counts, so with probability
+``1 - delta`` no stratum loses more than ``risk`` of its good documents to all rules together.  A stratum
 without labels enough to certify anything loses nothing but to the base rule.
 
 Everything is DataFrame functions: statistics in one row-wise pass, counts by one aggregation.
@@ -28,15 +31,17 @@ from .common import WORD_BREAKS, keep, table, text_or_empty
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
 WINDOW = 5
 RISK, DELTA = 0.05, 0.05
-#: Statistic and candidate cutoffs; a document above the cutoff is rejected.
+#: Statistic and candidate cutoffs, loosest first; a document above the cutoff is rejected.
 RULES: dict[str, tuple[float, ...]] = {
-    "symbols_per_word": (0.02, 0.05, 0.1, 0.2, 0.4, 0.8),
-    "duplicate_lines": (0.1, 0.2, 0.3, 0.5),
-    "repeated_words": (0.02, 0.05, 0.1, 0.15),
-    "capitals": (0.1, 0.2, 0.3, 0.5, 0.8),
-    "exclamations_per_word": (0.05, 0.1, 0.2, 0.5, 0.8),
-    "mean_word_length": (9.0, 12.0, 16.0, 24.0),
+    "symbols_per_word": (0.8, 0.4, 0.2, 0.1, 0.05, 0.02),
+    "duplicate_lines": (0.5, 0.3, 0.2, 0.1),
+    "repeated_words": (0.15, 0.1, 0.05, 0.02),
+    "capitals": (0.8, 0.5, 0.3, 0.2, 0.1),
+    "exclamations_per_word": (0.8, 0.5, 0.2, 0.1, 0.05),
+    "mean_word_length": (24.0, 16.0, 12.0, 9.0),
 }
+#: How many cutoffs looser than tuned a policy can be without being empty.
+LOOSEST = max(map(len, RULES.values())) - 1
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -96,30 +101,47 @@ def log_binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(steps, start, step, lambda a: a["total"])
 
 
-def certified_cutoffs(statistics: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """``(stratum, cutoffs map)``: per rule the strictest cutoff that the holdout certifies."""
+def tunes(doc_id: Column) -> Column:
+    """Whether a labelled document is of the half that tunes."""
+    return F.substring(F.md5(doc_id.cast("string").cast("binary")), 1, 1) < "8"
+
+
+def _passed(rule: str) -> Column:
+    """How many cutoffs of a rule, loosest first, a document does not exceed."""
+    return sum(((F.col(rule) <= c).cast("int") for c in RULES[rule]), F.lit(0))
+
+
+def _margins() -> dict[str, Column]:
+    """Per rule, how many cutoffs looser than tuned it can be and still reject; null if the rule is off."""
+    return {r: F.when(F.col("tuned")[r] >= 0, F.col("tuned")[r] - _passed(r)) for r in RULES}
+
+
+def certified_policies(statistics: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """``(stratum, tuned, looser)``: per rule the place of the tuned cutoff (-1: none), and by how many cutoffs the certified policy is looser (null: none is certified)."""
     good = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
     held = statistics.where("NOT base_failed").join(good, "doc_id", "left_semi")
-    over = [F.sum((F.col(r) > c).cast("long")) for r, cs in RULES.items() for c in cs]
-    names = [(r, c) for r, cs in RULES.items() for c in cs]
-    counts = held.groupBy(F.col(stratum).alias("_stratum")).agg(F.count("*").alias("n"), F.array(*over).alias("ks"))
-    grid = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff")) for r, c in names))
-    m = counts.agg((F.count("*") * len(names)).alias("m"))
-    each = counts.crossJoin(F.broadcast(m)).select("_stratum", "n", "m", F.explode(F.arrays_zip(grid.alias("g"), F.col("ks").alias("k"))).alias("t"))
-    each = each.select("_stratum", "n", "m", F.col("t.g.rule").alias("rule"), F.col("t.g.cutoff").alias("cutoff"), F.col("t.k").alias("k"))
-    per_rule = risk / len(RULES)
-    sure = F.when(F.col("k") <= F.col("n") * per_rule, log_binomial_tail(F.col("k"), F.col("n"), per_rule) <= F.log(F.lit(delta) / F.col("m")))
-    best = each.where(sure).groupBy("_stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
-    return best.groupBy("_stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
+    half = tunes(F.col("doc_id"))
+    allowed = F.count("*") * (risk / len(RULES))
+    # rejections grow with strictness, so the cutoffs that cost little enough come first
+    place = {r: sum(((F.sum((F.col(r) > c).cast("long")) <= allowed).cast("int") for c in cs), F.lit(0)) - 1 for r, cs in RULES.items()}
+    tuned = held.where(half).groupBy(F.col(stratum).alias("_stratum")).agg(F.struct(*(x.alias(r) for r, x in place.items())).alias("tuned"))
+    tuned = keep(tuned, "tuned")  # as a table, its size is known to the planner
+    margin = held.where(~half).join(tuned, F.col(stratum).eqNullSafe(F.col("_stratum"))).select("_stratum", "tuned", F.greatest(*_margins().values()).alias("margin"))
+    ks = F.array(*(F.sum(F.coalesce((F.col("margin") >= s).cast("long"), F.lit(0))) for s in range(LOOSEST + 1)))
+    counts = keep(margin.groupBy("_stratum", "tuned").agg(F.count("*").alias("n"), ks.alias("ks")), "counts")
+    level = delta / max(1, counts.count())  # strata: a single number
+    sure = F.transform("ks", lambda k: (k <= F.col("n") * risk) & (log_binomial_tail(k, F.col("n"), risk) <= F.log(F.lit(level))))
+    n_sure = F.size(F.filter(sure, lambda x: x))  # rejections fall with looseness, so the certified ones are the loosest
+    return counts.select("_stratum", "tuned", F.when(n_sure > 0, LOOSEST + 1 - n_sure).alias("looser"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """Every document with its counts, the rules it breaks (``broken``) and the verdict ``kept``."""
     statistics = keep(text_statistics(docs, "doc_id", stratum), "statistics")
-    cutoffs = keep(certified_cutoffs(statistics, labels, stratum), "cutoffs")  # as a table, its size is known to the planner
-    out = statistics.join(cutoffs, F.col(stratum).eqNullSafe(F.col("_stratum")), "left").drop("_stratum")
-    breaks = [F.when(F.col(r) > F.col("cutoffs")[r], F.lit(r)) for r in RULES]
-    out = out.withColumn("broken", F.array_compact(F.array(*breaks))).drop("cutoffs")
+    policies = keep(certified_policies(statistics, labels, stratum), "policies")
+    out = statistics.join(policies, F.col(stratum).eqNullSafe(F.col("_stratum")), "left").drop("_stratum")
+    breaks = [F.when(m >= F.col("looser"), F.lit(r)) for r, m in _margins().items()]
+    out = out.withColumn("broken", F.array_compact(F.array(*breaks))).drop("tuned", "looser")
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
 
 

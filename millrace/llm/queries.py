@@ -40,11 +40,13 @@ _RULE_SQL = {
 
 
 def _rules_sql() -> str:
-    """Base counts, the certified cutoffs by the exact tail, and the verdict."""
-    pairs = [(r, c) for r, cs in quality_rules.RULES.items() for c in cs]
-    tests = ", ".join(f"('{r}', {c})" for r, c in pairs)
-    p = quality_rules.RISK / len(quality_rules.RULES)
-    value = "CASE rule " + " ".join(f"WHEN '{r}' THEN {_RULE_SQL[r]}" for r in quality_rules.RULES) + " END"
+    """Base counts, the tuned cutoffs, the policies certified by the exact tail, and the verdict."""
+    rules, risk, delta = quality_rules.RULES, quality_rules.RISK, quality_rules.DELTA
+    steps = range(quality_rules.LOOSEST + 1)
+    passed = ", ".join("(" + " + ".join(f"CAST({_RULE_SQL[r]} <= {c} AS INT)" for c in cs) + f") AS v{k}" for k, (r, cs) in enumerate(rules.items()))
+    tuned = ", ".join("(" + " + ".join(f"CAST(count(*) FILTER (WHERE v{k} <= {j}) <= count(*) * {risk / len(rules)} AS INT)" for j in range(len(cs))) + f") - 1 AS i{k}" for k, cs in enumerate(rules.values()))
+    margin = "greatest(" + ", ".join(f"CASE WHEN i{k} >= 0 THEN i{k} - v{k} END" for k in range(len(rules))) + ")"
+    tail = f"list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk}))))"
     return f"""WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS x FROM documents),
   b AS (SELECT doc_id, lang, x, list_filter(string_split_regex(x, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws, list_filter(string_split(x, chr(10)), lambda s: regexp_matches(s, '[^\\x20\\x09-\\x0D]')) AS ls FROM t),
   win AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM b)),
@@ -54,14 +56,15 @@ def _rules_sql() -> str:
       CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(x, '[^A-Z]', '', 'g')) AS capitals, length(regexp_replace(x, '[^!]', '', 'g')) AS exclamations
       FROM b LEFT JOIN rep USING (doc_id)),
   f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s),
+  p AS (SELECT doc_id, lang, {passed} FROM f WHERE NOT base_failed),
   good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY 1 HAVING min(quality) = 1),
-  held AS (SELECT f.* FROM f WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)),
-  grid(rule, cutoff) AS (VALUES {tests}),
-  counts AS (SELECT lang, rule, cutoff, count(*) AS n, count(*) FILTER (WHERE {value} > cutoff) AS k FROM held, grid GROUP BY ALL),
-  sure AS (SELECT lang, rule, cutoff FROM counts WHERE k <= n * {p} AND list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) <= {quality_rules.DELTA} / (SELECT count(*) FROM counts)),
-  best AS (SELECT lang, rule, min(cutoff) AS cutoff FROM sure GROUP BY ALL),
-  broken AS (SELECT DISTINCT f.doc_id FROM f JOIN best ON f.lang IS NOT DISTINCT FROM best.lang WHERE NOT base_failed AND {value} > cutoff)
-  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM broken) AS kept FROM f"""
+  held AS (SELECT p.*, substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '8' AS tunes FROM p WHERE doc_id IN (SELECT doc_id FROM good)),
+  tuned AS (SELECT lang, {tuned} FROM held WHERE tunes GROUP BY lang),
+  m AS (SELECT h.lang, {margin} AS m FROM held h JOIN tuned t ON h.lang IS NOT DISTINCT FROM t.lang WHERE NOT tunes),
+  counts AS (SELECT lang, s, count(*) AS n, count(*) FILTER (WHERE m >= s) AS k FROM m, (SELECT unnest({list(steps)}) AS s) GROUP BY ALL),
+  policy AS (SELECT lang, min(s) AS looser FROM counts WHERE k <= n * {risk} AND {tail} <= {delta} / (SELECT count(*) FROM (SELECT DISTINCT lang FROM counts)) GROUP BY lang),
+  broken AS (SELECT DISTINCT p.doc_id FROM p JOIN tuned t ON p.lang IS NOT DISTINCT FROM t.lang JOIN policy q ON p.lang IS NOT DISTINCT FROM q.lang WHERE {margin} >= looser)
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT EXISTS (SELECT 1 FROM broken x WHERE x.doc_id = f.doc_id) AS kept FROM f"""
 
 
 def oracle_sql() -> dict[str, str]:
