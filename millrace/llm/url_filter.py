@@ -2,10 +2,12 @@
 
 The trees learn from the URLs that rules label (allow or block).  Features: length, depth, digit ratio,
 character entropy, parameter counts, host shape, and statistics of the host's suffix (how many labelled
-URLs have it, which share of them is blocked).  Each boosting round grows one tree of depth two: the
-gradients and curvatures of the logistic loss are summed per node, feature and bin by one aggregation, the
-driver sees that table only (its size is nodes x features x bins), and the tree becomes a CASE
-expression, so scoring stays in generated code.  DataFrame functions throughout.
+URLs have it, which share of them is blocked; of a URL learnt from, its own label is left out).  Each boosting
+round grows one tree of depth two: the gradients and curvatures of the logistic loss are summed per node,
+feature and bin by one aggregation, the driver sees that table only (its size is nodes x features x bins), and
+the tree becomes a CASE expression, so scoring stays in generated code.  A fifth of the rows, by hash, grows no
+tree: rounds end when the loss on it has not fallen for ``PATIENCE`` rounds, and the trees up to the best are
+kept.  DataFrame functions throughout.  ``holdout`` measures what the trees are worth on URLs they did not see.
 
 The fit uses at most about ``TRAIN_ROWS`` labelled URLs, chosen by hash; every URL is judged.
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import keep, table
 
-TRAIN_ROWS, ROUNDS, BINS, RATE, RIDGE = 50_000, 8, 16, 0.5, 1.0
+TRAIN_ROWS, ROUNDS, PATIENCE, BINS, RATE, RIDGE = 50_000, 16, 2, 16, 0.5, 1.0
 
 
 @dataclass(frozen=True)
@@ -72,8 +74,13 @@ def _count(text: Column, chars: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("double")
 
 
-def lexical_features(ruled: DataFrame, suffixes: DataFrame, prior: float) -> DataFrame:
-    """The features of every URL, nulls as empty; ``suffixes`` is ``(suffix, seen, blocked)`` of labelled URLs."""
+def lexical_features(ruled: DataFrame, suffixes: DataFrame, prior: float, own: Column | None = None) -> DataFrame:
+    """The features of every URL, nulls as empty; ``suffixes`` is ``(suffix, seen, blocked)`` of labelled URLs.
+
+    ``own`` is the label (1.0 or 0.0) of rows that ``suffixes`` counts and that are to learn from the others only.
+    """
+    counted = F.lit(0 if own is None else 1)
+    own = F.lit(0.0) if own is None else own
     url = F.coalesce(F.col("url"), F.lit(""))
     length = F.length(url).cast("double")
     share = lambda c: (length - F.length(F.replace(url, c))) / length
@@ -85,8 +92,8 @@ def lexical_features(ruled: DataFrame, suffixes: DataFrame, prior: float) -> Dat
     })
     out = out.join(suffixes, F.col("_suffix") == F.col("suffix"), "left")
     return out.withColumns({
-        "suffix_count": F.log1p(F.coalesce("seen", F.lit(0)).cast("double")),
-        "suffix_blocked": (F.coalesce("blocked", F.lit(0)) + prior) / (F.coalesce("seen", F.lit(0)) + 1.0),
+        "suffix_count": F.log1p((F.coalesce("seen", F.lit(0)) - counted).cast("double")),
+        "suffix_blocked": (F.coalesce("blocked", F.lit(0)) - own + prior) / (F.coalesce("seen", F.lit(0)) - counted + 1.0),
     }).drop("suffix", "seen", "blocked", "_suffix")
 
 
@@ -109,24 +116,32 @@ def _best_split(rows: list, cuts: dict[str, list[float]]) -> tuple[str, float] |
     return found
 
 
-def boost(train: DataFrame, base: float) -> Column:
-    """Log-odds of block, as an expression of the feature columns; ``train`` has ``label`` 0.0 or 1.0."""
+def boost(rows: DataFrame, base: float) -> Column:
+    """Log-odds of block, as an expression of the feature columns; ``rows`` has ``label`` 0.0 or 1.0."""
+    aside = F.pmod(F.xxhash64(*FEATURES, "label"), F.lit(5)) == 0
+    train = rows.where(~aside)
     quantiles = train.agg(*(F.percentile_approx(f, [k / BINS for k in range(1, BINS)]).alias(f) for f in FEATURES)).first()
     cuts = {f: sorted(set(quantiles[f] or [])) for f in FEATURES}
     bin_of = lambda f: sum(((F.col(f) > c).cast("int") for c in cuts[f]), F.lit(0))
     binned = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), bin_of(f).alias("bin")) for f in FEATURES)))
-    score = F.lit(base)
 
     def sums(node: Column, current: Column) -> dict[int, list]:
         p = 1 / (1 + F.exp(-current))
         each = train.select(node.alias("node"), (F.col("label") - p).alias("g"), (p * (1 - p)).alias("h"), binned.alias("b"))
-        rows = each.groupBy("node", "b.feature", "b.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
-        return {n: [r for r in rows if r["node"] == n] for n in {r["node"] for r in rows}}
+        got = each.groupBy("node", "b.feature", "b.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
+        return {n: [r for r in got if r["node"] == n] for n in {r["node"] for r in got}}
+
+    def loss(current: Column) -> float:
+        """The mean logistic loss on the rows set aside."""
+        signed = F.when(F.col("label") > 0, current).otherwise(-current)
+        return rows.where(aside).agg(F.avg(F.log1p(F.exp(-signed)))).first()[0] or 0.0
 
-    def leaf(rows: list) -> float:
-        own = [r for r in rows if r["feature"] == FEATURES[0]]
+    def leaf(got: list) -> float:
+        own = [r for r in got if r["feature"] == FEATURES[0]]
         return RATE * sum(r["g"] for r in own) / (sum(r["h"] for r in own) + RIDGE)
 
+    score = best = F.lit(base)
+    least, since = loss(score), 0
     for _ in range(ROUNDS):
         root = _best_split(sums(F.lit(0), score).get(0, []), cuts)
         if not root:
@@ -138,28 +153,50 @@ def boost(train: DataFrame, base: float) -> Column:
         node = F.when(left, F.when(side(0), 0).otherwise(1)).otherwise(F.when(side(1), 2).otherwise(3))
         leaves = sums(node, score)
         score = score + F.element_at(F.array(*(F.lit(leaf(leaves.get(n, []))) for n in range(4))), node + 1)
-    return score
+        now = loss(score)
+        if now < least:
+            best, least, since = score, now, 0
+        else:
+            since += 1
+        if since == PATIENCE:
+            break
+    return best
 
 
-def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """Every URL with host, path, rule, the trees' ``block_score`` and the verdict."""
-    ruled = apply_rules(pages.select("page_id", "url"), rules)
-    labelled = ruled.where(F.col("ruled").isNotNull())
+def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[DataFrame, float, Column]:
+    """The suffix table and the share of blocked URLs, both for ``lexical_features``, and the log-odds of block.
+
+    ``labelled`` has page_id, url, host, path and ``ruled``.
+    """
     blocked = (F.col("ruled") == "block").cast("double")
     counted = labelled.groupBy(F.substring_index("host", ".", -1).alias("suffix")).agg(F.count("*").alias("seen"), F.sum(blocked).alias("blocked"))
     suffixes = keep(counted, "suffixes")  # as a table, its size is known to the planner
     n, n_blocked = suffixes.agg(F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0.0))).first()
     prior = n_blocked / n if n else 0.0
-    features = lexical_features(ruled, suffixes, prior)
-    if 0 < prior < 1:
-        drawn = F.pmod(F.xxhash64("page_id", "url"), F.lit(max(n, train_rows))) < train_rows
-        train = lexical_features(labelled.where(drawn), suffixes, prior).select(*FEATURES, blocked.alias("label"))
-        score = boost(keep(train, "labelled"), math.log(prior / (1 - prior)))
-    else:
-        score = F.lit(1.0 if prior else -1.0)
-    out = features.withColumn("block_score", 1 / (1 + F.exp(-score)))
+    if not 0 < prior < 1:
+        return suffixes, prior, F.lit(1.0 if prior else -1.0)
+    drawn = F.pmod(F.xxhash64("page_id", "url"), F.lit(max(n, train_rows))) < train_rows
+    train = lexical_features(labelled.where(drawn), suffixes, prior, blocked).select(*FEATURES, blocked.alias("label"))
+    return suffixes, prior, boost(keep(train, "labelled"), math.log(prior / (1 - prior)))
+
+
+def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """Every URL with host, path, rule, the trees' ``block_score`` and the verdict."""
+    ruled = apply_rules(pages.select("page_id", "url"), rules)
+    suffixes, prior, score = fit(ruled.where(F.col("ruled").isNotNull()), train_rows)
+    out = lexical_features(ruled, suffixes, prior).withColumn("block_score", 1 / (1 + F.exp(-score)))
     return out.withColumn("verdict", F.coalesce("ruled", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")))
 
 
+def holdout(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, folds: int = 5) -> DataFrame:
+    """One row: of the ruled URLs of a fold by hash, how many the trees of the other folds judge as their rule does, and how many are blocked."""
+    ruled = apply_rules(pages.select("page_id", "url"), rules).where("ruled IS NOT NULL")
+    ours = F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(folds)) == 0
+    suffixes, prior, score = fit(ruled.where(~ours))
+    seen = lexical_features(ruled.where(ours), suffixes, prior)
+    right = ((score >= 0) == (F.col("ruled") == "block")).cast("long")
+    return seen.agg(F.count("*").alias("n"), F.coalesce(F.sum(right), F.lit(0)).alias("n_right"), F.coalesce(F.sum((F.col("ruled") == "block").cast("long")), F.lit(0)).alias("n_blocked"))
+
+
 def op6_urls(spark, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
