@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.llm import language_model, media, mixing, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
+from millrace.llm import language_model, media, mixing, near_dedup, packing, quality_classifier, quality_rules, queries, suffix_dedup, token_counts, url_filter
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -74,14 +74,24 @@ def test_token_counts_equal_the_library(docs, rows, empty, monkeypatch):
     assert token_counts.token_counts(empty).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(max_size=60))
+@settings(max_examples=100, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.lists(st.sampled_from(["don't", "Word", "word.", "x1y22", "<|endoftext|>", "é\u0301", "\u0301", "'S", "'s", "\u2003", " ", "\n", "\x1c", "İ", "ß"]), max_size=12).map("".join)))
 def test_pretokens_lose_nothing(text):
     from millrace.llm.tokenizers_io import load_json
 
     tok = load_json("word_bpe_49k.json")
-    n = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
-    assert sum(map(n, token_counts.pretokens(text))) == n(text)
+    split, pieces = token_counts.Pretokens("word_bpe_49k.json"), token_counts.Pieces("word_bpe_49k.json")
+    assert sum(pieces[t] for r in token_counts.runs(text) for t in split[r]) == len(tok.encode(text, add_special_tokens=False).ids)
+
+
+def test_pretokens_are_those_of_the_tokenizer():
+    split = token_counts.Pretokens("word_bpe_49k.json")
+    assert split["Word,"] == ["word", ","] and split["it's42"] == ["it", "'s", "4", "2"]
+
+
+def test_tokenizers_that_join_words_are_refused(docs):
+    with pytest.raises(ValueError, match="white space"):
+        token_counts.token_counts(docs, "byte_bpe_50k.json")
 
 
 # --- packing --------------------------------------------------------------------------------------------
@@ -98,6 +108,30 @@ def test_pieces_equal_the_library(docs, rows):
     compare(packing.token_pieces(docs).collect(), want)
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "x", "x" * 100_000, "\n" * 1_000_000, "\u3000" * 300_000 + "y", "ab " * 100_000, "\u0558\u058b a\U0003fc3f1 <|endoftext|>", "<|endoftext|>" * 3, "\U0001f600\u2003 \x85 '\u017f's"])
+def test_odd_texts_have_the_librarys_ids(text):
+    from millrace.llm.tokenizers_io import byte_level_ids, load_json
+
+    assert byte_level_ids(text, "byte_bpe_50k.json").tolist() == load_json("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=60))
+def test_any_text_has_the_librarys_ids(text):
+    from millrace.llm.tokenizers_io import byte_level_ids, load_json
+
+    assert byte_level_ids(text, "byte_bpe_50k.json").tolist() == load_json("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_runs_pass_through_all_that_reads_words(spark):
+    rows = [(1, " " * 1_000_000 + "x"), (2, "x" * 1_000_000), (3, "\n" * 200_000 + "a b c"), (4, "a b c")]
+    own = table(spark, rows)
+    assert packing.token_pieces(own).agg(F.sum("length")).first()[0] > 100_000
+    assert {r.doc_id for r in token_counts.token_counts(own).collect()} == {1, 2, 3, 4}
+    assert language_model.score_texts(own, language_model.count_model(own)).count() == 4
+    assert {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(own, 3, 0.85).collect()} == {(1, 1), (2, 2), (3, 3), (4, 3)}
+
+
 def test_packing_is_gapless_and_tight(spark, docs, empty, monkeypatch):
     rng = random.Random(1)
     pieces = spark.createDataFrame([(i, 0, 0, rng.choice([1024, rng.randint(1, 1024)]), 0) for i in range(700)] + [(1, 0, 0, 3, 0)] * 2, packing.PIECES)
@@ -114,7 +148,7 @@ def test_packing_is_gapless_and_tight(spark, docs, empty, monkeypatch):
         best = []
         sizes = [r.length for r in got]
         packing.best_fit(best, sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 1024)
-        assert len(bins) <= len(best) * 1.01 + 1
+        assert len(bins) <= len(best)
     assert packing.pack(packing.token_pieces(empty)).count() == 0
 
 
@@ -161,6 +195,75 @@ def test_media_parser_survives_damage():
     assert told["table_kind"] == "vbri" and told["table_agrees"] is False
 
 
+# MPEG streams put together here bit by bit: version bits, layer bits, bitrate index, rate index, channel mode, kbit/s, Hz, samples, slots a sample group, slot bytes.
+FRAMES = {
+    "mpeg1-III-stereo": (3, 1, 9, 0, 0, 128, 44100, 1152, 144, 1),
+    "mpeg1-III-mono": (3, 1, 14, 2, 3, 320, 32000, 1152, 144, 1),
+    "mpeg2-III-stereo": (2, 1, 8, 1, 0, 64, 24000, 576, 72, 1),
+    "mpeg2.5-III-mono": (0, 1, 1, 0, 3, 8, 11025, 576, 72, 1),
+    "mpeg1-II": (3, 2, 10, 1, 0, 192, 48000, 1152, 144, 1),
+    "mpeg2-II": (2, 2, 4, 0, 3, 32, 22050, 1152, 144, 1),
+    "mpeg1-I": (3, 3, 12, 0, 0, 384, 44100, 384, 12, 4),
+    "mpeg2-I": (2, 3, 5, 2, 3, 80, 16000, 384, 12, 4),
+}
+
+
+def own_crc(data):
+    """The checksum by long division of bits."""
+    c = 0xFFFF
+    for bit in "".join(f"{b:08b}" for b in data):
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if c >> 15 != int(bit) else 0)
+    return c
+
+
+def own_frame(version, layer, rate, hz, mode, kbits, hertz, samples, slots, slot, padding, guarded, body=0x11):
+    head = bytes([0xFF, 0xE0 | version << 3 | layer << 1 | (not guarded), rate << 4 | hz << 2 | padding << 1, mode << 6])
+    size = (slots * kbits * 1000 // hertz + padding) * slot
+    side = {3: 16 if mode == 3 else 32, 2: 0, 1: (17 if mode == 3 else 32) if version == 3 else (9 if mode == 3 else 17)}[layer]
+    rest = bytes([body]) * (size - 4 - 2 * guarded)
+    return head + (own_crc(head[2:] + rest[:side]).to_bytes(2, "big") if guarded else b"") + rest
+
+
+@pytest.mark.parametrize("kind", FRAMES)
+def test_media_parser_reads_other_encoders_streams(kind):
+    plan = [(p, g) for p in (0, 1) for g in (0, 1)] * 3
+    frames = [own_frame(*FRAMES[kind], padding=p, guarded=g) for p, g in plan]
+    foreign = b"\xff\x0b noise \xff\xff"
+    data = foreign + b"".join(frames[:5]) + foreign + b"".join(frames[5:])
+    got, at, want = media.parse_stream(data), len(foreign), []
+    for k, f in enumerate(frames):
+        at += len(foreign) if k == 5 else 0
+        want.append(at)
+        at += len(f)
+    lost = [want[4]]  # without a checksum, the frame before foreign bytes does not count
+    assert got["frame_offsets"] == [o for o in want if o not in lost]
+    n = len(want) - len(lost)
+    assert (got["n_frames"], got["n_samples"], got["bitrates"]) == (n, n * FRAMES[kind][7], [FRAMES[kind][5]] * n)
+    assert got["duration_us"] == n * FRAMES[kind][7] * 1_000_000 // FRAMES[kind][6]
+    guarded = sum(g for (_, g), o in zip(plan, want, strict=True) if o not in lost)
+    assert (got["bad_checksums"], got["unverified"]) == ((0, guarded) if FRAMES[kind][1] == 2 else (0, 0))
+    if FRAMES[kind][1] != 2:
+        broken = bytearray(b"".join(frames))
+        broken[len(frames[0]) + 8] ^= 1  # within what the second frame's checksum covers
+        assert media.parse_stream(bytes(broken))["bad_checksums"] == 1
+
+
+@pytest.mark.parametrize("version", [2, 3, 4])
+def test_media_tags_of_every_version(version):
+    long = "x" * 300
+
+    def field(key, body):
+        n = len(body)
+        size = n.to_bytes(3, "big") if version == 2 else n.to_bytes(4, "big") if version == 3 else bytes([n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127])
+        return key + size + (b"" if version == 2 else b"\0\0") + body
+
+    title, own = (b"TT2", b"TXX") if version == 2 else (b"TIT2", b"TXXX")
+    body = field(own, b"\0long\0" + long.encode()) + field(title, b"\1" + "caf\u00e9".encode("utf-16")) + field(own, b"\3k\0v") + bytes(20)
+    data = b"ID3" + bytes([version, 0, 0, 0, 0, len(body) >> 7, len(body) & 127]) + body + own_frame(*FRAMES["mpeg1-III-mono"], padding=0, guarded=1)
+    got = media.parse_stream(data)
+    assert got["tags"] == {"long": long, title.decode(): "caf\u00e9", "k": "v"} and got["frame_offsets"] == [10 + len(body)] and got["skipped_bytes"] == 0
+
+
 # --- suffix dedup ---------------------------------------------------------------------------------------
 
 
@@ -374,7 +477,7 @@ def test_binomial_tail_is_exact(spark):
         assert math.exp(r.t) == pytest.approx(want, rel=1e-9)
 
 
-def test_certified_cutoffs_reject_junk_only(spark, docs):
+def test_certified_policies_reject_junk_only(spark, docs):
     own, labels = labelled(spark, 2400)
     judged = quality_rules.judge(own, labels).collect()
     assert np.mean([not r.kept for r in judged if r.doc_id % 4 == 0]) > 0.9
@@ -383,6 +486,46 @@ def test_certified_cutoffs_reject_junk_only(spark, docs):
     assert len(few) == docs.count() and all(r.kept != r.base_failed for r in few)
 
 
+def test_policies_equal_their_sql_where_some_are_certified(spark):
+    """Two strata with labels enough, one without, one of null; each certified policy is checked against the exact tail."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(1600):
+        lang = ("en", "de", None, "fr")[min(3, i // 500)] if i >= 40 else "es"
+        words = [f"w{rng.randrange(300)}" for _ in range(rng.randint(12, 60))]
+        share = rng.choice([0, 0, 0, 0.03, 0.3, 0.9]) if i % 3 == 0 else rng.choice([0, 0, 0.02])
+        text = " ".join(w + "#" * (rng.random() < share) + "!" * (rng.random() < share / 2) for w in words)
+        rows.append((i, text.upper() if i % 30 == 0 else text, lang))
+        if i % 5:
+            labels.append((i, int(i % 3 != 0)))
+    documents, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    judged = quality_rules.judge(documents, marks)
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    got = sorted(map(tuple, judged.select(*columns).collect()))
+    with duckdb.connect() as db:
+        db.register("documents", documents.toPandas())
+        db.register("labels", marks.toPandas())
+        assert got == sorted(db.execute(queries.oracle_sql()["op9_quality_rules"]).fetchall())
+    assert 50 < sum(not r[7] and not r[6] for r in got)
+    statistics = quality_rules.text_statistics(documents, "doc_id", "lang").cache()
+    certified = {r["_stratum"]: r for r in quality_rules.certified_policies(statistics, marks).collect()}
+    assert certified["en"].looser is not None and certified["es"].looser is None
+    good = {i for i, q in labels if q}
+    sure = [r for r in statistics.collect() if r.lang == "en" and r.doc_id in good and not r.base_failed and hashlib.md5(str(r.doc_id).encode()).hexdigest()[0] >= "8"]
+
+    def tail(looser):
+        def breaks(r):
+            places = {n: certified["en"].tuned[n] - looser for n in quality_rules.RULES}
+            return any(0 <= j <= certified["en"].tuned[n] and r[n] > quality_rules.RULES[n][j] for n, j in places.items())
+
+        k, n, p = sum(map(breaks, sure)), len(sure), quality_rules.RISK
+        return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+    level, at = quality_rules.DELTA / len(certified), certified["en"].looser
+    assert all(tail(s) <= level for s in range(at, quality_rules.LOOSEST + 1)) and (at == 0 or tail(at - 1) > level)
+
+
 # --- urls -----------------------------------------------------------------------------------------------
 
 
@@ -409,7 +552,7 @@ def test_url_rules_and_trees(spark):
         assert (r.host, r.path, r.rule) == (host, path, rule)
         assert r.verdict == verdict if verdict else r.verdict in ("allow", "block")
     ruled = [(r.block_score >= 0.5) == (r.ruled == "block") for r in got if r.ruled]
-    assert np.mean(ruled) >= 0.5
+    assert np.mean(ruled) >= 0.95
     none = url_filter.judge(spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")).collect()
     assert [r.verdict for r in none] == ["allow"]
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
@@ -422,6 +565,19 @@ def test_trees_learn_what_a_feature_tells(spark):
     assert right >= 392
 
 
+def test_suffix_statistics_leave_out_a_rows_own_label(spark):
+    ruled = url_filter.apply_rules(spark.createDataFrame([(1, "http://a.net/es/"), (2, "http://a.com/")], "page_id long, url string"))
+    suffixes = spark.createDataFrame([("net", 1, 1.0), ("com", 1, 0.0)], "suffix string, seen long, blocked double")
+    got = url_filter.lexical_features(ruled, suffixes, 0.5, (F.col("ruled") == "block").cast("double")).collect()
+    assert {(r.suffix_blocked, r.suffix_count) for r in got} == {(0.5, 0.0)}
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="the driver's tables are not here")
+def test_trees_judge_urls_they_did_not_see(spark):
+    r = url_filter.holdout(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).first()
+    assert r.n > 50 and 0 < r.n_blocked < r.n and r.n_right / r.n >= 0.9 > max(r.n_blocked, r.n - r.n_blocked) / r.n
+
+
 # --- language model -------------------------------------------------------------------------------------
 
 
