@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHED_WORDS, shuffle_partitions, table
+from .common import shuffle_partitions, table
 from .tokenizers_io import load_json
 
 BLOCK_DOCS, BLOCK_CHARS = 4096, 1 << 23
@@ -66,23 +66,37 @@ def check_splits(tokenizer: str) -> None:
         raise ValueError(f"{tokenizer}: its pre-tokens may span white space, or it truncates or pads")
 
 
-class Pretokens(dict):
-    """The library's pre-tokens of each run; emptied when it holds too many runs."""
+class Pretokens:
+    """The library's pre-tokens of runs, many runs at a time."""
 
-    def __init__(self, tokenizer: str):
-        super().__init__()
-        self.tok = load_json(tokenizer)
+    def __init__(self, tokenizer: str, at_once: int = 4096):
+        self.tok, self.at_once = load_json(tokenizer), at_once
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
 
-    def __missing__(self, run: str) -> list[str]:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        if self.added and self.added.search(run):
-            out = [_WHOLE + run]
-        else:
-            out = [t for t, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(run))]
-        self[run] = out
+    def _of(self, text: str) -> tuple[str, list[tuple[str, tuple[int, int]]]]:
+        normal = self.tok.normalizer.normalize_str(text)
+        return normal, self.tok.pre_tokenizer.pre_tokenize_str(normal)
+
+    def __call__(self, own: list[str]) -> list[list[str]]:
+        out: list[list[str]] = [[] for _ in own]
+        special = {i for i, r in enumerate(own) if self.added and self.added.search(r)}
+        alone = [i for i, r in enumerate(own) if i not in special and _ODD_SPACE.search(r)]
+        single = special.union(alone)
+        together = [i for i in range(len(own)) if i not in single] if single else list(range(len(own)))
+        for i in special:
+            out[i] = [_WHOLE + own[i]]
+        for at in range(0, len(together), self.at_once):
+            part = together[at : at + self.at_once]
+            normal, found = self._of("\n".join(own[i] for i in part))
+            begins = np.cumsum([0, *(len(x) + 1 for x in normal.split(" "))])[:-1]
+            if len(begins) != len(part):  # the normaliser made white space: each by itself
+                alone += part
+                continue
+            for (token, _), k in zip(found, np.searchsorted(begins, [o[0] for _, o in found], side="right").tolist(), strict=True):
+                out[part[k - 1]].append(token)
+        for i in alone:
+            out[i] = [t for t, _ in self._of(own[i])[1]]
         return out
 
 
@@ -123,7 +137,7 @@ def _block_rows(block: int, ids: list, texts: list[str], buckets: int, split: Pr
     # postings of runs, then of the pre-tokens that each run is made of
     pairs, freq = np.unique(word << 32 | np.repeat(np.arange(len(texts)), owner), return_counts=True)
     vocab = _Ids()
-    made = [[vocab[t] for t in split[r]] for r in run_ids]
+    made = [[vocab[t] for t in tokens] for tokens in split(list(run_ids))]
     n_made = np.fromiter(map(len, made), np.int64, len(made))
     flat, first = np.fromiter((t for own in made for t in own), np.int64, int(n_made.sum())), np.cumsum(n_made) - n_made
     each = n_made[pairs >> 32]
