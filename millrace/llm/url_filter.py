@@ -2,7 +2,7 @@
 
 The trees learn from the URLs that rules label (allow or block).  Features: length, depth, digit ratio,
 character entropy, parameter counts, host shape, and statistics of the host's suffix (how many labelled
-URLs have it, which share of them is blocked; of a URL learnt from, its own label is left out).  Each boosting
+URLs have it, which share of them is blocked; a URL learnt from gets those of the other folds).  Each boosting
 round grows one tree of depth two: the gradients and curvatures of the logistic loss are summed per node,
 feature and bin by one aggregation, the driver sees that table only (its size is nodes x features x bins), and
 the tree becomes a CASE expression, so scoring stays in generated code.  A fifth of the rows, by hash, grows no
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import keep, table
 
-TRAIN_ROWS, ROUNDS, PATIENCE, BINS, RATE, RIDGE = 50_000, 16, 2, 16, 0.5, 1.0
+TRAIN_ROWS, ROUNDS, PATIENCE, BINS, RATE, RIDGE, FOLDS = 50_000, 16, 2, 16, 0.5, 1.0, 5
 
 
 @dataclass(frozen=True)
@@ -74,13 +74,23 @@ def _count(text: Column, chars: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("double")
 
 
-def lexical_features(ruled: DataFrame, suffixes: DataFrame, prior: float, own: Column | None = None) -> DataFrame:
-    """The features of every URL, nulls as empty; ``suffixes`` is ``(suffix, seen, blocked)`` of labelled URLs.
+def _fold(key: str) -> Column:
+    return F.pmod(F.xxhash64("url", F.lit(key)), F.lit(FOLDS)).cast("int")
 
-    ``own`` is the label (1.0 or 0.0) of rows that ``suffixes`` counts and that are to learn from the others only.
+
+def suffix_statistics(labelled: DataFrame) -> DataFrame:
+    """``(suffix, seen, blocked, seen_in, blocked_in)`` of labelled URLs, the last two by fold."""
+    blocked = (F.col("ruled") == "block").cast("double")
+    by_fold = lambda x: F.array(*(F.sum(F.when(_fold("own") == k, x).otherwise(0)) for k in range(FOLDS)))
+    return labelled.groupBy(F.substring_index("host", ".", -1).alias("suffix")).agg(F.count("*").alias("seen"), F.sum(blocked).alias("blocked"), by_fold(F.lit(1)).alias("seen_in"), by_fold(blocked).alias("blocked_in"))
+
+
+def lexical_features(ruled: DataFrame, suffixes: DataFrame, prior: float, learning: bool = False) -> DataFrame:
+    """The features of every URL, nulls as empty; ``suffixes`` is of ``suffix_statistics``.
+
+    Rows that ``suffixes`` counts and that are to be learnt from get the statistics of the other folds: with their own
+    label in it, or with it alone left out, a statistic would tell the label.
     """
-    counted = F.lit(0 if own is None else 1)
-    own = F.lit(0.0) if own is None else own
     url = F.coalesce(F.col("url"), F.lit(""))
     length = F.length(url).cast("double")
     share = lambda c: (length - F.length(F.replace(url, c))) / length
@@ -91,10 +101,11 @@ def lexical_features(ruled: DataFrame, suffixes: DataFrame, prior: float, own: C
         "host_labels": _count(F.col("host"), "."), "hyphens": _count(F.col("host"), "-"), "_suffix": F.substring_index("host", ".", -1),
     })
     out = out.join(suffixes, F.col("_suffix") == F.col("suffix"), "left")
+    other = lambda all_, own: F.coalesce(F.col(all_) - F.get(own, _fold("own")) if learning else F.col(all_), F.lit(0))
+    seen, blocked = other("seen", "seen_in"), other("blocked", "blocked_in")
     return out.withColumns({
-        "suffix_count": F.log1p((F.coalesce("seen", F.lit(0)) - counted).cast("double")),
-        "suffix_blocked": (F.coalesce("blocked", F.lit(0)) - own + prior) / (F.coalesce("seen", F.lit(0)) - counted + 1.0),
-    }).drop("suffix", "seen", "blocked", "_suffix")
+        "suffix_count": F.log1p(seen.cast("double")), "suffix_blocked": (blocked + prior) / (seen + 1.0),
+    }).drop("suffix", "seen", "blocked", "seen_in", "blocked_in", "_suffix")
 
 
 def _gain(g: float, h: float) -> float:
@@ -169,14 +180,13 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[DataFrame, f
     ``labelled`` has page_id, url, host, path and ``ruled``.
     """
     blocked = (F.col("ruled") == "block").cast("double")
-    counted = labelled.groupBy(F.substring_index("host", ".", -1).alias("suffix")).agg(F.count("*").alias("seen"), F.sum(blocked).alias("blocked"))
-    suffixes = keep(counted, "suffixes")  # as a table, its size is known to the planner
+    suffixes = keep(suffix_statistics(labelled), "suffixes")  # as a table, its size is known to the planner
     n, n_blocked = suffixes.agg(F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0.0))).first()
     prior = n_blocked / n if n else 0.0
     if not 0 < prior < 1:
         return suffixes, prior, F.lit(1.0 if prior else -1.0)
     drawn = F.pmod(F.xxhash64("page_id", "url"), F.lit(max(n, train_rows))) < train_rows
-    train = lexical_features(labelled.where(drawn), suffixes, prior, blocked).select(*FEATURES, blocked.alias("label"))
+    train = lexical_features(labelled.where(drawn), suffixes, prior, learning=True).select(*FEATURES, blocked.alias("label"))
     return suffixes, prior, boost(keep(train, "labelled"), math.log(prior / (1 - prior)))
 
 
@@ -188,10 +198,10 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, train_rows: int
     return out.withColumn("verdict", F.coalesce("ruled", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")))
 
 
-def holdout(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, folds: int = 5) -> DataFrame:
+def holdout(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
     """One row: of the ruled URLs of a fold by hash, how many the trees of the other folds judge as their rule does, and how many are blocked."""
     ruled = apply_rules(pages.select("page_id", "url"), rules).where("ruled IS NOT NULL")
-    ours = F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(folds)) == 0
+    ours = _fold("holdout") == 0
     suffixes, prior, score = fit(ruled.where(~ours))
     seen = lexical_features(ruled.where(ours), suffixes, prior)
     right = ((score >= 0) == (F.col("ruled") == "block")).cast("long")
