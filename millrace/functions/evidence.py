@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def body_hash(body: Column) -> Column:
     return F.sha2(body, 256)
 
 
+@F.pandas_udf(StringType())
+def _ascii_json(texts: pd.Series) -> pd.Series:
+    return texts.map(json.dumps, na_action="ignore").astype(object)
+
+
 def _json_text(text: Column) -> Column:
-    """An ASCII text as a JSON string."""
-    return F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    """A text as an ASCII JSON string; only control and non-ASCII characters need Python."""
+    quoted = F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    return F.coalesce(_ascii_json(F.when(text.rlike("[^\\x20-\\x7e]"), text)), quoted)
 
 
 def evidence_id(**fields: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
+from functools import lru_cache
 from urllib.parse import unquote
 
 import pandas as pd
@@ -24,37 +26,54 @@ def _plain(text: str) -> str:
     return unicodedata.normalize("NFKC", text).translate(_NO_WIDTH)
 
 
+def _settled(text: str, step: Callable[[str], str], times: int) -> str:
+    """``step`` applied until it changes nothing, ``times`` at most."""
+    for _ in range(times):
+        before, text = text, step(text)
+        if text == before:
+            break
+    return text
+
+
 def match_text(text: str) -> str:
     """Entities decoded twice at most, compatibility-composed, characters of no width gone."""
-    return _plain(html.unescape(html.unescape(text)))
+    return _plain(_settled(text, html.unescape, 2))
+
+
+def unescaped(text: str) -> str:
+    """Percent escapes decoded, as in paths; a text with a broken one stays."""
+    return text if _BAD_ESCAPE.search(text) else unquote(text)
 
 
+@lru_cache(maxsize=1 << 16)
 def structured_key(key: str, passes: int = 2) -> str:
     """A JSON key as lower-case words joined by underscores, whatever its spelling or escapes."""
-    key = _plain(html.unescape(key))
-    for _ in range(passes):
-        decoded = key if _BAD_ESCAPE.search(key) else unquote(key)
-        if decoded == key:
-            break
-        key = _plain(html.unescape(decoded))
-    key = re.sub("(?<=[a-z0-9])(?=[A-Z])", "_", key)
-    return re.sub("[^a-z0-9]+", "_", key.casefold()).strip("_")
+    key = _settled(_plain(html.unescape(key)), lambda k: k if unescaped(k) == k else _plain(html.unescape(unescaped(k))), passes)
+    spaced = re.sub("([a-z0-9])([A-Z])", r"\1 \2", key)
+    return "_".join(re.findall("[a-z0-9]+", spaced.casefold()))
 
 
-@F.pandas_udf(StringType())
-def normalise_match_text(texts: pd.Series) -> pd.Series:
-    return texts.map(match_text, na_action="ignore")
+def folded(text: str) -> str:
+    """Full case folding of composed text: the key under which two paths collide."""
+    return unicodedata.normalize("NFKC", text.replace("\\", "/")).casefold()
 
 
-@F.pandas_udf(StringType())
-def normalise_structured_key(keys: pd.Series) -> pd.Series:
-    return keys.map(structured_key, na_action="ignore")
+def _by_arrow(function: Callable[[str], str | None]) -> Callable[[Column], Column]:
+    """A Python function of strings as a column function on Arrow batches; null stays null."""
 
+    @F.pandas_udf(StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(function, na_action="ignore").astype(object)
 
-@F.pandas_udf(StringType())
-def fold(texts: pd.Series) -> pd.Series:
-    """Full case folding of composed text: the key under which two paths collide."""
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t.replace("\\", "/")).casefold(), na_action="ignore")
+    return run
+
+
+_match_text, _fold, _unescape, _unquote = map(_by_arrow, (match_text, folded, html.unescape, unescaped))
+
+
+def _where_needed(text: Column, needed: Column, by_python: Callable[[Column], Column], otherwise: Column) -> Column:
+    """``by_python`` of the texts that need it, so that only these travel to Python."""
+    return F.coalesce(by_python(F.when(needed, text)), otherwise)
 
 
 def needs_normalising(text: Column) -> Column:
@@ -62,6 +81,23 @@ def needs_normalising(text: Column) -> Column:
     return text.rlike("[^\\x00-\\x7f]|&")
 
 
+def normalise_match_text(text: Column) -> Column:
+    return _where_needed(text, needs_normalising(text), _match_text, text)
+
+
+def fold(text: Column) -> Column:
+    return _where_needed(text, text.rlike("[^\\x00-\\x7f]"), _fold, F.lower(F.replace(text, F.lit("\\"), F.lit("/"))))
+
+
+def unescape_entities(text: Column) -> Column:
+    return _where_needed(text, text.contains("&"), _unescape, text)
+
+
+def unquote_text(text: Column) -> Column:
+    """Percent escapes decoded, those that are not UTF-8 as replacement characters; broken ones leave a text as it is."""
+    return _where_needed(text, text.contains("%"), _unquote, text)
+
+
 def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "(?U)\\s+", " "))
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import mimetypes
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import normalise_match_text
+
 
 def missing(declared: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     return declared.select(key).distinct().join(actual.select(key), key, "left_anti")
@@ -54,6 +59,21 @@ def name_glob(glob: str) -> str:
     return "(?is)^" + "".join({"*": ".*", "?": "."}.get(p, p.replace("[!", "[^") if p.startswith("[") else re.escape(p) if p else "") for p in parts) + "$"
 
 
+def filename_fits(path: Column, globs: tuple[str, ...]) -> Column:
+    """Whether a file glob fits a normalised path or its last part, case aside."""
+    base = F.regexp_extract(path, "([^/]*)/*$", 1)
+    return reduce(or_, (path.rlike(name_glob(g.replace("\\", "/"))) | base.rlike(name_glob(g.replace("\\", "/"))) for g in globs), F.lit(False))
+
+
+def filename_findings(paths: DataFrame, globs: tuple[str, ...] = (), patterns: dict[str, str] | None = None) -> DataFrame:
+    """``(path, rule, detector)``: one finding per file rule that a path breaks; patterns (identifier to expression) match the path."""
+    plain = F.col("_plain")
+    hits = [F.when(filename_fits(plain, (g,)), F.lit(f"filename[{i}]")) for i, g in enumerate(globs)]
+    hits += [F.when(plain.rlike(p), F.lit(name)) for name, p in (patterns or {}).items()]
+    made = paths.select("path").withColumn("_plain", normalise_match_text(F.col("path")))
+    return made.select("path", F.lit("forbidden_filename").alias("rule"), F.explode(F.array_compact(F.array(*hits)).cast("array<string>")).alias("detector"))
+
+
 def categories(path: Column, rules: dict[str, str]) -> Column:
     """The classes of all globs that fit, sorted; rules are few, so they are unrolled."""
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(path.rlike(path_glob(g)), F.lit(c)) for g, c in rules.items())))))
@@ -70,3 +90,50 @@ def single_class(path: Column, rules: dict[str, str], default: str) -> Column:
 def unsafe_path(path: Column) -> Column:
     """Absolute, with a drive, leaving its root, or with a NUL."""
     return path.rlike("^[/\\\\]|^[A-Za-z]:|(^|[/\\\\])\\.\\.([/\\\\]|$)|\\x00")
+
+
+def path_error(path: Column) -> Column:
+    """Why a declared path cannot be one: ``invalid_manifest_path`` or ``manifest_path_escape``; null for a relative path."""
+    invalid = path.isNull() | (path == "") | path.contains("\x00") | path.contains("\\")
+    escapes = path.rlike("^/|^[A-Za-z]:|(^|/)\\.\\.(/|$)|^\\./*$")
+    return F.when(invalid, "invalid_manifest_path").when(escapes, "manifest_path_escape")
+
+
+# How files begin that are no text, as hexadecimal; the first bytes that are looked at, and what share of controls is too much.
+SIGNATURES = ("255044462D", "1F8B", "7F454C46", "89504E470D0A1A0A", "474946383761", "474946383961", "504B0304", "FFD8FF")
+SNIFFED, CONTROLS = 8192, 0.30
+
+
+def is_binary(data: Column) -> Column:
+    """Whether bytes are no text: by signature, by a NUL, or by the share of control characters at the beginning."""
+    start = F.hex(F.substring(data, 1, 8))
+    signed = reduce(or_, (start.startswith(s) for s in SIGNATURES))
+    head = F.decode(F.substring(data, 1, SNIFFED), "ISO-8859-1")
+    strange = F.length(F.regexp_replace(head, "[^\\x00-\\x06\\x0b\\x0e-\\x1a\\x1c-\\x1f]", ""))
+    # bytes of zero are looked for in all of the data
+    return (F.octet_length(data) > 0) & (signed | F.decode(data, "ISO-8859-1").contains("\x00") | (strange > CONTROLS * F.length(head)))
+
+
+def media_type(path: Column, binary: Column | None = None) -> Column:
+    """The type by the path's extension; else text, or bytes where ``binary`` says so (without it: bytes)."""
+    kinds = mimetypes.types_map | {".jsonl": "application/x-ndjson"}
+    by = F.create_map(*(F.lit(x) for kv in sorted(kinds.items()) for x in kv))
+    own = F.lower(F.regexp_extract(path, "(?:^|/)[^/]+([.][^./]+)$", 1))
+    plain = F.lit("application/octet-stream") if binary is None else F.when(binary, "application/octet-stream").otherwise("text/plain")
+    return F.when(path.isin("CNAME", ".nojekyll"), "text/plain").otherwise(F.coalesce(F.try_element_at(by, own), plain))
+
+
+def one_class_each(entries: DataFrame, key: Column) -> DataFrame:
+    """``entries(path, class)`` by path; two that share ``key`` are an error."""
+    counted = entries.withColumn("_key", key).groupBy("_key").agg(F.count("*").alias("n"), F.min("path").alias("path"), F.min("class").alias("class"))
+    return counted.select(F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("path collision: "), F.col("path")))).otherwise(F.col("path")).alias("path"), "class")
+
+
+def size_findings(items: DataFrame, limit: int) -> DataFrame:
+    """``(path, rule)`` for items of ``(path, size)`` that are too large to be scanned."""
+    return items.where(F.col("size") > limit).select("path", F.lit("file_too_large").alias("rule"))
+
+
+def both_sides(one: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """The keys that both have."""
+    return one.select(key).intersect(other.select(key))

@@ -11,18 +11,33 @@ from ..functions.text import first_word, normal_email, normal_phone
 EMAIL = "^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$"
 
 
-def chain_faults(records: DataFrame, stream: str, seq: str, link: str | None = None, own: str | None = None) -> DataFrame:
-    """``(stream, seq, fault)``: gaps and repeats in the numbering, links that do not name the record before."""
-    order = Window.partitionBy(stream).orderBy(seq)
+def chain_faults(records: DataFrame, stream: str, seq: str, link: str | None = None, own: str | None = None, heads: DataFrame | None = None) -> DataFrame:
+    """``(stream, seq, fault)``: gaps and repeats in the numbering, links that do not name the record before.
+
+    ``heads`` (of ``head``, by the same streams) are what earlier records ended with; their streams go on from there.
+    """
+    columns = [stream, seq, *([link, own] if link and own else [])]
+    rows = records.select(*columns, F.lit(False).alias("_head"))
+    if heads is not None:
+        digest = [F.lit(None).cast("string").alias(link), F.col("digest").alias(own)] if link and own else []
+        rows = rows.unionByName(heads.select(stream, F.col("seq").alias(seq), *digest, F.lit(True).alias("_head")))
+    order = Window.partitionBy(stream).orderBy(F.col(seq), F.col("_head").desc())
     before = F.lag(seq).over(order)
     fault = F.when(before.isNull() & (F.col(seq) != 0), "start").when(F.col(seq) - before == 0, "repeat").when(F.col(seq) - before != 1, "gap")
     if link and own:
         fault = F.coalesce(fault, F.when(~F.col(link).eqNullSafe(F.lag(own).over(order)), "link"))
-    return records.select(stream, seq, fault.alias("fault")).where("fault IS NOT NULL")
+    return rows.select(stream, seq, fault.alias("fault"), "_head").where("fault IS NOT NULL AND NOT _head").drop("_head")
+
 
+def head(records: DataFrame, stream: str, seq: str, digest: str | None = None) -> DataFrame:
+    last = F.max_by(digest, seq) if digest else F.lit(None).cast("string")
+    return records.groupBy(stream).agg(F.max(seq).alias("seq"), last.alias("digest"), F.count("*").alias("n"))
 
-def head(records: DataFrame, stream: str, seq: str, digest: str) -> DataFrame:
-    return records.groupBy(stream).agg(F.max(seq).alias("seq"), F.max_by(digest, seq).alias("digest"), F.count("*").alias("n"))
+
+def heads_after(heads: DataFrame, records: DataFrame, stream: str, seq: str, digest: str | None = None) -> DataFrame:
+    """``heads`` with ``records`` added to them."""
+    both = heads.unionByName(head(records, stream, seq, digest))
+    return both.groupBy(stream).agg(F.max("seq").alias("seq"), F.max_by("digest", "seq").alias("digest"), F.sum("n").alias("n"))
 
 
 def clean_signups(raw: DataFrame) -> DataFrame:
@@ -40,4 +55,17 @@ def first_signups(signups: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def pending(signups: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Sign-ups with nothing done for them."""
     return signups.join(done.select(key).distinct(), key, "left_anti")
+
+
+def pending_texts(signups: DataFrame) -> DataFrame:
+    """``(name, email, phone, ts)`` of sign-ups with a phone number that were sent no text."""
+    return signups.where((F.coalesce("phone", F.lit("")) != "") & (F.coalesce("texted_at", F.lit("")) == "")).select("name", "email", "phone", "ts")
+
+
+def mark_texted(signups: DataFrame, callbacks: DataFrame) -> DataFrame:
+    """``signups`` with ``texted_at`` of the latest of ``callbacks(texted, at)`` for the same address; every row of the address."""
+    told = callbacks.groupBy(normal_email(F.col("texted")).alias("_email")).agg(F.max("at").alias("_at"))
+    joined = signups.join(told, normal_email(F.col("email")) == F.col("_email"), "left")
+    return joined.withColumn("texted_at", F.coalesce("_at", "texted_at")).select(*signups.columns)

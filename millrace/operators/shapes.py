@@ -1,14 +1,21 @@
-"""Line scan: sensitive shapes, ownership claims and forbidden phrases, in one pass over exploded lines."""
+"""Line scan: sensitive shapes, ownership claims, forbidden phrases and repositories, in one pass over exploded lines."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.evidence import evidence_id
-from ..functions.text import collapse_space, lines_of, match_column, needs_normalising, normalise_match_text
+from ..functions.text import collapse_space, lines_of, match_column, match_text, normalise_match_text
+from ..functions.urls import needles
+from .inventory import name_glob
 
 # The shapes and claims that findings are defined by.
+EMAIL = "[A-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?(?:\\.[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?)+"
 SHAPES: dict[str, str] = {
     "private_key": "(?i)-{5}BEGIN [A-Z0-9 ]*PRIVATE KEY-{5}",
     "aws_access_key": "\\b(?:AKIA|ASIA)[0-9A-Z]{16}\\b",
@@ -22,18 +29,58 @@ SHAPES: dict[str, str] = {
     "credential_url": "(?i)\\b[a-z][a-z0-9+.-]*://[^/\\s:@]{1,64}:[^/\\s@]{4,128}@",
     "connection_string_secret": "(?i)\\b(?:AccountKey|SharedAccessKey|ClientSecret)\\s*=\\s*[A-Za-z0-9+/=_-]{12,}",
     "webhook_secret": "(?i)https://hooks\\.slack\\.com/services/[A-Za-z0-9_-]{6,}/[A-Za-z0-9_-]{6,}/[A-Za-z0-9_-]{12,}",
-    "email_address": "(?i)(?<![A-Za-z0-9.!#$%&'*+/=?^_`{|}~-])[A-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?(?:\\.[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?)+",
+    "email_address": f"(?i)(?<![A-Za-z0-9.!#$%&'*+/=?^_`{{|}}~-]){EMAIL}",
     "us_ssn": "(?<!\\d)(?!000|666|9\\d\\d)\\d{3}-(?!00)\\d{2}-(?!0000)\\d{4}(?!\\d)",
     "phone_number": "(?i)(?:\\b(?:phone|mobile|cell|tel)\\b\\s*[:=]?\\s*)(?:\\+?1[\\s.-]?)?(?:\\(\\d{3}\\)|\\d{3})[\\s.-]\\d{3}[\\s.-]\\d{4}\\b",
     "postal_address": "(?i)\\b(?:address|street)\\b\\s*[:=]\\s*[\"']?\\d{1,6}\\s+[A-Za-z0-9 .'-]{2,80}\\s+(?:street|st|avenue|ave|road|rd|boulevard|blvd|lane|ln|drive|dr)\\b",
     "submitted_customer_record": "(?i)[\"'](?:submitted_at|submission_id|waitlist_submission)[\"']\\s*:.{0,256}[\"'](?:email|phone|note|customer_id|account_id)[\"']\\s*:",
 }
+# What a line must hold, in lower case, for a shape to be worth a regular expression.
+HINTS: dict[str, tuple[str, ...]] = {
+    "private_key": ("-----begin",), "aws_access_key": ("akia", "asia"), "github_token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "openai_token": ("sk-",), "google_api_key": ("aiza",),
+    "stripe_secret_key": ("sk_live_",), "slack_token": ("xox",), "jwt": ("eyj",), "credential_assignment": ("key", "token", "passw", "secret"), "credential_url": ("://",),
+    "connection_string_secret": ("key", "secret"), "webhook_secret": ("hooks.slack",), "email_address": ("@",), "us_ssn": ("-",), "phone_number": ("phone", "mobile", "cell", "tel"),
+    "postal_address": ("address", "street"), "submitted_customer_record": ("submitted_at", "submission"),
+}
 OWNERSHIP = (
     "(?i)\\b(?:own(?:s|ed|ership)?|equity|stake|share|interest)\\b.{0,48}?\\b(?:100(?:\\.0+)?|[1-9]?\\d(?:\\.\\d+)?)\\s*(?:%|\\bpercent(?:age)?\\b)",
     "(?i)\\b(?:100(?:\\.0+)?|[1-9]?\\d(?:\\.\\d+)?)\\s*(?:%|\\bpercent(?:age)?\\b).{0,48}?\\b(?:owned|ownership|equity|stake|share|interest)\\b",
 )
-#: Contracts under which a text may name what it forbids: only the shapes are looked for.
+#: Contracts under which a text may name what it forbids (only shapes and URLs are looked for), and that whose URLs are made up too.
 DEFINITIONS_ONLY = ("self-reference-safe", "synthetic-test-input")
+SYNTHETIC = "synthetic-test-input"
+CONTRACTS = ("full", "nondeploy-operational-contact", *DEFINITIONS_ONLY)
+#: How shapes are named where values are allowed.
+ALLOWED_AS = {"email_address": "email_address_values", "phone_number": "phone_number_values", "postal_address": "postal_address_values"}
+
+
+class Allowance(NamedTuple):
+    """Values that detectors pass over, on paths that fit a glob: by full pattern or by digest."""
+
+    detectors: tuple[str, ...]
+    paths: tuple[str, ...]
+    patterns: tuple[str, ...] = ()
+    sha256s: tuple[str, ...] = ()
+
+
+def allowance_fits(path: Column, allowance: Allowance) -> Column:
+    """Whether any of the path globs fits, case aside, from the root."""
+    rooted = F.concat(F.lit("/"), F.ltrim(path, F.lit("/")))
+    return reduce(or_, (rooted.rlike(name_glob(g)) for g in allowance.paths), F.lit(False))
+
+
+def value_allowed(path: Column, detector: str, value: Column, allowances: tuple[Allowance, ...]) -> Column:
+    """Whether a value (also without quotes around it) may stand; null and empty ones may."""
+    trimmed = F.trim(value)
+    out = F.coalesce(value == "", F.lit(True))
+    for a in allowances:
+        if detector in a.detectors:
+            fits = F.lit(False)
+            for v in (trimmed, F.btrim(trimmed, F.lit("\"'"))):
+                fits = reduce(or_, (v.rlike(f"^(?:{p})$") for p in a.patterns), fits)
+                fits = fits | F.sha2(v, 256).isin(*a.sha256s) if a.sha256s else fits
+            out = out | (allowance_fits(path, a) & fits)
+    return out
 
 
 def explode_lines(content: DataFrame, path: str, text: str) -> DataFrame:
@@ -42,36 +89,58 @@ def explode_lines(content: DataFrame, path: str, text: str) -> DataFrame:
 
 
 def normalised(lines: DataFrame) -> DataFrame:
-    """Lines with entities, compatibility forms and characters of no width resolved; plain ones skip Python."""
-    plain = lines.where(~needs_normalising(F.col("line")))
-    rest = lines.where(needs_normalising(F.col("line"))).withColumn("line", normalise_match_text("line"))
-    return plain.unionByName(rest)
+    """Lines with entities, compatibility forms and characters of no width resolved; plain ones do not travel to Python."""
+    return lines.withColumn("line", normalise_match_text(F.col("line")))
 
 
 def _finding(rule: str, detector: str, column: Column) -> Column:
     return F.when(column.isNotNull(), F.struct(F.lit(rule).alias("rule"), F.lit(detector).alias("detector"), column.alias("column")))
 
 
-def line_findings(lines: DataFrame, phrases: tuple[str, ...] = (), detectors: tuple[str, ...] | None = None, contract: str = "full", allowed: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+def _is(contract: str | Column, kinds: tuple[str, ...]) -> Column:
+    return (F.lit(contract) if isinstance(contract, str) else contract).isin(*kinds)
+
+
+def line_findings(
+    lines: DataFrame,
+    phrases: tuple[str, ...] = (),
+    detectors: tuple[str, ...] | None = None,
+    contract: str | Column = "full",
+    allowed: dict[str, tuple[str, ...]] | None = None,
+    *,
+    patterns: dict[str, str] | None = None,
+    repositories: tuple[str, ...] = (),
+    allowances: tuple[Allowance, ...] = (),
+) -> DataFrame:
     """``(path, line_number, rule, detector, column)``: the first match of every detector on every line.
 
-    A match that ``allowed`` (detector to full patterns) lets pass hides later ones on its line.  Phrases
-    have no column.  Python-style Unicode classes hold throughout.
+    ``phrases`` are literal, ``patterns`` (identifier to regular expression) match what is left when white space is
+    collapsed, ``repositories`` are named in any of their forms.  Phrases and repositories have no column.  A
+    match that ``allowed`` (detector to full patterns) or ``allowances`` let pass hides later ones on its line.
+    ``contract`` may be a column of ``lines``.  Python-style Unicode classes hold throughout.
     """
-    line = F.col("line")
-    shapes = {d: p for d, p in SHAPES.items() if detectors is None or d in detectors}
-    found = []
-    if contract not in DEFINITIONS_ONLY:
-        spaced = F.lower(collapse_space(line))
-        for i, phrase in enumerate(phrases):
-            found.append(F.when(spaced.contains(" ".join(phrase.lower().split())), F.struct(F.lit("forbidden_phrase").alias("rule"), F.lit(f"phrase[{i}]").alias("detector"), F.lit(None).cast("int").alias("column"))))
-        found += [_finding("ownership_percentage_claim", f"ownership[{i}]", match_column(line, p)) for i, p in enumerate(OWNERSHIP)]
-    for name, pattern in shapes.items():
-        column = match_column(line, f"(?U){pattern}")
+    lines = lines.withColumn("_folded", F.lower("line"))
+    line, low = F.col("line"), F.col("_folded")
+    kind, found = "array<struct<rule:string,detector:string,column:int>>", []
+    bare = lambda rule, detector: F.struct(F.lit(rule).alias("rule"), F.lit(detector).alias("detector"), F.lit(None).cast("int").alias("column"))
+    named = [F.when(F.lower(collapse_space(line)).contains(" ".join(match_text(p).lower().split())), bare("forbidden_phrase", f"phrase[{i}]")) for i, p in enumerate(phrases)]
+    named += [_finding("forbidden_phrase", name, match_column(collapse_space(line), f"(?U){p}")) for name, p in (patterns or {}).items()]
+    named += [F.when(reduce(or_, (low.contains(n) for n in needles(r)), F.lit(False)), bare("private_repository_link", f"repository[{i}]")) for i, r in enumerate(repositories)]
+    owns = [_finding("ownership_percentage_claim", f"ownership[{i}]", match_column(line, p)) for i, p in enumerate(OWNERSHIP)]
+    owned = F.when(low.contains("%") | low.contains("percent"), F.array(*owns))
+    found.append(F.when(~_is(contract, DEFINITIONS_ONLY), F.concat(F.array(*named).cast(kind), F.coalesce(owned.cast(kind), F.array().cast(kind)))))
+    for name, pattern in SHAPES.items():
+        if detectors is not None and name not in detectors:
+            continue
+        pattern = f"(?U){pattern}"
+        column, value = match_column(line, pattern), F.regexp_extract(line, f"({pattern})", 1)
         for okay in (allowed or {}).get(name, ()):
-            column = F.when(~F.regexp_extract(line, f"((?U){pattern})", 1).rlike(f"^(?:{okay})$"), column)
-        found.append(_finding("sensitive_data_shape", name, column))
-    each = lines.select("path", "line_number", F.explode(F.array_compact(F.array(*found)).cast("array<struct<rule:string,detector:string,column:int>>")).alias("f"))
+            column = F.when(~value.rlike(f"^(?:{okay})$"), column)
+        if allowances:
+            column = F.when(~value_allowed(F.col("path"), ALLOWED_AS.get(name, name), value, allowances), column)
+        hinted = reduce(or_, (low.contains(h) for h in HINTS[name]))
+        found.append(F.when(hinted, F.array(_finding("sensitive_data_shape", name, column)).cast(kind)))
+    each = lines.select("path", "line_number", F.explode(F.array_compact(F.flatten(F.array_compact(F.array(*found))))).alias("f"))
     return each.select("path", "line_number", "f.rule", "f.detector", "f.column")
 
 

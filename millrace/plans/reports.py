@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fold
 from ..operators.shapes import count_over
 
 GATES = ("inventory", "eligibility", "parse", "policy", "links")
@@ -37,3 +38,39 @@ def render(report: DataFrame) -> str:
     """A one-row report as sorted JSON."""
     row = report.first()
     return json.dumps(row.asDict(True) if row else {}, indent=2, sort_keys=True)
+
+
+def artifact_order(findings: DataFrame) -> DataFrame:
+    """Findings by folded path, path, gate, rule and detector."""
+    return findings.orderBy(fold(F.col("path")), "path", "gate", "rule", "detector")
+
+
+def link_order(links: DataFrame) -> DataFrame:
+    """Link records by folded source, source, class, target (a missing one first), fingerprint and context."""
+    return links.orderBy(fold(F.col("source_path")), "source_path", "classification", F.coalesce("target", F.lit("")), "fingerprint", "context")
+
+
+def cell(value: Column) -> Column:
+    """A value as it may stand in a table of Markdown."""
+    return F.replace(F.replace(F.coalesce(value.cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+
+
+def markdown(artifacts: DataFrame, classes: tuple[str, ...], title: str) -> DataFrame:
+    """``(part, line)``: an audit as Markdown, ordered by part: a head, counts of all classes, a row per artifact."""
+    spark = artifacts.sparkSession
+    say = lambda lines, part: spark.range(1).select(F.lit(part).alias("part"), F.posexplode(F.array(*map(F.lit, lines))).alias("place", "line"))
+    total = artifacts.agg(F.lit(1).alias("part"), F.lit(0).alias("place"), F.concat(F.lit("Artifacts audited: **"), F.count("*"), F.lit("**")).alias("line"))
+    rank = F.array_position(F.array(*map(F.lit, classes)), F.col("classification")).cast("int")
+    counts = count_over(artifacts, "classification", classes).select(F.lit(3).alias("part"), rank.alias("place"), F.concat(F.lit("| "), "classification", F.lit(" | "), "n", F.lit(" |")).alias("line"))
+    matches = F.col("matches") if "matches" in artifacts.columns else F.array().cast("array<string>")
+    detail = F.when(F.size(matches) > 0, F.concat(F.lit("matches: "), F.array_join(matches, ", "))).otherwise(F.col("detail"))
+    values = F.concat_ws(" | ", *(cell(c) for c in (F.col("kind"), F.col("source"), F.col("classification"), F.col("status"), F.col("sha256"), detail)))
+    rows = artifacts.select(F.lit(5).alias("part"), F.lit(0).alias("place"), F.concat(F.lit("| "), values, F.lit(" |")).alias("line"))
+    heads = say([f"# {title}", ""], 0).unionByName(say(["", "| Classification | Count |", "| --- | ---: |"], 2)).unionByName(say(["", "| Kind | Source | Classification | Status | SHA-256 | Detail |", "| --- | --- | --- | ---: | --- | --- |"], 4))
+    return heads.unionByName(total).unionByName(counts).unionByName(rows).orderBy("part", "place", "line").select("part", "line")
+
+
+def write_pair(artifacts: DataFrame, classes: tuple[str, ...], title: str, folder: str) -> None:
+    """An audit as JSON lines and as Markdown, in two folders below ``folder``."""
+    artifacts.orderBy("kind", "source").write.mode("overwrite").json(f"{folder}/json")
+    markdown(artifacts, classes, title).select("line").coalesce(1).write.mode("overwrite").text(f"{folder}/markdown")
