@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text
 from millrace.operators import shapes, url_scan
+from millrace.plans import reports
+from millrace.plans import scan as scan_plan
 
 def sample(pattern: str) -> str:
     """A shortest text that a pattern matches, made by walking the pattern, so that no value stands in a file."""
@@ -144,3 +146,38 @@ def test_urls_in_lines(spark):
     assert {k: {(r.rule, r.column) for r in found if r.path == k} for k in cases} == cases
     assert {r.detector for r in found if r.rule == "private_repository_link"} == {"secret", "repository_visibility_default_deny"}
     assert url_scan.url_findings(lines, policy, "synthetic-test-input").count() == 0
+
+
+def test_a_source_scan_from_bytes_to_verdicts(spark):
+    mail = SHAPED["email_address"]
+    rows = [
+        ("a.md", f"hi\n{mail}".encode()), ("b.json", b'{"password":"x","password":"y"}'), ("c.json", b'{"pass%77ord":"x"}'), ("d.bin", b"PK\x03\x04"), ("e.md", b"\xff blue moon"), ("keys/F.PEM", b"x"), ("g.md", b"https://bad.com/"),
+        ("H.md", b"ok"), ("h.MD", b"ok"), ("big.md", b"x" * 300), ("../i.md", b"ok"), ("ok.jsonl", b'{"a":1}\n{"b":2}'),
+    ]
+    policy = scan_plan.Policy(phrases=("Blue Moon",), filenames=("*.pem",), urls=url_scan.UrlPolicy(hosts=("bad.com",)), max_bytes=200)
+    found, covered = scan_plan.scan_source(spark.createDataFrame(rows, "path string, data binary"), policy)
+    got = {(r.path, r.rule) for r in found.collect()}
+    hidden = "redacted-path:" + hashlib.sha256(b"keys/F.PEM").hexdigest()[:16]
+    assert got == {
+        ("a.md", "sensitive_data_shape"), ("b.json", "invalid_structured_data"), ("c.json", "structured_data_violation"), ("d.bin", "unsupported_file_type"), ("e.md", "invalid_utf8"), ("e.md", "forbidden_phrase"),
+        (hidden, "forbidden_filename"), ("g.md", "forbidden_url_host"), ("H.md", "path_collision"), ("h.MD", "path_collision"), ("big.md", "file_too_large"), ("../i.md", "path_escape"),
+    }
+    assert {r.path for r in covered.where("status = 'pass'").collect()} == {"ok.jsonl"} and covered.count() == len(rows)
+
+
+def test_an_artifact_scan_through_its_gates(spark):
+    page = '<a href="/b">b</a><a href="/none">n</a> https://ok.com/x https://no.com/ <a href="https://github.com/own/repo">r</a>'
+    rows = [("index.html", page.encode()), ("b.html", b"blue moon"), ("x.json", b"{"), ("rules.txt", b"blue moon https://bad.com/"), ("extra.md", b"")]
+    manifest = spark.createDataFrame([(p, "page") for p in ("index.html", "b.html", "x.json", "rules.txt", "gone.md")] + [("priv.md", "private")], "path string, class string")
+    policy = scan_plan.Policy(phrases=("blue moon",), urls=url_scan.UrlPolicy(hosts=("bad.com",), repository_hosts=("github.com",), repositories=("own/repo",)))
+    found, listed = scan_plan.scan_artifact(spark.createDataFrame(rows, "path string, data binary"), manifest, policy, ("site.com",), ("https://ok.com",), ("private",), ("rules.txt",))
+    assert {(r.gate, r.path, r.rule) for r in found.collect()} == {
+        ("inventory", "gone.md", "missing_artifact_path"), ("inventory", "priv.md", "missing_artifact_path"), ("inventory", "extra.md", "extra_artifact_path"), ("eligibility", "priv.md", "path_not_public_eligible"), ("parse", "x.json", "invalid_json"),
+        ("policy", "x.json", "invalid_structured_data"), ("policy", "b.html", "forbidden_phrase"), ("policy", "rules.txt", "forbidden_url_host"), ("links", "index.html", "missing_internal_link_target"), ("links", "index.html", "unverified_external_link"),
+        ("links", "rules.txt", "unverified_external_link"),
+    }
+    kinds = {(r.source_path, r.classification): r.target for r in reports.link_order(listed).collect()}
+    assert kinds["index.html", "internal-artifact-link"] == "https://site.com/b" and kinds["index.html", "allowed-public-repository"] and kinds["index.html", "missing_internal_link_target"] is None
+    assert {r.gate: r.result for r in scan_plan.gate_report(found).collect()} == dict.fromkeys(reports.GATES, "deny")
+    ordered = reports.artifact_order(found).collect()
+    assert ordered[0].path == "b.html" and ordered[-1].path == "x.json"
