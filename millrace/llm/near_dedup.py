@@ -268,7 +268,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     final = keep(components(nodes, links), "final")
 
     members = keep(known.select("doc_id", "n_shingles", "cls").join(final, "cls", "left"), "members")
-    least = members.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("first_id"))
+    # as a table, so that the join by component stands alone and a large component's rows can be split
+    least = keep(members.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("first_id")), "least")
     joined = members.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("first_id", "doc_id").alias("component_id"))
     alone = all_sets.where(F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
