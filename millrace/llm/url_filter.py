@@ -1,8 +1,10 @@
 """URL filter: domain and path rules, and gradient-boosted trees on lexical features where no rule fits.
 
 The trees learn from the URLs that rules label (allow or block).  Features: length, depth, digit ratio,
-character entropy, parameter counts, host shape, and statistics of the host's suffix (how many labelled
-URLs have it, which share of them is blocked; a URL learnt from gets those of the other folds).  Each boosting
+character entropy, parameter counts, host shape, and statistics of the host's suffix and of the path's first
+segment (how many labelled URLs have it, which share of them is blocked; a URL learnt from gets those of the
+other folds).  Suffixes are counted over all labelled URLs, segments over those that are drawn for the fit, so that
+their table is bounded.  Each boosting
 round grows one tree of depth two: the gradients and curvatures of the logistic loss are summed per node,
 feature and bin by one aggregation, the driver sees that table only (its size is nodes x features x bins), and
 the tree becomes a CASE expression, so scoring stays in generated code.  A fifth of the rows, by hash, grows no
@@ -52,7 +54,7 @@ RULES = (
     UrlRule("net", "/es/", "block"),
     UrlRule("net", "/fr/", "block"),
 )
-FEATURES = ("length", "depth", "digit_ratio", "entropy", "parameters", "host_length", "host_labels", "hyphens", "suffix_count", "suffix_blocked")
+FEATURES = ("length", "depth", "digit_ratio", "entropy", "parameters", "host_length", "host_labels", "hyphens", "suffix_count", "suffix_blocked", "segment_count", "segment_blocked")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -78,17 +80,29 @@ def _fold(key: str) -> Column:
     return F.pmod(F.xxhash64("url", F.lit(key)), F.lit(FOLDS)).cast("int")
 
 
-def suffix_statistics(labelled: DataFrame) -> DataFrame:
-    """``(suffix, seen, blocked, seen_in, blocked_in)`` of labelled URLs, the last two by fold."""
+#: What statistics are kept of.
+KEYS = {"suffix": "substring_index(host, '.', -1)", "segment": "lower(regexp_extract(path, '^/+([^/]*)', 1))"}
+
+
+def key_statistics(labelled: DataFrame, name: str) -> DataFrame:
+    """``(name, seen, blocked, seen_in, blocked_in)`` of labelled URLs by a key of KEYS, the last two by fold."""
     blocked = (F.col("ruled") == "block").cast("double")
     by_fold = lambda x: F.array(*(F.sum(F.when(_fold("own") == k, x).otherwise(0)) for k in range(FOLDS)))
-    return labelled.groupBy(F.substring_index("host", ".", -1).alias("suffix")).agg(F.count("*").alias("seen"), F.sum(blocked).alias("blocked"), by_fold(F.lit(1)).alias("seen_in"), by_fold(blocked).alias("blocked_in"))
+    return labelled.groupBy(F.expr(KEYS[name]).alias(name)).agg(F.count("*").alias("seen"), F.sum(blocked).alias("blocked"), by_fold(F.lit(1)).alias("seen_in"), by_fold(blocked).alias("blocked_in"))
+
 
+def _with_statistics(rows: DataFrame, statistics: DataFrame, name: str, prior: float, learning: bool) -> DataFrame:
+    out = rows.withColumn("_key", F.expr(KEYS[name])).join(statistics.withColumnRenamed(name, "_own"), F.col("_key") == F.col("_own"), "left")
+    other = lambda all_, own: F.coalesce(F.col(all_) - F.get(own, _fold("own")) if learning else F.col(all_), F.lit(0))
+    seen, blocked = other("seen", "seen_in"), other("blocked", "blocked_in")
+    out = out.withColumns({f"{name}_count": F.log1p(seen.cast("double")), f"{name}_blocked": (blocked + prior) / (seen + 1.0)})
+    return out.drop("seen", "blocked", "seen_in", "blocked_in", "_key", "_own")
 
-def lexical_features(ruled: DataFrame, suffixes: DataFrame, prior: float, learning: bool = False) -> DataFrame:
-    """The features of every URL, nulls as empty; ``suffixes`` is of ``suffix_statistics``.
 
-    Rows that ``suffixes`` counts and that are to be learnt from get the statistics of the other folds: with their own
+def lexical_features(ruled: DataFrame, suffixes: DataFrame, segments: DataFrame, prior: float, learning: bool = False) -> DataFrame:
+    """The features of every URL, nulls as empty; ``suffixes`` and ``segments`` are of ``key_statistics``.
+
+    Rows that these count and that are to be learnt from get the statistics of the other folds: with their own
     label in it, or with it alone left out, a statistic would tell the label.
     """
     url = F.coalesce(F.col("url"), F.lit(""))
@@ -98,14 +112,10 @@ def lexical_features(ruled: DataFrame, suffixes: DataFrame, prior: float, learni
     out = ruled.withColumns({
         "length": length, "depth": _count(F.col("path"), "/"), "digit_ratio": _count(url, string.digits) / F.greatest(length, F.lit(1.0)),
         "entropy": F.when(length > 0, entropy).otherwise(0.0), "parameters": _count(url, "=&"), "host_length": F.length("host").cast("double"),
-        "host_labels": _count(F.col("host"), "."), "hyphens": _count(F.col("host"), "-"), "_suffix": F.substring_index("host", ".", -1),
+        "host_labels": _count(F.col("host"), "."), "hyphens": _count(F.col("host"), "-"),
     })
-    out = out.join(suffixes, F.col("_suffix") == F.col("suffix"), "left")
-    other = lambda all_, own: F.coalesce(F.col(all_) - F.get(own, _fold("own")) if learning else F.col(all_), F.lit(0))
-    seen, blocked = other("seen", "seen_in"), other("blocked", "blocked_in")
-    return out.withColumns({
-        "suffix_count": F.log1p(seen.cast("double")), "suffix_blocked": (blocked + prior) / (seen + 1.0),
-    }).drop("suffix", "seen", "blocked", "seen_in", "blocked_in", "_suffix")
+    out = _with_statistics(out, suffixes, "suffix", prior, learning)
+    return _with_statistics(out, segments, "segment", prior, learning)
 
 
 def _gain(g: float, h: float) -> float:
@@ -174,27 +184,28 @@ def boost(rows: DataFrame, base: float) -> Column:
     return best
 
 
-def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[DataFrame, float, Column]:
-    """The suffix table and the share of blocked URLs, both for ``lexical_features``, and the log-odds of block.
+def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[DataFrame, DataFrame, float, Column]:
+    """The suffix and segment tables and the share of blocked URLs, all for ``lexical_features``, and the log-odds of block.
 
     ``labelled`` has page_id, url, host, path and ``ruled``.
     """
-    blocked = (F.col("ruled") == "block").cast("double")
-    suffixes = keep(suffix_statistics(labelled), "suffixes")  # as a table, its size is known to the planner
+    suffixes = keep(key_statistics(labelled, "suffix"), "suffixes")  # as a table, its size is known to the planner
     n, n_blocked = suffixes.agg(F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0.0))).first()
     prior = n_blocked / n if n else 0.0
+    drawn = labelled.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(max(n, train_rows))) < train_rows)
+    segments = keep(key_statistics(drawn, "segment"), "segments")
     if not 0 < prior < 1:
-        return suffixes, prior, F.lit(1.0 if prior else -1.0)
-    drawn = F.pmod(F.xxhash64("page_id", "url"), F.lit(max(n, train_rows))) < train_rows
-    train = lexical_features(labelled.where(drawn), suffixes, prior, learning=True).select(*FEATURES, blocked.alias("label"))
-    return suffixes, prior, boost(keep(train, "labelled"), math.log(prior / (1 - prior)))
+        return suffixes, segments, prior, F.lit(1.0 if prior else -1.0)
+    label = (F.col("ruled") == "block").cast("double")
+    train = lexical_features(drawn, suffixes, segments, prior, learning=True).select(*FEATURES, label.alias("label"))
+    return suffixes, segments, prior, boost(keep(train, "labelled"), math.log(prior / (1 - prior)))
 
 
 def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """Every URL with host, path, rule, the trees' ``block_score`` and the verdict."""
     ruled = apply_rules(pages.select("page_id", "url"), rules)
-    suffixes, prior, score = fit(ruled.where(F.col("ruled").isNotNull()), train_rows)
-    out = lexical_features(ruled, suffixes, prior).withColumn("block_score", 1 / (1 + F.exp(-score)))
+    *statistics, score = fit(ruled.where(F.col("ruled").isNotNull()), train_rows)
+    out = lexical_features(ruled, *statistics).withColumn("block_score", 1 / (1 + F.exp(-score)))
     return out.withColumn("verdict", F.coalesce("ruled", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")))
 
 
@@ -202,8 +213,8 @@ def holdout(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
     """One row: of the ruled URLs of a fold by hash, how many the trees of the other folds judge as their rule does, and how many are blocked."""
     ruled = apply_rules(pages.select("page_id", "url"), rules).where("ruled IS NOT NULL")
     ours = _fold("holdout") == 0
-    suffixes, prior, score = fit(ruled.where(~ours))
-    seen = lexical_features(ruled.where(ours), suffixes, prior)
+    *statistics, score = fit(ruled.where(~ours))
+    seen = lexical_features(ruled.where(ours), *statistics)
     right = ((score >= 0) == (F.col("ruled") == "block")).cast("long")
     return seen.agg(F.count("*").alias("n"), F.coalesce(F.sum(right), F.lit(0)).alias("n_right"), F.coalesce(F.sum((F.col("ruled") == "block").cast("long")), F.lit(0)).alias("n_blocked"))
 
