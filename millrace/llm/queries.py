@@ -5,8 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import language_model, media, mixing, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
+from .common import table
+
+
+def url_rules(spark, sf_dir: str) -> DataFrame:
+    """What the rules alone say of every page's address: the part of ``op6_url_filter`` that SQL can express."""
+    return url_filter.apply_rules(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", F.col("ruled").alias("verdict"))
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
@@ -21,9 +28,25 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
         "op8_minhash_near_dedup": near_dedup.op8_near_dedup,
         "op9_quality_rules": quality_rules.op9_rules,
         "op10_source_mixing": mixing.op10_mixing,
+        "url_rules": url_rules,
     }
 
 
+_REPEATS = """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+  w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS i FROM h)),
+  f AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM w) WHERE least < doc_id),
+  g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM f),
+  r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
+  spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM r GROUP BY doc_id, k),
+  p AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS y FROM spans),
+  cut AS (SELECT doc_id, sum(z - a) AS gone, count(*) AS n, max(z) AS last, string_agg(substr(x, CAST(2 * y + 1 AS BIGINT), CAST(2 * (a - y) AS BIGINT)), '' ORDER BY a) AS front FROM p JOIN h USING (doc_id) GROUP BY doc_id)
+  SELECT h.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(front, '') || substr(x, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256 FROM h LEFT JOIN cut USING (doc_id)"""
+
+_URL_RULES = """WITH u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', ['h', 'p']) AS u FROM pages), s AS (SELECT page_id, lower(u.h) AS host, u.p AS path FROM u),
+  v AS (SELECT *, CASE WHEN (host = 'www.example.com' OR suffix(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/' WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/' WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/' WHEN (host = 'com' OR suffix(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM s)
+  SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS verdict FROM v"""
+
 _NEAR = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
   g AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) END) AS s FROM w),
   n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
@@ -69,4 +92,4 @@ def _rules_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     """For the operators that SQL can express; the others are tested against brute force."""
-    return {"op8_minhash_near_dedup": _NEAR, "op9_quality_rules": _rules_sql()}
+    return {"op5_suffix_dedup": _REPEATS, "url_rules": _URL_RULES, "op8_minhash_near_dedup": _NEAR, "op9_quality_rules": _rules_sql()}
