@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import evidence, text, urls
 from ..operators import audit, inventory, links, records, shapes, structured, url_scan
-from . import reports, validation
+from . import reports, scan, validation
 
 PHRASES = ("and the", "lorem ipsum")
 CATEGORIES = {"/en/**": "english", "/de/**": "german", "/*/*.html": "page", "/**": "any"}
@@ -144,6 +144,23 @@ def page_phrases(spark, d):
     return validation.page_faults(pages, pages.select("page", rules.alias("r")).select("page", "r.*"))
 
 
+def source_scan(spark, d):
+    """All documents as files through the whole scan of a source tree, counted by rule."""
+    items = _t(spark, d, "documents").select(F.concat(F.lit("doc-"), "doc_id", F.lit(".md")).alias("path"), F.encode("text", "UTF-8").alias("data"))
+    found, _ = scan.scan_source(items, scan.Policy(phrases=PHRASES, urls=URL_POLICY))
+    return found.groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def artifact_gates(spark, d):
+    """A site with a file per page, each with a link to the next one, through the five gates."""
+    n = F.col("page_id")
+    text = F.concat(F.lit('<a href="/p/'), n + 1, F.lit('.html">x</a>'), F.when(n % 7 == 0, " https://no.example.org/").otherwise(""), F.when(n % 11 == 0, " mail a@b.co").otherwise(""))
+    named = _t(spark, d, "pages").withColumn("path", F.concat(F.lit("p/"), n, F.lit(".html")))
+    manifest = named.where(n % 13 != 0).select("path", F.when(n % 17 == 0, "private").otherwise("page").alias("class"))
+    found, _ = scan.scan_artifact(named.select("path", F.encode(text, "UTF-8").alias("data")), manifest, scan.Policy(), ("site.example.com",), excluded=("private",))
+    return scan.gate_report(found)
+
+
 def audit_markdown(spark, d):
     """The audit of pages as lines of Markdown."""
     kinds = probe_classify(spark, d).withColumn("kind", F.lit("url"))
@@ -390,7 +407,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         inventory_reconcile, inventory_drift, partition_check, category_union, single_rule, json_walk, json_key_alias, probe_classify, probe_counts,
         fork_cache_classify, link_documents, repositories, waitlist_dedup, waitlist_pending, waitlist_texts, seq_chain_check, chain_head, exact_duplicates, revenue_by_nation,
         url_findings, phrase_regex, repository_needles, filename_rules, media_types, declared_paths, links_by_kind, link_contexts, repository_references,
-        canonical_spellings, finding_ids_escaped, record_faults, page_phrases, audit_markdown,
+        canonical_spellings, finding_ids_escaped, record_faults, page_phrases, audit_markdown, source_scan, artifact_gates,
     )
 }
 
@@ -514,6 +531,11 @@ ORACLES: dict[str, str] = {
     "record_faults": """WITH p AS (SELECT page_id AS n FROM pages)
       SELECT n AS key, 'page_id' AS field, 'absent' AS fault FROM p WHERE n % 10 IN (0, 1) UNION ALL SELECT -n, 'page_id', 'unexpected' FROM p WHERE n % 10 = 1 UNION ALL SELECT n, 'page_id', 'repeated' FROM p WHERE n % 10 = 4
       UNION ALL SELECT n, 'sha256', 'mismatch' FROM p WHERE n % 10 = 2 UNION ALL SELECT n, 'size', 'mismatch' FROM p WHERE n % 10 = 3""",
+    "source_scan": f"WITH {_SQL_LINES}, {_SQL_MAIL}, {_SQL_FOUND} SELECT rule, count(*) AS n FROM found GROUP BY rule",
+    "artifact_gates": """WITH p AS (SELECT page_id AS n FROM pages), c AS (SELECT unnest(['inventory', 'eligibility', 'parse', 'policy', 'links']) AS gate, unnest([
+        (SELECT count(*) FROM p WHERE n % 13 = 0), (SELECT count(*) FROM p WHERE n % 13 <> 0 AND n % 17 = 0), 0, (SELECT count(*) FROM p WHERE n % 11 = 0),
+        (SELECT count(*) FROM p WHERE n + 1 NOT IN (SELECT n FROM p)) + (SELECT count(*) FROM p WHERE n % 7 = 0)]) AS n)
+      SELECT gate, n, CASE WHEN n > 0 THEN 'deny' ELSE 'pass' END AS result FROM c""",
     "page_phrases": """SELECT page_id AS page, phrase, fault FROM (SELECT page_id, html, unnest(['href="/the"', 'track(0)', '<ARTICLE>', '<b>']) AS phrase, unnest(['missing', 'forbidden', 'missing', 'forbidden']) AS fault FROM pages)
       WHERE CASE phrase WHEN 'href="/the"' THEN NOT contains(lower(html), phrase) WHEN 'track(0)' THEN contains(html, phrase) WHEN '<ARTICLE>' THEN NOT contains(html, phrase) ELSE contains(lower(html), phrase) END""",
     "revenue_by_nation": "SELECT n_name, sum(l_quantity) AS quantity, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' GROUP BY n_name",
