@@ -165,6 +165,33 @@ def test_crossover_and_mutation_keep_every_piece():
     assert int(packing.evolve(sizes, [], 1, 100).max()) + 1 <= len(one)
 
 
+def fewest_bins(sizes, capacity):
+    """The least number of sequences, by trying every place of every piece."""
+    best = len(sizes)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(sizes):
+            best = len(rooms)
+            return
+        for k, room in enumerate(rooms):
+            if room >= sizes[i] and room not in rooms[:k]:
+                place(i + 1, [*rooms[:k], room - sizes[i], *rooms[k + 1 :]])
+        place(i + 1, [*rooms, capacity - sizes[i]])
+
+    sizes = sorted(sizes, reverse=True)
+    place(0, [])
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=11), st.integers(0, 99))
+def test_packing_reaches_the_optimum_of_small_tables(sizes, seed):
+    assert int(packing.evolve(sizes, [], seed, 60).max()) + 1 == fewest_bins(sizes, 60)
+
+
 # --- media ----------------------------------------------------------------------------------------------
 
 
@@ -453,7 +480,7 @@ def test_labels_of_unknown_values(spark):
     assert [r.score for r in plain] == pytest.approx([r.score for r in strange])
     domains = {r.doc_id: r["class"] for r in mixing.domain_of(odd).collect()}
     assert set(domains.values()) == {0, 1} and all((domains[i] == 1) == (i % 8 == 1) for i in range(2, 400))
-    assert {r.copies for r in mixing.mix(own, odd).select("copies").collect()} <= {0, 1, 2}
+    assert mixing.mix(own, odd).where("rate >= 0").count() == own.count()
 
 
 def test_pairs_are_the_sum_over_all_pairs():
@@ -596,6 +623,26 @@ def test_trees_judge_urls_they_did_not_see(spark):
     assert r.n > 50 and 0 < r.n_blocked < r.n and r.n_right / r.n >= base + 0.1
 
 
+def test_splits_are_the_best_of_all():
+    """The split by sums per bin against every feature and cutoff on the rows themselves."""
+    rng = np.random.default_rng(5)
+    cuts = {f: [2.0, 4.0, 5.0, 8.0] for f in ("a", "b", "c")}
+    for _ in range(50):
+        n = int(rng.integers(5, 60))
+        x, g, h = {f: rng.integers(0, 10, n) for f in cuts}, rng.normal(size=n), rng.uniform(0.01, 0.25, n)
+        rows = []
+        for f, cs in cuts.items():
+            bins = (x[f][:, None] > np.array(cs)).sum(1)
+            rows += [{"feature": f, "bin": int(b), "g": float(g[bins == b].sum()), "h": float(h[bins == b].sum())} for b in np.unique(bins)]
+
+        def gain(f, c):
+            return sum(g[side].sum() ** 2 / (h[side].sum() + url_filter.RIDGE) for side in (x[f] <= c, x[f] > c)) - g.sum() ** 2 / (h.sum() + url_filter.RIDGE)
+
+        found = url_filter._best_split(rows, cuts)
+        best = max(gain(f, c) for f in cuts for c in cuts[f] if 0 < (x[f] <= c).sum() < n)
+        assert gain(*found) == pytest.approx(best) if found else best <= 1e-6
+
+
 # --- language model -------------------------------------------------------------------------------------
 
 
