@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import language_model, media, mixing, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
+from . import language_model, media, mixing, near_dedup, packing, quality_classifier, quality_rules, resampling, suffix_dedup, token_counts, url_filter
 from .common import table
 
 
@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
         "op8_minhash_near_dedup": near_dedup.op8_near_dedup,
         "op9_quality_rules": quality_rules.op9_rules,
         "op10_source_mixing": mixing.op10_mixing,
+        "op11_importance_resampling": resampling.op11_resampling,
         "url_rules": url_rules,
     }
 
@@ -56,6 +57,30 @@ _NEAR = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(tr
   r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
   SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, k.c AS component_id, d.doc_id = k.c AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) k ON k.a = d.doc_id"""
 
+# crc32 of a text by its bytes: the table by rule, a byte at a time.
+_CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc)"""
+
+
+def _crc32(x: str) -> str:
+    """SQL for the crc32 of the text ``x``, where ``crc`` is in reach."""
+    byte = f"CAST('0x' || substr(hex(encode({x})), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(hex(encode({x}))) // 2), lambda i: {byte})), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_RESAMPLING = f"""WITH {_CRC_TABLE},
+  d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_ASCII_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents),
+  b AS (SELECT regexp_extract_all({_ASCII_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM benchmark),
+  x AS (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(ws) AS w FROM d) GROUP BY ALL), y AS (SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM b) GROUP BY ALL),
+  k AS (SELECT w, {_crc32("w")} % 10000 AS k FROM (SELECT DISTINCT w FROM x UNION SELECT w FROM y), crc),
+  s AS (SELECT k, sum(n) AS s FROM x JOIN k USING (w) GROUP BY k), t AS (SELECT k, sum(n) AS t FROM y JOIN k USING (w) GROUP BY k),
+  g AS (SELECT s.k, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM x) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM y) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t ON s.k = t.k),
+  m AS (SELECT r, CAST(sum(n * gain) AS BIGINT) AS weight FROM x JOIN k USING (w) JOIN g USING (k) GROUP BY r),
+  z AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN m USING (r)),
+  o AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n_features) AS o FROM z)
+  SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND o <= (SELECT 10 * count(*) // 100 FROM z WHERE n_features >= 20) THEN o END AS rank FROM o"""
+
 _RULE_SQL = {
     "symbols_per_word": "n_symbols / n_words", "duplicate_lines": "CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END", "repeated_words": "n_repeat_words / n_words",
     "capitals": "capitals / word_chars", "exclamations_per_word": "exclamations / n_words", "mean_word_length": "word_chars / n_words",
@@ -92,4 +117,4 @@ def _rules_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     """For the operators that SQL can express; the others are tested against brute force."""
-    return {"op5_suffix_dedup": _REPEATS, "url_rules": _URL_RULES, "op8_minhash_near_dedup": _NEAR, "op9_quality_rules": _rules_sql()}
+    return {"op5_suffix_dedup": _REPEATS, "url_rules": _URL_RULES, "op8_minhash_near_dedup": _NEAR, "op9_quality_rules": _rules_sql(), "op11_importance_resampling": _RESAMPLING}
