@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import language_model, media, mixing, near_dedup, packing, quality_classifier, quality_rules, resampling, suffix_dedup, token_counts, url_filter
+from . import conversations, language_model, media, mixing, near_dedup, packing, quality_classifier, quality_rules, resampling, suffix_dedup, token_counts, url_filter
 from .common import table
 
 
@@ -29,6 +29,7 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
         "op9_quality_rules": quality_rules.op9_rules,
         "op10_source_mixing": mixing.op10_mixing,
         "op11_importance_resampling": resampling.op11_resampling,
+        "op12_conversation_repair": conversations.op12_repair,
         "url_rules": url_rules,
     }
 
@@ -81,6 +82,33 @@ _RESAMPLING = f"""WITH {_CRC_TABLE},
   o AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n_features) AS o FROM z)
   SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND o <= (SELECT 10 * count(*) // 100 FROM z WHERE n_features >= 20) THEN o END AS rank FROM o"""
 
+_SPACED = "[\\x20\\x09-\\x0D]"
+_TO = "CASE s WHEN 2 THEN 3 ELSE 2 END"  # the state that an inserted turn, or a role given, leads to
+_REPAIR = f"""WITH RECURSIVE {_CRC_TABLE},
+  k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k FROM conversations, crc),
+  d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+  o AS (SELECT conv_id, turn, role, text, row_number() OVER w AS i, left(role, 1) AS r, lag(left(role, 1)) OVER w AS before
+    FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text))),
+  f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?]{_SPACED}*\\z') THEN 'truncated' END AS fault FROM o),
+  n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+  c AS (SELECT DISTINCT conversations.conv_id, coalesce(n, 0) AS n FROM conversations LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM conversations.conv_id),
+  v AS (SELECT conv_id, n + 1 AS i, [0, 4, 2, 0] AS v FROM c UNION ALL
+    SELECT conv_id, i, [least(w[1], 2 + w[3], 4 + w[4]), least(w[2], 2 + w[3], 4 + w[4]), least(w[3], 2 + w[4]), least(w[4], 2 + w[3])] FROM (
+      SELECT conv_id, i, [least(3 + v[1], CASE WHEN ok THEN 2 + t + v[3] END, CASE WHEN ok AND r = 'u' THEN t + v[3] WHEN ok AND r = 's' THEN t + v[2] END), least(3 + v[2], CASE WHEN ok THEN 2 + t + v[3] END, CASE WHEN ok AND r = 'u' THEN t + v[3] END),
+        least(3 + v[3], CASE WHEN ok THEN 2 + t + v[4] END, CASE WHEN ok AND r = 'a' THEN t + v[4] END), least(3 + v[4], CASE WHEN ok THEN 2 + t + v[3] END, CASE WHEN ok AND r = 'u' THEN t + v[3] END)] AS w FROM (
+        SELECT v.conv_id, f.i, v.v, f.r, coalesce(fault NOT IN ('blank', 'duplicate'), true) AS ok, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS t FROM v JOIN f ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.i = v.i - 1))),
+  e AS (SELECT v.conv_id, v.i, v.v, u.v AS u, f.role, f.text, f.r, coalesce(fault NOT IN ('blank', 'duplicate'), true) AS ok, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS t
+    FROM v LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.i = v.i LEFT JOIN v u ON u.conv_id IS NOT DISTINCT FROM v.conv_id AND u.i = v.i + 1),
+  p AS (SELECT conv_id, 1 AS i, 0 AS s, '' AS audit, CAST([] AS VARCHAR[]) AS said FROM c UNION ALL
+    SELECT conv_id, CASE WHEN x = 'I' THEN i ELSE i + 1 END, CASE WHEN x = 'D' THEN s WHEN x = 'K' AND r = 's' THEN 1 ELSE {_TO} END, audit || x,
+      CASE WHEN x = 'D' THEN said ELSE list_append(said, CASE WHEN x = 'K' THEN role WHEN s = 2 THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN x = 'I' THEN '' ELSE text END) END FROM (
+      SELECT p.conv_id, p.i, s, audit, said, r, role, text, CASE WHEN 3 + u[s + 1] = v[s + 1] THEN 'D' WHEN 2 + v[{_TO} + 1] = v[s + 1] THEN 'I'
+        WHEN ok AND t + CASE WHEN r = 's' AND s = 0 THEN u[2] WHEN r = CASE s WHEN 2 THEN 'a' ELSE 'u' END THEN u[{_TO} + 1] END = v[s + 1] THEN 'K' WHEN ok AND 2 + t + u[{_TO} + 1] = v[s + 1] THEN 'R' END AS x
+      FROM p JOIN e ON e.conv_id IS NOT DISTINCT FROM p.conv_id AND e.i = p.i) WHERE x IS NOT NULL)
+  SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(v.v[1] AS BIGINT) AS cost, audit, sha256(array_to_string(said, chr(10))) AS repaired_sha256
+  FROM c JOIN v ON v.conv_id IS NOT DISTINCT FROM c.conv_id AND v.i = 1 JOIN (SELECT conv_id, arg_max(audit, length(audit)) AS audit, arg_max(said, length(audit)) AS said FROM p GROUP BY conv_id) q ON q.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
 _RULE_SQL = {
     "symbols_per_word": "n_symbols / n_words", "duplicate_lines": "CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END", "repeated_words": "n_repeat_words / n_words",
     "capitals": "capitals / word_chars", "exclamations_per_word": "exclamations / n_words", "mean_word_length": "word_chars / n_words",
@@ -117,4 +145,4 @@ def _rules_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     """For the operators that SQL can express; the others are tested against brute force."""
-    return {"op5_suffix_dedup": _REPEATS, "url_rules": _URL_RULES, "op8_minhash_near_dedup": _NEAR, "op9_quality_rules": _rules_sql(), "op11_importance_resampling": _RESAMPLING}
+    return {"op5_suffix_dedup": _REPEATS, "url_rules": _URL_RULES, "op8_minhash_near_dedup": _NEAR, "op9_quality_rules": _rules_sql(), "op11_importance_resampling": _RESAMPLING, "op12_conversation_repair": _REPAIR}
