@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import conversations, language_model, media, mixing, near_dedup, packing, quality_classifier, quality_rules, resampling, suffix_dedup, token_counts, url_filter
+from . import conversations, language_model, media, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, resampling, suffix_dedup, token_counts, url_filter
 from .common import table
 
 
@@ -30,6 +30,7 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
         "op10_source_mixing": mixing.op10_mixing,
         "op11_importance_resampling": resampling.op11_resampling,
         "op12_conversation_repair": conversations.op12_repair,
+        "op13_pii": pii.op13_pii,
         "url_rules": url_rules,
     }
 
