@@ -5,24 +5,26 @@ domains.  Each document gets a rate, how often it is to be seen.  The rates mini
 the domains' expected token totals, ``sum_d rate_d tokens_d posterior_dk`` against the target, each divided
 by the domain's present total, plus ``PULL`` times the squared distance (by tokens) from rate 1.
 
-They are found by projected gradient steps that all documents take at once.  A document's gradient is its
-posterior times the misses, so the sum of all steps is one vector of the domains, and the rate is the
-projection on ``rate >= 0`` of 1 less the posterior times that vector.  The steps are scaled by the inverse
-of the free documents' Gram matrix (those with a rate above zero) and halved while the dual objective does
-not fall enough.  A pass over the documents is thus one native aggregation to ten sums.  The loop ends when the
-optimality condition holds to ``ENOUGH`` of every domain's total; if it does not within ``PASSES`` it raises.
-
-Without a total, the domain of the greatest weight is wanted whole, each once, and the others in proportion to
-it, but none beyond what it has: a scarce domain is wanted whole too and lowers no other, so its share is missed
-and the others keep theirs among themselves.  With a total, domains are repeated as it asks.  Rates become whole
-copies by a hash of the document, so that expected totals hold.
+Without a total no document is seen twice.  The domain of the greatest weight leads; every other may have so many tokens to one of
+its as their weights say.  Of all rates from 0 to 1 that keep to this, those closest to 1 are taken (squared distance, by tokens), misses
+being weighed as above.  A domain that has less than its share is left whole and lowers no other.  If that would leave less than
+``LEAST`` of the leading domain, because no documents are pure enough, the shares asked for are moved halfway to the present ones
+until it does not.  With a total (or ``once=False``: the leading domain whole) documents are repeated as the targets ask.
+
+Both problems are solved in their dual, which has one multiplier a domain.  A document's gradient is its posterior times the
+misses, so all steps taken so far sum to one vector of the domains, and a document's rate is the projection of 1 less its posterior times
+that vector.  The projected gradient steps are scaled by the inverse of the free documents' Gram matrix (those between
+the bounds), which makes them damped Newton steps, and halved until the dual objective falls as it should.  A pass
+over the documents is thus one native aggregation to a few sums.  The loop ends when the optimality condition holds to
+``ENOUGH`` of every domain's total; if it does not within ``PASSES``, or no step lets the objective fall, it raises.
+Rates become whole copies by a hash of the document, so that expected totals hold.
 
 Tokens are words, unless ``tokens`` names a column of counts (those of ``token_counts``, say): only ratios of
 totals count here, and counting by a tokenizer costs as much again as everything else.
 
 Defined cases: a null or empty text has 0 tokens and a posterior like any other; a domain that nothing is
 labelled with gets posterior 0 and its weight goes to the others; without labels every document is
-"clean" with rate 1; documents with a null id are mixed like others; repeated rows get the same rate;
+"clean" with rate 1; separators of words are the contract's six; documents with a null id are mixed like others; repeated rows get the same rate;
 an empty table gives no row; further columns are carried by ``mixed`` and ignored elsewhere.
 """
 
@@ -41,7 +43,7 @@ from .common import keep, slices, table
 
 DOMAINS = ("clean", "toxic", "junk")
 TARGETS = {"clean": 0.96, "toxic": 0.02, "junk": 0.02}
-PULL, ENOUGH, PASSES = 1e-6, 1e-7, 200
+PULL, ENOUGH, PASSES, LEAST = 1e-6, 1e-7, 200, 0.5
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -67,16 +69,20 @@ def posteriors(docs: DataFrame, labels: DataFrame, *carry: str, tokens: str | No
                 p /= p.sum(1, keepdims=True)
             else:
                 p[:, 0] = 1
-            n = part.column("_tokens") if tokens else pa.array([len((t or "").split()) for t in part.column("text").to_pylist()], pa.int64())
+            n = part.column("_tokens") if tokens else pa.array([len((t or "").encode().split()) for t in part.column("text").to_pylist()], pa.int64())
             yield pa.record_batch([*(part.column(c) for c in carry), n, pa.array(list(p), pa.list_(pa.float64()))], names=[*carry, "n_tokens", "posterior"])
 
     return inputs.mapInArrow(run, schema)
 
 
-def rate_of(steps: np.ndarray) -> Column:
-    """The rate of a document by its ``posterior``: 1 less what all steps together say, projected on ``>= 0``."""
-    moved = sum((F.get("posterior", F.lit(k)) * float(x) for k, x in enumerate(steps)), F.lit(0.0))
-    return F.greatest(F.lit(0.0), 1.0 - moved)
+def _moved(steps: np.ndarray) -> Column:
+    return sum((F.get("posterior", F.lit(k)) * float(x) for k, x in enumerate(steps)), F.lit(0.0))
+
+
+def rate_of(steps: np.ndarray, once: bool = False) -> Column:
+    """The rate of a document by its ``posterior``: 1 less what all steps together say, projected on ``>= 0`` (``once``: and ``<= 1``)."""
+    rate = F.greatest(F.lit(0.0), 1.0 - _moved(steps))
+    return F.least(F.lit(1.0), rate) if once else rate
 
 
 def wanted(have: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -127,29 +133,95 @@ def fit_rates(members: DataFrame, targets: dict[str, float], total: float | None
             now, gram, half = sums(tried)
             if half + goal @ tried + pull @ tried**2 / 2 <= objective - 1e-4 * (slope @ step) / 2**halvings + 1e-12 * abs(objective):
                 break
+        else:
+            raise NotReached(f"mixing: no step helps after {len(log)} passes; misses {(now - goal).tolist()}")
         steps = tried
     raise NotReached(f"mixing: misses of {dict(zip(DOMAINS, (now - goal).tolist(), strict=True))} tokens after {PASSES} passes")
 
 
-def with_rates(members: DataFrame, steps: np.ndarray, doc_id: str = "doc_id") -> DataFrame:
+def fit_once(members: DataFrame, targets: dict[str, float]) -> tuple[np.ndarray, list[dict]]:
+    """As ``fit_rates``, for rates of 1 at most: every domain but the leading one has a bound in proportion to that one."""
+    size = len(DOMAINS)
+    p, n, log = [F.get("posterior", F.lit(k)) for k in range(size)], F.col("n_tokens").cast("double"), []
+    have = np.array([x or 0.0 for x in members.agg(*(F.sum(n * x) for x in p)).first()])
+    weight = np.array([targets.get(d, 0.0) for d in DOMAINS]) * (have > 0)
+    if not weight.sum():
+        return np.zeros(size), log
+    lead = max(range(size), key=lambda k: (weight[k], have[k]))
+    others = [k for k in range(size) if k != lead and have[k] > 0]
+    pairs = [(i, j) for i in range(len(others)) for j in range(i, len(others))]
+    ratio, pull = weight[others] / weight[lead], PULL * have[others]
+
+    def all_steps(own: np.ndarray) -> np.ndarray:
+        steps = np.zeros(size)
+        steps[others], steps[lead] = own, -(ratio * own).sum()
+        return steps
+
+    def sums(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """The domains' totals, what is beyond the bounds, the Gram matrix of the free documents, and the objective's sum over documents."""
+        steps = all_steps(own)
+        moved, rate = _moved(steps), rate_of(steps, True)
+        beyond = [p[k] - float(r) * p[lead] for k, r in zip(others, ratio, strict=True)]
+        free = (rate > 0) & (rate < 1)
+        half = F.sum(n * F.when(moved < 0, 0.5 - moved).otherwise(rate * rate / 2))
+        row = [x or 0.0 for x in members.agg(*(F.sum(n * rate * x) for x in p), *(F.sum(F.when(free, n * beyond[i] * beyond[j])) for i, j in pairs), half).first()]
+        gram = np.zeros((len(others), len(others)))
+        for (i, j), x in zip(pairs, row[size:-1], strict=True):
+            gram[i, j] = gram[j, i] = x
+        now = np.array(row[:size])
+        return now, now[others] - ratio * now[lead], gram, row[-1] + float(pull @ own**2) / 2
+
+    while True:
+        own = np.zeros(len(others))
+        now, beyond, gram, objective = sums(own)
+        for _ in range(PASSES):
+            log.append({d: float(x) for d, x in zip(DOMAINS, now, strict=True)})
+            slope = beyond - pull * own
+            active = (own > 0) | (slope > 0)
+            if (np.abs(slope[active]) <= ENOUGH * have[others][active]).all():
+                break
+            step = np.zeros(len(others))
+            step[active] = np.linalg.solve((gram + np.diag(pull + 1e-9 * have[others]))[np.ix_(active, active)], slope[active])
+            for halvings in range(60):
+                tried = np.maximum(0, own + step / 2**halvings)
+                now, beyond, gram, then = sums(tried)
+                if then <= objective - 1e-4 * (slope @ (tried - own)) + 1e-12 * abs(objective):
+                    break
+            else:
+                raise NotReached(f"mixing: no step helps after {len(log)} passes; beyond the bounds {beyond.tolist()}")
+            own, objective = tried, then
+        else:
+            raise NotReached(f"mixing: beyond the bounds by {beyond.tolist()} tokens after {PASSES} passes")
+        if now[lead] >= LEAST * have[lead]:
+            return all_steps(own), log
+        ratio = (ratio + have[others] / have[lead]) / 2
+
+
+def fitted(members: DataFrame, targets: dict[str, float], total: float | None, once: bool) -> np.ndarray:
+    return (fit_once(members, targets) if once and total is None else fit_rates(members, targets, total))[0]
+
+
+def with_rates(members: DataFrame, steps: np.ndarray, doc_id: str = "doc_id", once: bool = False) -> DataFrame:
     """``members`` with ``rate`` and ``copies``: the rate as whole copies, the fraction by the id's hash."""
     chance = F.pmod(F.xxhash64(F.coalesce(F.col(doc_id), F.lit(-1)), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    return members.withColumn("rate", rate_of(steps)).withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
+    return members.withColumn("rate", rate_of(steps, once)).withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | None = None, tokens: str | None = None) -> DataFrame:
-    """``(doc_id, n_tokens, posterior, rate, copies)`` of every document."""
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | None = None, tokens: str | None = None, once: bool = True) -> DataFrame:
+    """``(doc_id, n_tokens, posterior, rate, copies)`` of every document; without a total, one copy of each at most unless ``once`` is false."""
     members = keep(posteriors(docs, labels, "doc_id", tokens=tokens), "posteriors")
-    steps, _ = fit_rates(members, targets or TARGETS, total)
-    return with_rates(members, steps)
+    once = once and total is None
+    return with_rates(members, fitted(members, targets or TARGETS, total, once), once=once)
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | None = None, tokens: str | None = None) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | None = None, tokens: str | None = None, once: bool = True) -> DataFrame:
     """The documents themselves, each row as often as its rate says, in the columns they came in."""
     rows = docs.withColumn("_row", F.struct(*docs.columns))  # so that no column of theirs meets one made here
     members = keep(posteriors(rows, labels, "_row", tokens=tokens), "posteriors")
-    steps, _ = fit_rates(members, targets or TARGETS, total)
-    copies = with_rates(members, steps, "_row.doc_id").where("copies > 0")
+    once = once and total is None
+    copies = with_rates(members, fitted(members, targets or TARGETS, total, once), "_row.doc_id", once).where("copies > 0")
+    if once:
+        return copies.select("_row.*")
     return copies.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 
 

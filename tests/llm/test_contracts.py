@@ -785,6 +785,42 @@ def test_a_scarce_domain_lowers_no_other(spark):
     assert len(clean & set(kept)) >= 0.99 * len(clean)
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="the driver's tables are not here")
+def test_no_document_comes_twice_and_shares_hold(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    members = mixing.posteriors(docs, labels, "doc_id").cache()
+    steps, log = mixing.fit_once(members, mixing.TARGETS)
+    last = np.array([*log[-1].values()])
+    assert last / last.sum() == pytest.approx([*mixing.TARGETS.values()], rel=0.01)
+    got = mixing.with_rates(members, steps, once=True).agg(F.max("copies"), F.max("rate"), F.min("rate"), F.sum(F.col("copies") * F.col("n_tokens")), F.sum(F.col("rate") * F.col("n_tokens"))).first()
+    assert (got[0], got[1]) == (1, 1.0) and got[2] >= 0 and got[3] == pytest.approx(got[4], rel=0.1)
+    once = mixing.mixed(docs, labels).groupBy("doc_id").count()
+    assert once.where("count > 1").count() == docs.groupBy("doc_id").count().where("count > 1").count() == 0
+
+
+def test_rates_of_one_at_most_are_the_closest(spark):
+    """Against many projected gradient steps on the penalised problem's own rates."""
+    rng = np.random.default_rng(3)
+    p, n = rng.dirichlet([3, 0.3, 0.1], 400), rng.integers(1, 100, 400)
+    steps, log = mixing.fit_once(members_of(spark, n, p), {"clean": 0.9, "toxic": 0.05, "junk": 0.05})
+    rate, have = np.clip(1 - p @ steps, 0, 1), n @ p
+    got = (rate * n) @ p
+    assert [*log[-1].values()] == pytest.approx([*got])
+    assert got[1] <= got[0] / 18 * 1.001 and got[2] <= got[0] / 18 * 1.001
+    q = (p - p[:, :1] * np.array([1, 1 / 18, 1 / 18]))[:, 1:]
+    # the optimality condition: a rate between the bounds is 1 less its gradient, with multipliers that are zero where a bound is slack
+    multipliers = ((rate * n) @ q) / (mixing.PULL * have[1:])
+    assert steps[1:] == pytest.approx(np.maximum(0, multipliers), rel=1e-2, abs=1e-3 + 2 * mixing.ENOUGH / mixing.PULL)
+
+
+def test_shares_that_would_empty_the_corpus_are_moved(spark):
+    members = members_of(spark, [10] * 50, [[0.9, 0.05, 0.05]] * 50)
+    steps, log = mixing.fit_once(members, mixing.TARGETS)
+    assert [*log[-1].values()][0] >= 0.5 * 450
+    assert mixing.fit_once(members.limit(0), mixing.TARGETS)[0].tolist() == [0, 0, 0]
+    assert mixing.fit_once(members, {"clean": 1.0})[0].shape == (3,)
+
+
 def test_totals_without_repeats():
     weight = np.array([0.96, 0.02, 0.02])
     assert mixing.wanted(np.array([960.0, 500.0, 0.5]), weight) == pytest.approx([960, 20, 0.5])
