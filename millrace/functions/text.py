@@ -68,7 +68,7 @@ def _by_arrow(function: Callable[[str], str | None]) -> Callable[[Column], Colum
     return run
 
 
-_match_text, _fold, _unescape, _unquote = map(_by_arrow, (match_text, folded, html.unescape, unescaped))
+_match_text, _fold, _casefold, _unescape, _unquote = map(_by_arrow, (match_text, folded, str.casefold, html.unescape, unescaped))
 
 
 def _where_needed(text: Column, needed: Column, by_python: Callable[[Column], Column], otherwise: Column) -> Column:
@@ -89,6 +89,11 @@ def fold(text: Column) -> Column:
     return _where_needed(text, text.rlike("[^\\x00-\\x7f]"), _fold, F.lower(F.replace(text, F.lit("\\"), F.lit("/"))))
 
 
+def case_folded(text: Column) -> Column:
+    """Full case folding, in which a sharp s is two."""
+    return _where_needed(text, text.rlike("[^\\x00-\\x7f]"), _casefold, F.lower(text))
+
+
 def unescape_entities(text: Column) -> Column:
     return _where_needed(text, text.contains("&"), _unescape, text)
 

@@ -14,7 +14,9 @@ EMAIL = "^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$"
 def chain_faults(records: DataFrame, stream: str, seq: str, link: str | None = None, own: str | None = None, heads: DataFrame | None = None) -> DataFrame:
     """``(stream, seq, fault)``: gaps and repeats in the numbering, links that do not name the record before.
 
-    ``heads`` (of ``head``, by the same streams) are what earlier records ended with; their streams go on from there.
+    ``heads`` (of ``head``, by the same streams) are what earlier records ended with; their streams go on from there, a record of
+    a head's number is a ``repeat`` and one of a lower number ``late``.  A stream is one window here: for streams that grow
+    without end, or whose records come out of order, see ``streaming.chains``.
     """
     columns = [stream, seq, *([link, own] if link and own else [])]
     rows = records.select(*columns, F.lit(False).alias("_head"))
@@ -23,7 +25,10 @@ def chain_faults(records: DataFrame, stream: str, seq: str, link: str | None = N
         rows = rows.unionByName(heads.select(stream, F.col("seq").alias(seq), *digest, F.lit(True).alias("_head")))
     order = Window.partitionBy(stream).orderBy(F.col(seq), F.col("_head").desc())
     before = F.lag(seq).over(order)
-    fault = F.when(before.isNull() & (F.col(seq) != 0), "start").when(F.col(seq) - before == 0, "repeat").when(F.col(seq) - before != 1, "gap")
+    known = F.max(F.when(F.col("_head"), F.col(seq))).over(Window.partitionBy(stream)) if heads is not None else F.lit(None).cast("long")
+    behind = F.when(F.col(seq) == known, "repeat").when(F.col(seq) < known, "late")
+    fault = behind if heads is not None else F.lit(None).cast("string")
+    fault = F.when(fault.isNotNull(), fault).when(before.isNull() & (F.col(seq) != 0), "start").when(F.col(seq) - before == 0, "repeat").when(F.col(seq) - before != 1, "gap")
     if link and own:
         fault = F.coalesce(fault, F.when(~F.col(link).eqNullSafe(F.lag(own).over(order)), "link"))
     return rows.select(stream, seq, fault.alias("fault"), "_head").where("fault IS NOT NULL AND NOT _head").drop("_head")

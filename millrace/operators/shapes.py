@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.evidence import evidence_id
-from ..functions.text import collapse_space, lines_of, match_column, match_text, normalise_match_text
+from ..functions.text import case_folded, collapse_space, lines_of, match_column, match_text, normalise_match_text
 from ..functions.urls import needles
 from .inventory import name_glob
 
@@ -50,6 +50,8 @@ OWNERSHIP = (
 DEFINITIONS_ONLY = ("self-reference-safe", "synthetic-test-input")
 SYNTHETIC = "synthetic-test-input"
 CONTRACTS = ("full", "nondeploy-operational-contact", *DEFINITIONS_ONLY)
+#: What numbered detectors are called.
+NAMES = {"phrase": "phrase", "repository": "repository", "ownership": "ownership"}
 #: How shapes are named where values are allowed.
 ALLOWED_AS = {"email_address": "email_address_values", "phone_number": "phone_number_values", "postal_address": "postal_address_values"}
 
@@ -111,22 +113,26 @@ def line_findings(
     patterns: dict[str, str] | None = None,
     repositories: tuple[str, ...] = (),
     allowances: tuple[Allowance, ...] = (),
+    names: dict[str, str] | None = None,
 ) -> DataFrame:
     """``(path, line_number, rule, detector, column)``: the first match of every detector on every line.
 
     ``phrases`` are literal, ``patterns`` (identifier to regular expression) match what is left when white space is
     collapsed, ``repositories`` are named in any of their forms.  Phrases and repositories have no column.  A
     match that ``allowed`` (detector to full patterns) or ``allowances`` let pass hides later ones on its line.
-    ``contract`` may be a column of ``lines``.  Python-style Unicode classes hold throughout.
+    ``contract`` may be a column of ``lines``.  ``names`` are what detectors of phrases, repositories and ownership claims are
+    called before their number, where they are to be called otherwise than ``NAMES``.  Python-style Unicode classes hold throughout.
     """
+    called = NAMES | (names or {})
     lines = lines.withColumn("_folded", F.lower("line"))
-    line, low = F.col("line"), F.col("_folded")
+    lines = lines.withColumn("_cased", case_folded(F.col("line"))) if phrases or repositories else lines
+    line, low, cased = F.col("line"), F.col("_folded"), F.col("_cased")
     kind, found = "array<struct<rule:string,detector:string,column:int>>", []
     bare = lambda rule, detector: F.struct(F.lit(rule).alias("rule"), F.lit(detector).alias("detector"), F.lit(None).cast("int").alias("column"))
-    named = [F.when(F.lower(collapse_space(line)).contains(" ".join(match_text(p).lower().split())), bare("forbidden_phrase", f"phrase[{i}]")) for i, p in enumerate(phrases)]
+    named = [F.when(collapse_space(cased).contains(" ".join(match_text(p).casefold().split())), bare("forbidden_phrase", f"{called['phrase']}[{i}]")) for i, p in enumerate(phrases)]
     named += [_finding("forbidden_phrase", name, match_column(collapse_space(line), f"(?U){p}")) for name, p in (patterns or {}).items()]
-    named += [F.when(reduce(or_, (low.contains(n) for n in needles(r)), F.lit(False)), bare("private_repository_link", f"repository[{i}]")) for i, r in enumerate(repositories)]
-    owns = [_finding("ownership_percentage_claim", f"ownership[{i}]", match_column(line, p)) for i, p in enumerate(OWNERSHIP)]
+    named += [F.when(reduce(or_, (cased.contains(n) for n in needles(r)), F.lit(False)), bare("private_repository_link", f"{called['repository']}[{i}]")) for i, r in enumerate(repositories)]
+    owns = [_finding("ownership_percentage_claim", f"{called['ownership']}[{i}]", match_column(line, p)) for i, p in enumerate(OWNERSHIP)]
     owned = F.when(low.contains("%") | low.contains("percent"), F.array(*owns))
     found.append(F.when(~_is(contract, DEFINITIONS_ONLY), F.concat(F.array(*named).cast(kind), F.coalesce(owned.cast(kind), F.array().cast(kind)))))
     for name, pattern in SHAPES.items():

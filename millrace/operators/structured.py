@@ -69,19 +69,23 @@ def _rendered(value) -> str | None:
     return value if value is None or isinstance(value, str) else json.dumps(value)
 
 
-def walk(root, max_depth: int, max_items: int, visited: int = 0) -> Iterator[tuple]:
+def walk(root, max_depth: int, max_items: int, visited: list[int] | None = None, empties: bool = False) -> Iterator[tuple]:
     """``(path, name, ancestors, siblings, kind, value)`` of every scalar, and of where a limit stops the walk.
 
-    List items keep the name and the siblings above them.  Items are those of all containers so far.
+    List items keep the name and the siblings above them.  Items are those of all containers so far, counted on in
+    ``visited``, which the values of one document share.  ``empties``: containers with nothing in them are rows too.
     """
+    visited = [0] if visited is None else visited
     waiting = [(root, "$", None, (), (), 0)]
     while waiting:
         node, path, name, above, siblings, depth = waiting.pop()
         if depth > max_depth:
             yield path, name, above, siblings, "maximum_nesting_depth", None
         elif isinstance(node, (dict, list)):
-            visited += len(node)
-            if visited > max_items:
+            visited[0] += len(node)
+            if empties and not node:
+                yield path, name, above, siblings, "empty", None
+            if visited[0] > max_items:
                 yield path, name, above, siblings, "maximum_collection_items", None
             elif isinstance(node, dict):
                 own, keys = above if name is None else (*above, name), tuple(node)
@@ -92,12 +96,13 @@ def walk(root, max_depth: int, max_items: int, visited: int = 0) -> Iterator[tup
             yield path, name, above, siblings, "boolean" if isinstance(node, bool) else "null" if node is None else "string" if isinstance(node, str) else "number", _rendered(node)
 
 
-def json_leaves(rows: DataFrame, key: str, text: str, max_depth: int = MAX_DEPTH, max_items: int = MAX_ITEMS, lines: bool | Column = False) -> DataFrame:
+def json_leaves(rows: DataFrame, key: str, text: str, max_depth: int = MAX_DEPTH, max_items: int = MAX_ITEMS, lines: bool | Column = False, empties: bool = False) -> DataFrame:
     """``(key, path, name, ancestors, siblings, kind, value)`` of every scalar of strict JSON texts.
 
     A text that is not strict JSON (repeated keys, NaN, null) gives one row of kind ``invalid``; a container
     beyond ``max_depth``, or with which a text has more than ``max_items`` items, gives one of that limit's name instead
-    of its leaves.  ``lines`` says which texts have a value per line that is not blank.
+    of its leaves.  ``lines`` says which texts have a value per line that is not blank; these share one count of items.
+    ``empties``: containers with nothing in them are rows of kind ``empty``.
     """
     given = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), (F.lit(lines) if isinstance(lines, bool) else lines).alias("lines"))
     fields = [f.split(" ", 1)[0] for f in LEAVES.split(", ")]
@@ -111,7 +116,8 @@ def json_leaves(rows: DataFrame, key: str, text: str, max_depth: int = MAX_DEPTH
                         raise ValueError("null")
                     parts = [x for x in own.removeprefix("\ufeff").splitlines() if x.strip()] if by_line else [own.removeprefix("\ufeff")]
                     roots = [strict(x) for x in parts]
-                    leaves = [leaf for root in roots for leaf in walk(root, max_depth, max_items)]
+                    visited = [0]
+                    leaves = [leaf for root in roots for leaf in walk(root, max_depth, max_items, visited, empties)]
                 except (ValueError, RecursionError):
                     leaves = [(None, None, (), (), "invalid", None)]
                 owner += [i] * len(leaves)
@@ -199,8 +205,13 @@ PRIVATE_VALUES = ("body", "candidate_source", "content", "detected_text", "fixtu
 RECORD_KEYS = ("frame_hash", "payload", "payload_hash", "prev_wave", "sig", "stream_id")
 
 
-def unsafe_evidence(leaves: DataFrame) -> DataFrame:
-    """``(key, path, fault)``: leaves of evidence documents below a key that these may not have."""
+def unsafe_evidence(leaves: DataFrame, spec: str | None = None) -> DataFrame:
+    """``(key, path, fault)``: leaves of evidence documents below a key that these may not have.
+
+    ``leaves`` have empty containers too (``empties``), so that no key goes unseen; ``spec`` is the value of a key of that name
+    that marks records of another kind.
+    """
+    marked = F.coalesce((F.lower("name") == "spec") & (F.col("kind") == "string") & (F.lower("value") == (spec or "").casefold()), F.lit(False)) & F.lit(bool(spec))
     names = F.transform(F.concat(F.array("name"), "ancestors", "siblings"), lambda n: F.replace(F.lower(n), F.lit("-"), F.lit("_")))
-    fault = F.when(_any_of(F.col("_names"), RECORD_KEYS), "frame_material").when(_any_of(F.col("_names"), PRIVATE_VALUES), "private_material_field")
+    fault = F.when(marked | _any_of(F.col("_names"), RECORD_KEYS), "frame_material").when(_any_of(F.col("_names"), PRIVATE_VALUES), "private_material_field")
     return leaves.withColumn("_names", F.array_compact(names)).select("key", "path", fault.alias("fault")).where("fault IS NOT NULL")

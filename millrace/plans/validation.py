@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import case_folded
+from ..operators.bags import bag_differences
 from ..operators.inventory import drift
 from ..operators.structured import json_leaves, unsafe_evidence
 
@@ -54,7 +56,7 @@ def form_faults(records: DataFrame, key: str = "path") -> DataFrame:
     return records.select(F.col(key).alias("key"), F.explode(F.array_compact(F.array(*own))).alias("f")).select("key", "f.field", "f.fault")
 
 
-def evidence_faults(report: DataFrame, fields: tuple[str, ...], expected: dict[str, Column], truth: DataFrame, compared: list[str], record_fields: tuple[str, ...] = SOURCE_FIELDS) -> DataFrame:
+def evidence_faults(report: DataFrame, fields: tuple[str, ...], expected: dict[str, Column], truth: DataFrame, compared: list[str], record_fields: tuple[str, ...] = SOURCE_FIELDS, spec: str | None = None) -> DataFrame:
     """All that is wrong with ``report(id, text)``, one JSON evidence document with ``coverage_records``: ``(check, key, field, fault)``.
 
     Its own fields and those of its records are closed; fields in ``expected`` have set values; its records are those
@@ -66,7 +68,7 @@ def evidence_faults(report: DataFrame, fields: tuple[str, ...], expected: dict[s
     listed = top.select("id", F.explode(F.try_variant_get("_v", "$.coverage_records", "array<variant>")).alias("r")).withColumn("_text", F.to_json("r"))
     records = listed.select(F.from_json("_text", kinds).alias("r")).select("r.*")
     named = lambda check, faults: faults.select(F.lit(check).alias("check"), F.col("key").cast("string").alias("key"), "field", "fault")
-    private = unsafe_evidence(json_leaves(report, "id", "text")).select("key", F.col("path").alias("field"), "fault")
+    private = unsafe_evidence(json_leaves(report, "id", "text", empties=True), spec).select("key", F.col("path").alias("field"), "fault")
     checks = {
         "schema": key_faults(report, "id", "text", fields), "values": value_faults(values, "id", expected), "record schema": key_faults(listed.withColumn("path", F.try_variant_get("r", "$.path", "string")), "path", "_text", record_fields),
         "record form": form_faults(records), "truth": record_faults(records, truth, "path", compared), "private": private,
@@ -82,7 +84,7 @@ def page_faults(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
     A required phrase that is missing, a forbidden one that is there; ``folded`` phrases are compared without case.
     """
-    there = F.when(F.col("folded"), F.lower("text").contains(F.lower("phrase"))).otherwise(F.col("text").contains(F.col("phrase")))
+    there = F.when(F.col("folded"), case_folded(F.col("text")).contains(case_folded(F.col("phrase")))).otherwise(F.col("text").contains(F.col("phrase")))
     joined = rules.join(pages.select("page", "text"), "page", "left").withColumn("_there", F.coalesce(there, F.lit(False)))
     fault = F.when(F.col("text").isNull(), "no page").when(F.col("required") & ~F.col("_there"), "missing").when(~F.col("required") & F.col("_there"), "forbidden")
     return joined.select("page", "phrase", fault.alias("fault")).where("fault IS NOT NULL")
@@ -100,3 +102,39 @@ def told(faults: DataFrame) -> str:
     """Pass, or the first faults, for a log."""
     rows = [r.asDict() for r in faults.limit(20).collect()]
     return json.dumps({"result": "deny" if rows else "pass", "first": rows}, sort_keys=True, default=str)
+
+
+def declared_counts(documents: DataFrame, key: str, text: str, path: str) -> DataFrame:
+    """``(key, name, declared)``: the fields of the object of counts at ``path`` of JSON documents; null for what is no whole number."""
+    told = F.try_variant_get(F.try_parse_json(text), path, "map<string,variant>")
+    each = documents.select(F.col(key).alias("key"), F.explode(told).alias("name", "v"))
+    whole = F.schema_of_variant("v").isin("BIGINT")
+    return each.select("key", "name", F.when(whole, F.try_variant_get("v", "$", "long")).alias("declared"))
+
+
+def count_faults(declared: DataFrame, counted: DataFrame) -> DataFrame:
+    """``(key, name, fault)``: ``declared(key, name, declared)`` against ``counted(key, name, n)``, what was counted again, both ways.
+
+    A count that is ``missing``, of nothing that was counted (``unexpected``), ``no number``, or another one (``mismatch``).
+    """
+    d, c = declared.withColumn("_d", F.lit(True)), counted.withColumn("_c", F.lit(True))
+    both = d.join(c, ["key", "name"], "full_outer")
+    fault = F.when(F.col("_d").isNull(), "missing").when(F.col("_c").isNull(), "unexpected").when(F.col("declared").isNull(), "no number").when(F.col("declared") != F.col("n"), "mismatch")
+    return both.select("key", "name", fault.alias("fault")).where("fault IS NOT NULL")
+
+
+def stale_parts(report: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+    """``(part, row, n_declared, n_found)``: lists of the evidence document ``report(id, text)`` against the same ones made anew.
+
+    ``parts`` maps the list's field to a table of what a new scan finds, each row an object of its columns.  Both are bags: order
+    does not count, number does.  Empty for evidence that is not stale.
+    """
+    out = None
+    for name, found in parts.items():
+        told = F.try_variant_get(F.try_parse_json("text"), f"$.{name}", "array<variant>")
+        listed = report.select(F.explode(told).alias("v")).select(F.to_json("v").alias("_text"))
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
+        declared = listed.select(F.from_json("_text", kinds).alias("r")).select("r.*")
+        differ = bag_differences(declared, found.select(*declared.columns)).select(F.lit(name).alias("part"), F.to_json(F.struct(*declared.columns)).alias("row"), F.col("n_left").alias("n_declared"), F.col("n_right").alias("n_found"))
+        out = differ if out is None else out.unionByName(differ)
+    return out
