@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions import urls
 from ..functions.evidence import body_hash
 from ..functions.text import unescape_entities
+from .automaton import MAX_RULE_BYTES, substring_hits
 from .structured import walk
 
 # The classes of an audit, in report order, and the answers that mean gone.
@@ -135,6 +136,19 @@ def forbidden_links(documents: DataFrame, forbidden: tuple[str, ...]) -> DataFra
     return with_forbidden(documents, forbidden).select("doc_id", F.explode("matches").alias("target"))
 
 
+def forbidden_by_table(documents: DataFrame, addresses: DataFrame, max_bytes: int = MAX_RULE_BYTES) -> DataFrame:
+    """``(doc_id, target)`` as ``forbidden_links``, for a table of forbidden addresses ``addresses(url)`` of any number.
+
+    An address that stands in a text as it is, is found by one pass over the text; one in another spelling by a join on canonical forms.
+    """
+    wanted = addresses.select("url", F.xxhash64("url").alias("rule_id"), urls.canonical_url(F.col("url")).alias("_form"), urls.display_url(F.col("url")).alias("target")).where("url <> ''").distinct()
+    texts = documents.select(F.struct("doc_id").alias("_row"), unescape_entities(F.coalesce("text", F.lit(""))).alias("_text"))
+    as_they_are = substring_hits(texts, wanted.select("rule_id", F.col("url").alias("phrase")), max_bytes).join(wanted, "rule_id").select("_row.doc_id", "target")
+    found = F.transform(F.regexp_extract_all("_text", F.lit(f"({urls.ABSOLUTE_URL})"), 1), lambda u: F.rtrim(u, F.lit(".,);]")))
+    spelt = texts.select("_row.doc_id", F.explode(F.array_distinct(F.transform(found, urls.plain_canonical))).alias("_form")).where("_form <> ''")
+    return as_they_are.unionByName(spelt.join(wanted, "_form").select("doc_id", "target")).distinct()
+
+
 @F.pandas_udf(T.BinaryType())
 def _canonical_json(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: json.dumps(json.loads(t), sort_keys=True, separators=(",", ":")).encode(), na_action="ignore").astype(object)

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import case_folded, collapse_space, normalise_match_text
 
-MAX_RULE_BYTES, GRAM = 16 << 20, 4
+MAX_RULE_BYTES, GRAM = 16 << 20, 6
 
 
 def folded_phrase(text: Column) -> Column:
@@ -63,25 +63,33 @@ def _by_automaton(lines: DataFrame, phrases: list[tuple[int, str]]) -> DataFrame
 
 
 def grams(text: Column, size: int = GRAM) -> Column:
-    """The distinct runs of ``size`` characters of a text; a shorter text is one itself."""
-    n = F.length(text)
-    return F.when(n < size, F.array(text)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(size)))))
+    """The distinct runs of ``size`` characters of a text, by one pass of look-ahead."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), 1))
 
 
 def candidates(texts: DataFrame, needles: DataFrame, size: int = GRAM) -> DataFrame:
-    """``texts(_row, _text)`` and ``needles(rule_id, phrase)`` that may hold one another, by one gram of each needle: its rarest among needles.
+    """``(_row, rule_id)`` of ``texts(_row, _text)`` and ``needles(rule_id, phrase)`` that may hold one another.
 
-    Needles shorter than a gram meet the texts' own grams by their prefix length, so every length below ``size`` in use is a gram of its own.
+    A needle goes by one gram, its rarest among needles, so it meets few texts; needles shorter than ``size`` go by grams of their own
+    length.  Only rows' keys and digests of grams meet, not texts.
     """
-    lengths = [r[0] for r in needles.select(F.least(F.length("phrase"), F.lit(size)).alias("n")).distinct().collect() if r[0]]  # ``size`` values at most
+    short = F.least(F.length("phrase"), F.lit(size))
     parts = None
-    for n in lengths:
-        own = needles.where(F.least(F.length("phrase"), F.lit(size)) == n).select("rule_id", "phrase", F.explode(grams(F.col("phrase"), n)).alias("gram"))
-        common = own.groupBy("gram").agg(F.count("*").alias("n"))
-        rarest = own.join(common, "gram").groupBy("rule_id", "phrase").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-        met = texts.select("_row", "_text", F.explode(grams(F.col("_text"), n)).alias("gram")).join(rarest, "gram").drop("gram")
+    for (n,) in sorted(needles.select(short).distinct().collect()):  # ``size`` values at most
+        own = needles.where(short == n).select("rule_id", F.explode(grams(F.col("phrase"), n)).alias("gram")).select("rule_id", F.xxhash64("gram").alias("gram"))
+        rarest = own.join(own.groupBy("gram").agg(F.count("*").alias("n")), "gram").groupBy("rule_id").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+        met = texts.select("_row", F.explode(F.transform(grams(F.col("_text"), n), lambda g: F.xxhash64(g))).alias("gram")).join(rarest, "gram").select("_row", "rule_id")
         parts = met if parts is None else parts.unionByName(met)
-    return parts if parts is not None else texts.join(needles, F.lit(False))
+    return parts.distinct() if parts is not None else texts.select("_row").join(needles.select("rule_id"), F.lit(False))
+
+
+def substring_hits(texts: DataFrame, needles: DataFrame, max_bytes: int = MAX_RULE_BYTES) -> DataFrame:
+    """``(_row, rule_id)`` of every needle of ``needles(rule_id, phrase)`` that a text of ``texts(_row, _text)`` holds, once a row; rows are told apart by ``_row``."""
+    size = needles.agg(F.coalesce(F.sum(F.octet_length("phrase") + 16), F.lit(0))).first()[0]
+    if size <= max_bytes:
+        return _by_automaton(texts, [(r.rule_id, r.phrase) for r in needles.orderBy("rule_id", "phrase").collect()])
+    met = candidates(texts, needles).join(needles, "rule_id").join(texts, "_row")
+    return met.where(F.col("_text").contains(F.col("phrase"))).select("_row", "rule_id").distinct()
 
 
 def phrase_hits(lines: DataFrame, rules: DataFrame, max_rule_bytes: int = MAX_RULE_BYTES) -> DataFrame:
@@ -90,9 +98,5 @@ def phrase_hits(lines: DataFrame, rules: DataFrame, max_rule_bytes: int = MAX_RU
     Lines and phrases are compared as ``folded_phrase`` has them.  An empty phrase is no rule.
     """
     plain = rules.select(F.col("rule_id").cast("long").alias("rule_id"), folded_phrase(F.col("phrase")).alias("phrase")).where("phrase <> ''").distinct()
-    texts = lines.select("path", "line_number", folded_phrase(F.col("line")).alias("_text"))
-    size = plain.agg(F.coalesce(F.sum(F.octet_length("phrase") + 16), F.lit(0))).first()[0]
-    if size <= max_rule_bytes:
-        return _by_automaton(texts, [(r.rule_id, r.phrase) for r in plain.orderBy("rule_id").collect()])
-    met = candidates(texts.select(F.struct("path", "line_number").alias("_row"), "_text"), plain)
-    return met.where(F.col("_text").contains(F.col("phrase"))).select("_row.path", "_row.line_number", "rule_id").distinct()
+    texts = lines.select(F.struct("path", "line_number").alias("_row"), folded_phrase(F.col("line")).alias("_text"))
+    return substring_hits(texts, plain, max_rule_bytes).select("_row.path", "_row.line_number", "rule_id")

@@ -49,7 +49,7 @@ def glob_classes(paths: DataFrame, rules: DataFrame) -> DataFrame:
     A rule meets only paths of its own first segment; those whose first segment has a wildcard are few in any policy and meet
     all paths, as one pattern a class.
     """
-    keyed = rules.select("glob", "class", first_segment(F.col("glob")).alias("_head"), F.when(F.col("glob").startswith("/"), "/").otherwise("").alias("_root")).distinct()
+    keyed = rules.select("glob", "class", first_segment(F.col("glob")).alias("_head")).distinct()
     distinct = paths.select("path").distinct()
     own = distinct.withColumn("_head", F.split(F.ltrim("path", F.lit("/")), "/")[0])
     met = own.join(keyed.where("_head IS NOT NULL").withColumn("_regex", glob_regex(F.col("glob"))), "_head").where("rlike(path, _regex)").select("path", "class")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import evidence, text, urls
-from ..operators import audit, inventory, links, records, shapes, structured, url_scan
+from ..operators import audit, automaton, bags, inventory, links, records, rule_tables, shapes, structured, url_scan
 from . import reports, scan, validation
 
 PHRASES = ("and the", "lorem ipsum")
@@ -399,6 +399,66 @@ def revenue_by_nation(spark, d):
     return by.join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "quantity", "n")
 
 
+def bag_compare(spark, d):
+    """Line items against themselves less one kind of row and with another kind twice: rows of different number, as bags."""
+    items = _t(spark, d, "lineitem").select("l_suppkey", "l_quantity", "l_returnflag")
+    made = items.where("NOT (l_returnflag = 'A' AND l_quantity = 50)").unionByName(items.where("l_returnflag = 'N' AND l_quantity = 1"))
+    return bags.bag_differences(items, made)
+
+
+def count_faults(spark, d):
+    """Per nation a document with its customers counted by segment, some of them overlooked, against the counts made again."""
+    customers = _t(spark, d, "customer")
+    count = lambda rows: rows.groupBy(F.col("c_nationkey").alias("key"), F.col("c_mktsegment").alias("name")).agg(F.count("*").alias("n"))
+    told = count(customers.where("c_acctbal > -900")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("name", "n"))).alias("m"), F.sum("n").alias("all"))
+    text = F.to_json(F.struct(F.map_concat("m", F.create_map(F.lit("all"), F.col("all"))).alias("scan_counts")))
+    return validation.count_faults(validation.declared_counts(told.select("key", text.alias("text")), "key", "text", "$.scan_counts"), count(customers))
+
+
+def phrase_table(spark, d):
+    """Lines of documents that hold the beginning of a benchmark text, the beginnings as a table of rules."""
+    rules = _t(spark, d, "benchmark").select(F.col("item_id").alias("rule_id"), F.substring("text", 1, 30).alias("phrase"))
+    return automaton.phrase_hits(shapes.explode_lines(_content(spark, d), "path", "text"), rules)
+
+
+def phrase_table_joined(spark, d):
+    """The same by the join that holds for rules of any size."""
+    rules = _t(spark, d, "benchmark").select(F.col("item_id").alias("rule_id"), F.substring("text", 1, 30).alias("phrase"))
+    return automaton.phrase_hits(shapes.explode_lines(_content(spark, d), "path", "text"), rules, max_rule_bytes=0)
+
+
+def host_rules(spark, d):
+    """Hosts of all pages by a table of domains: the hosts that are reached by https, and all top domains."""
+    pages = _t(spark, d, "pages").select("page_id", "url", urls.host(F.col("url")).alias("host"))
+    rules = pages.where("url LIKE 'https:%'").select(F.col("host").alias("domain"), F.lit("block").alias("verdict")).unionByName(pages.select(F.element_at(F.split("host", "[.]"), -1).alias("domain"), F.lit("allow").alias("verdict")))
+    return rule_tables.host_verdicts(pages.select("page_id", "host"), rules, "unknown")
+
+
+def forbidden_table(spark, d):
+    """Pages that hold an address of a table: those of all pages, as they are or with a port and in capitals."""
+    pages, n = _t(spark, d, "pages"), F.col("page_id")
+    host = urls.part(F.col("url"), 3)
+    other = F.concat(F.upper(urls.scheme(F.col("url"))), F.lit("://"), F.upper(host), F.when(F.col("url").startswith("https"), ":443").otherwise(":80"), F.substring(F.col("url"), F.length(F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0)) + 1, F.lit(10_000)))
+    documents = pages.select(n.alias("doc_id"), F.concat(F.lit("see "), F.when(F.length("html") % 2 == 0, F.col("url")).otherwise(other), F.lit(" .")).alias("text"))
+    return audit.forbidden_by_table(documents, pages.where("url LIKE 'https:%'").select("url"))
+
+
+def glob_rules(spark, d):
+    """Paths of all pages by a table of globs: one per first folder, and two that begin with a wildcard."""
+    paths = _t(spark, d, "pages").select(urls.part(F.col("url"), 5).alias("path")).where("path <> ''")
+    head = F.regexp_extract("path", "^/([^/]+)/", 1)
+    rules = paths.select(F.concat(F.lit("/"), head, F.lit("/**")).alias("glob"), F.concat(F.lit("in "), head).alias("class")).where("class <> 'in '").distinct()
+    more = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(g).alias("glob"), F.lit(c).alias("class")) for g, c in (("/*/*.html", "page"), ("/**", "any"))))).alias("r")).select("r.*")
+    return rule_tables.glob_classes(paths, rules.unionByName(more))
+
+
+def folder_faults(spark, d):
+    """Folders of a site whose files are all pages against those of the pages that are reached by https, one level deeper."""
+    pages = _t(spark, d, "pages").select("url", F.regexp_replace("url", "^[a-z]+://|[?#].*$", "").alias("path"))
+    present = rule_tables.folders(pages.where("url LIKE 'https:%'").select(F.concat("path", F.lit("/index/x")).alias("path")))
+    return rule_tables.folder_faults(pages.select("path"), present)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -408,6 +468,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         fork_cache_classify, link_documents, repositories, waitlist_dedup, waitlist_pending, waitlist_texts, seq_chain_check, chain_head, exact_duplicates, revenue_by_nation,
         url_findings, phrase_regex, repository_needles, filename_rules, media_types, declared_paths, links_by_kind, link_contexts, repository_references,
         canonical_spellings, finding_ids_escaped, record_faults, page_phrases, audit_markdown, source_scan, artifact_gates,
+        bag_compare, count_faults, phrase_table, phrase_table_joined, host_rules, glob_rules, folder_faults, forbidden_table,
     )
 }
 
@@ -540,6 +601,28 @@ ORACLES: dict[str, str] = {
       WHERE CASE phrase WHEN 'href="/the"' THEN NOT contains(lower(html), phrase) WHEN 'track(0)' THEN contains(html, phrase) WHEN '<ARTICLE>' THEN NOT contains(html, phrase) ELSE contains(lower(html), phrase) END""",
     "revenue_by_nation": "SELECT n_name, sum(l_quantity) AS quantity, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' GROUP BY n_name",
 }
+ORACLES |= {
+    "bag_compare": """WITH l AS (SELECT l_suppkey, l_quantity, l_returnflag, count(*) AS n_left FROM lineitem GROUP BY ALL),
+      r AS (SELECT l_suppkey, l_quantity, l_returnflag, count(*) AS n_right FROM (SELECT * FROM lineitem WHERE NOT (l_returnflag = 'A' AND l_quantity = 50) UNION ALL SELECT * FROM lineitem WHERE l_returnflag = 'N' AND l_quantity = 1) GROUP BY ALL)
+      SELECT l_suppkey, l_quantity, l_returnflag, n_left, coalesce(n_right, 0) AS n_right FROM l LEFT JOIN r USING (l_suppkey, l_quantity, l_returnflag) WHERE n_left <> coalesce(n_right, 0)""",
+    "count_faults": """WITH c AS (SELECT c_nationkey AS key, c_mktsegment AS name, count(*) AS n, count(*) FILTER (WHERE c_acctbal > -900) AS told FROM customer GROUP BY ALL)
+      SELECT key, name, CASE WHEN told = 0 THEN 'missing' ELSE 'mismatch' END AS fault FROM c WHERE n <> told UNION ALL SELECT key, 'all', 'unexpected' FROM c GROUP BY key HAVING sum(told) > 0""",
+    "host_rules": f"""WITH h AS (SELECT page_id, url, lower(u.h) AS host FROM (SELECT page_id, url, {_SQL_URL} AS u FROM pages)),
+      r AS (SELECT host AS domain, 'block' AS verdict FROM h WHERE url LIKE 'https:%' UNION ALL SELECT string_split(host, '.')[-1], 'allow' FROM h), m AS (SELECT domain, min(verdict) AS verdict FROM r GROUP BY domain),
+      b AS (SELECT page_id, arg_max(domain, length(domain)) AS rule, arg_max(verdict, length(domain)) AS verdict FROM h JOIN m ON host = domain OR suffix(host, '.' || domain) GROUP BY page_id)
+      SELECT page_id, host, rule, coalesce(verdict, 'unknown') AS verdict FROM h LEFT JOIN b USING (page_id)""",
+    "forbidden_table": f"""WITH p AS (SELECT page_id, url, length(html) % 2 = 0 AS same, lower(u.s) || '://' || lower(u.h) || CASE WHEN u.p = '' THEN '/' ELSE u.p END AS shown,
+        lower(u.s) || '://' || lower(u.h) || CASE WHEN u.p IN ('', '/') THEN '/' ELSE rtrim(u.p, '/') END || CASE WHEN u.q = '?' THEN '' ELSE u.q END AS form FROM (SELECT *, {_SQL_URL} AS u FROM pages))
+      SELECT DISTINCT a.page_id AS doc_id, b.shown AS target FROM p a JOIN p b ON b.url LIKE 'https:%' AND (a.form = b.form OR (a.same AND contains(a.url, b.url)))""",
+    "glob_rules": f"""WITH p AS (SELECT DISTINCT u.p AS path FROM (SELECT {_SQL_URL} AS u FROM pages) WHERE u.p <> '')
+      SELECT path, 'any' AS class FROM p UNION ALL SELECT path, 'page' FROM p WHERE regexp_matches(path, '^/[^/]*/[^/]*[.]html$') UNION ALL SELECT path, 'in ' || regexp_extract(path, '^/([^/]+)/', 1) FROM p WHERE regexp_matches(path, '^/[^/]+/')""",
+    "folder_faults": """WITH p AS (SELECT url, string_split(regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g'), '/') AS s FROM pages),
+      n AS (SELECT DISTINCT array_to_string(s[:i], '/') AS folder FROM (SELECT s, unnest(range(1, len(s))) AS i FROM p)),
+      t AS (SELECT DISTINCT array_to_string(s[:i], '/') AS folder FROM (SELECT s, unnest(range(1, len(s))) AS i FROM (SELECT s || ['index', 'x'] AS s FROM p WHERE url LIKE 'https:%')))
+      SELECT folder, 'extra' AS fault FROM t WHERE folder NOT IN (SELECT folder FROM n) UNION ALL SELECT folder, 'missing' FROM n WHERE folder NOT IN (SELECT folder FROM t)""",
+}
+ORACLES["phrase_table"] = ORACLES["phrase_table_joined"] = f"""WITH {_SQL_LINES}, r AS (SELECT item_id, trim(regexp_replace(lower(substr(text, 1, 30)), '\\s+', ' ', 'g')) AS phrase FROM benchmark)
+  SELECT DISTINCT path, line_number, item_id AS rule_id FROM lines JOIN r ON phrase <> '' AND contains(lower(trim(regexp_replace(line, '\\s+', ' ', 'g'))), phrase)"""
 ORACLES["audit_markdown"] = "WITH p AS (" + ORACLES["probe_classify"] + """), c AS (SELECT unnest(['unreachable', 'reachable-current', 'linked', 'cached-indicator', 'fork-indicator', 'probe-error']) AS k)
   SELECT 1 AS part, 'Artifacts audited: **' || count(*) || '**' AS line, 1 AS n FROM p UNION ALL SELECT 3, '| ' || k || ' | ' || count(p.source) || ' |', 1 FROM c LEFT JOIN p ON p.classification = k GROUP BY k
   UNION ALL SELECT 5, '| url | ' || source || ' | ' || classification || ' | ' || coalesce(CAST(status AS VARCHAR), '') || ' | ' || coalesce(sha256, '') || ' | ' || coalesce(detail, '') || ' |', count(*) FROM p GROUP BY ALL"""
