@@ -67,11 +67,16 @@ def filename_fits(path: Column, globs: tuple[str, ...]) -> Column:
 
 def filename_findings(paths: DataFrame, globs: tuple[str, ...] = (), patterns: dict[str, str] | None = None) -> DataFrame:
     """``(path, rule, detector)``: one finding per file rule that a path breaks; patterns (identifier to expression) match the path."""
-    plain = F.col("_plain")
+    made = paths.select("path", name_hits(F.col("path"), globs, patterns).alias("_hits"))
+    return made.select("path", F.lit("forbidden_filename").alias("rule"), F.explode("_hits").alias("detector"))
+
+
+def name_hits(path: Column, globs: tuple[str, ...] = (), patterns: dict[str, str] | None = None) -> Column:
+    """The detectors of the file rules that a path breaks."""
+    plain = normalise_match_text(path)
     hits = [F.when(filename_fits(plain, (g,)), F.lit(f"filename[{i}]")) for i, g in enumerate(globs)]
     hits += [F.when(plain.rlike(p), F.lit(name)) for name, p in (patterns or {}).items()]
-    made = paths.select("path").withColumn("_plain", normalise_match_text(F.col("path")))
-    return made.select("path", F.lit("forbidden_filename").alias("rule"), F.explode(F.array_compact(F.array(*hits)).cast("array<string>")).alias("detector"))
+    return F.array_compact(F.array(*hits).cast("array<string>"))
 
 
 def categories(path: Column, rules: dict[str, str]) -> Column:

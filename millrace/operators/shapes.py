@@ -115,7 +115,24 @@ def line_findings(
     allowances: tuple[Allowance, ...] = (),
     names: dict[str, str] | None = None,
 ) -> DataFrame:
-    """``(path, line_number, rule, detector, column)``: the first match of every detector on every line.
+    """``(path, line_number, rule, detector, column)``: the first match of every detector on every line."""
+    found = with_hits(lines, phrases, detectors, contract, allowed, patterns=patterns, repositories=repositories, allowances=allowances, names=names)
+    return found.select("path", "line_number", F.explode("_hits").alias("f")).select("path", "line_number", "f.rule", "f.detector", "f.column")
+
+
+def with_hits(
+    lines: DataFrame,
+    phrases: tuple[str, ...] = (),
+    detectors: tuple[str, ...] | None = None,
+    contract: str | Column = "full",
+    allowed: dict[str, tuple[str, ...]] | None = None,
+    *,
+    patterns: dict[str, str] | None = None,
+    repositories: tuple[str, ...] = (),
+    allowances: tuple[Allowance, ...] = (),
+    names: dict[str, str] | None = None,
+) -> DataFrame:
+    """``lines(path, line, ...)`` with ``_hits``, an array of ``(rule, detector, column)``; none for a null line.
 
     ``phrases`` are literal, ``patterns`` (identifier to regular expression) match what is left when white space is
     collapsed, ``repositories`` are named in any of their forms.  Phrases and repositories have no column.  A
@@ -146,8 +163,7 @@ def line_findings(
             column = F.when(~value_allowed(F.col("path"), ALLOWED_AS.get(name, name), value, allowances), column)
         hinted = reduce(or_, (low.contains(h) for h in HINTS[name]))
         found.append(F.when(hinted, F.array(_finding("sensitive_data_shape", name, column)).cast(kind)))
-    each = lines.select("path", "line_number", F.explode(F.array_compact(F.flatten(F.array_compact(F.array(*found))))).alias("f"))
-    return each.select("path", "line_number", "f.rule", "f.detector", "f.column")
+    return lines.withColumn("_hits", F.array_compact(F.flatten(F.array_compact(F.array(*found))))).drop("_folded", "_cased")
 
 
 def with_evidence(findings: DataFrame) -> DataFrame:

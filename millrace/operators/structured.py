@@ -111,15 +111,7 @@ def json_leaves(rows: DataFrame, key: str, text: str, max_depth: int = MAX_DEPTH
         for batch in batches:
             owner, out = [], []
             for i, (own, by_line) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                try:
-                    if own is None:
-                        raise ValueError("null")
-                    parts = [x for x in own.removeprefix("\ufeff").splitlines() if x.strip()] if by_line else [own.removeprefix("\ufeff")]
-                    roots = [strict(x) for x in parts]
-                    visited = [0]
-                    leaves = [leaf for root in roots for leaf in walk(root, max_depth, max_items, visited, empties)]
-                except (ValueError, RecursionError):
-                    leaves = [(None, None, (), (), "invalid", None)]
+                leaves = _leaves_of(own, by_line, max_depth, max_items, empties)
                 owner += [i] * len(leaves)
                 out += leaves
             columns = list(zip(*out, strict=True)) if out else [()] * 6
@@ -144,6 +136,37 @@ def _keyed(leaves: DataFrame) -> DataFrame:
     return leaves.mapInArrow(run, f"{inner}, _key string, _above array<string>, _around array<string>")
 
 
+_LEAF = pa.struct([*((c, pa.string()) for c in ("path", "name", "kind", "value", "_key")), ("_above", pa.list_(pa.string())), ("_around", pa.list_(pa.string()))])
+LEAF_TYPE = "array<struct<path:string,name:string,kind:string,value:string,_key:string,_above:array<string>,_around:array<string>>>"
+
+
+def leaves_in(text: Column, by_line: Column, max_depth: int = MAX_DEPTH, max_items: int = MAX_ITEMS) -> Column:
+    """The leaves of ``json_leaves`` with their normalised keys as one array; null for a null text. At most ``max_items`` and the containers'."""
+
+    @F.arrow_udf(LEAF_TYPE)
+    def run(texts: pa.Array, lines: pa.Array) -> pa.Array:
+        out = []
+        for own, each in zip(texts.to_pylist(), lines.to_pylist(), strict=True):
+            out.append(None if own is None else [
+                {"path": path, "name": name, "kind": kind, "value": value, "_key": None if name is None else structured_key(name), "_above": [*map(structured_key, above)], "_around": [*map(structured_key, around)]}
+                for path, name, above, around, kind, value in _leaves_of(own, each, max_depth, max_items)
+            ])
+        return pa.array(out, pa.list_(_LEAF))
+
+    return run(text, by_line)
+
+
+def _leaves_of(own: str | None, by_line: bool, max_depth: int, max_items: int, empties: bool = False) -> list[tuple]:
+    try:
+        if own is None:
+            raise ValueError("null")
+        parts = [x for x in own.removeprefix("\ufeff").splitlines() if x.strip()] if by_line else [own.removeprefix("\ufeff")]
+        roots, visited = [strict(x) for x in parts], [0]
+        return [leaf for root in roots for leaf in walk(root, max_depth, max_items, visited, empties)]
+    except (ValueError, RecursionError):
+        return [(None, None, (), (), "invalid", None)]
+
+
 def _any_of(keys: Column, values: tuple[str, ...]) -> Column:
     return F.arrays_overlap(keys, F.array(*map(F.lit, values)))
 
@@ -185,8 +208,12 @@ def key_findings(leaves: DataFrame, detectors: tuple[str, ...] = DETECTORS, allo
     ``key`` is the document's path.  Values that may stand (null, empty, or by ``allowances``) are passed over by the detectors
     in ``placeholders`` and by those of secrets.
     """
-    keyed = _keyed(leaves)
-    document = F.col("key").cast("string")
+    keyed = with_key_hits(_keyed(leaves), F.col("key").cast("string"), detectors, allowances, placeholders)
+    return keyed.select("key", "path", F.explode("_values").alias("f")).select("key", "path", "f.rule", "f.detector").distinct()
+
+
+def with_key_hits(keyed: DataFrame, document: Column, detectors: tuple[str, ...] = DETECTORS, allowances: tuple[Allowance, ...] = (), placeholders: tuple[str, ...] = DETECTORS) -> DataFrame:
+    """Leaves with normalised keys, of the document of path ``document``, with ``_values``: an array of ``(rule, detector)``; none for a null kind."""
     terms = F.lower(document).startswith("terms/") | F.lower(document).startswith("privacy/")
     hits = []
     for name, hit in sorted(detector_hits(terms).items()):
@@ -197,7 +224,7 @@ def key_findings(leaves: DataFrame, detectors: tuple[str, ...] = DETECTORS, allo
     invalid = F.when(F.col("kind") == "invalid", F.struct(F.lit("invalid_structured_data").alias("rule"), F.lit("strict_json_parser").alias("detector")))
     scalar = F.col("kind").isin("string", "number", "boolean", "null")
     found = F.array_compact(F.array(limit, invalid, *(F.when(scalar, h) for h in hits)))
-    return keyed.select("key", "path", F.explode(found).alias("f")).select("key", "path", "f.rule", "f.detector").distinct()
+    return keyed.withColumn("_values", F.coalesce(found, F.array().cast("array<struct<rule:string,detector:string>>")))
 
 
 # Keys that evidence may not have, because they hold private values or belong to another kind of record.

@@ -40,17 +40,34 @@ def urls_in_lines(lines: DataFrame) -> DataFrame:
 
     Two are the same if they are when decoded (escapes that are no UTF-8 count as they stand); the first place counts.
     """
-    there = lines.where(F.lower("line").rlike("//|git@|%2f%2f|git%40")).withColumn("_decoded", unquote_text(F.col("line")))
+    made = with_urls(lines.where(F.lower("line").rlike(HINT)))
+    return made.select(*(c for c in lines.columns if c != "line"), F.explode("_urls").alias("m")).selectExpr("* EXCEPT (m)", "m.raw", "m.column")
+
+
+#: What a line must hold to be looked through.
+HINT = "//|git@|%2f%2f|git%40"
+
+
+def with_urls(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``_urls``, an array of ``(raw, column)``; none for a null line."""
+    there = lines.withColumn("_decoded", F.when(F.lower("line").rlike(HINT), unquote_text(F.col("line"))))
     both = F.concat(_matches(F.col("line")), F.when(F.col("_decoded") != F.col("line"), _matches(F.col("_decoded"))).otherwise(F.array().cast("array<struct<raw:string,column:int>>")))
     plain = F.transform(both, lambda m: F.struct(m["raw"].alias("raw"), m["column"].alias("column"), F.coalesce(urls.percent_decode(m["raw"]), m["raw"]).alias("same")))
     made = there.withColumn("_all", plain)
     once = F.filter("_all", lambda m, i: ~F.exists(F.slice("_all", F.lit(1), i), lambda other: other["same"] == m["same"]))
-    return made.select(*(c for c in lines.columns if c != "line"), F.explode(once).alias("m")).selectExpr("* EXCEPT (m)", "m.raw", "m.column")
+    none = F.array().cast("array<struct<raw:string,column:int,same:string>>")
+    return made.withColumn("_urls", F.transform(F.when(F.col("_decoded").isNotNull(), once).otherwise(none), lambda m: F.struct(m["raw"].alias("raw"), m["column"].alias("column")))).drop("_decoded", "_all")
 
 
 def url_findings(lines: DataFrame, policy: UrlPolicy, contract: str | Column = "full") -> DataFrame:
     """``(path, line_number, rule, detector, column)`` for every address that the policy does not let pass."""
-    found = urls_in_lines(lines.where(~_is(contract, (SYNTHETIC,))))
+    found = with_url_rules(urls_in_lines(lines.where(~_is(contract, (SYNTHETIC,)))), policy)
+    each = found.select("path", "line_number", "column", F.explode("_rules").alias("f"))
+    return each.select("path", "line_number", "f.rule", "f.detector", "column")
+
+
+def with_url_rules(found: DataFrame, policy: UrlPolicy) -> DataFrame:
+    """``found(raw, ...)`` with ``_rules``, an array of the ``(rule, detector)`` that an address breaks; none for a null address."""
     raw = F.col("raw")
     absolute = F.when(raw.startswith("//"), F.concat(F.lit("https:"), raw)).otherwise(raw)
     made = found.withColumns({
@@ -84,5 +101,4 @@ def url_findings(lines: DataFrame, policy: UrlPolicy, contract: str | Column = "
         finding(sound & repository, "private_repository_link", by_pattern),
         finding(sound & named, "forbidden_downloadable_document", "url_path_forbidden_filename"),
     )
-    each = made.select("path", "line_number", "column", F.explode(F.array_compact(rules)).alias("f"))
-    return each.select("path", "line_number", "f.rule", "f.detector", "column")
+    return made.withColumn("_rules", F.array_compact(rules)).drop("_url", "_broken", "_mail", "_reference", "_parses", "_host", "_slug", "_name")

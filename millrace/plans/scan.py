@@ -48,43 +48,78 @@ def decoded(items: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     return out.withColumn("text", F.when(small & ~F.col("binary"), plain))
 
 
+_UNIT = "struct<rule:string,detector:string,line_number:int,line:string,leaf:" + structured.LEAF_TYPE.removeprefix("array<")[:-1] + ">"
+
+
+def _units(files: DataFrame, own: Column) -> Column:
+    """What is looked at of a file, one array: its ``own`` findings, its lines, and the leaves of its JSON."""
+    null = {"rule": F.lit(None).cast("string"), "detector": F.lit(None).cast("string"), "line_number": F.lit(None).cast("int"), "line": F.lit(None).cast("string"), "leaf": F.lit(None)}
+    unit = lambda **given: F.struct(*(given.get(c, v).alias(c) for c, v in null.items())).cast(_UNIT)
+    kind = links.suffix_kind(F.col("path"))
+    leaves = structured.leaves_in(F.when(kind.isin("json", "jsonl"), F.col("text")), kind == "jsonl")
+    none = F.array().cast(f"array<{_UNIT}>")
+    parts = (
+        F.transform(own, lambda f: unit(rule=f["rule"], detector=f["detector"])), F.transform(text.lines_of(F.col("text")), lambda line, i: unit(line_number=i + 1, line=line)), F.transform(leaves, lambda leaf: unit(leaf=leaf)),
+    )
+    return F.concat(*(F.coalesce(p, none) for p in parts))
+
+
+def _judged(units: DataFrame, policy: Policy) -> DataFrame:
+    """``units(path, _contract, rule, detector, line_number, line, leaf, ...)`` as findings: every detector in one pass over the rows."""
+    carried = [c for c in units.columns if c not in ("rule", "detector", "line_number", "line", "leaf", "_contract")]
+    rows = shapes.normalised(units.withColumnsRenamed({"rule": "_rule", "detector": "_detector"}))
+    rows = shapes.with_hits(rows, policy.phrases, contract=F.col("_contract"), patterns=dict(policy.patterns), repositories=policy.repositories, allowances=policy.allowances)
+    rows = url_scan.with_urls(rows).select("*", *(F.col(f"leaf.{c}").alias(c) for c in ("kind", "value", "_key", "_above", "_around")))
+    rows = structured.with_key_hits(rows, F.col("path"), policy.detectors, policy.allowances)
+    no_raw, no_column = F.lit(None).cast("string").alias("raw"), F.lit(None).cast("int").alias("column")
+    whole = lambda f, column: F.struct(f["rule"].alias("rule"), f["detector"].alias("detector"), column, no_raw)
+    own = F.when(F.col("_rule").isNotNull(), F.array(F.struct(F.col("_rule").alias("rule"), F.col("_detector").alias("detector"), no_column, no_raw)))
+    named = F.transform("_hits", lambda f: whole(f, f["column"].alias("column")))
+    valued = F.transform("_values", lambda f: whole(f, no_column))
+    addresses = F.when(~F.col("_contract").eqNullSafe(shapes.SYNTHETIC), F.transform("_urls", lambda u: F.struct(F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("detector"), u["column"].alias("column"), u["raw"].alias("raw"))))
+    each = rows.select(*carried, "line_number", F.explode(F.flatten(F.array_compact(F.array(own, named, valued, addresses)))).alias("f")).select(*carried, "line_number", "f.*")
+    ruled = url_scan.with_url_rules(each, policy.urls)
+    found = F.when(F.col("raw").isNull(), F.array(F.struct("rule", "detector"))).otherwise(F.col("_rules"))
+    return ruled.select(*carried, "line_number", "column", F.explode(found).alias("f")).select(*carried, "f.rule", "f.detector", "line_number", "column")
+
+
 def content_findings(files: DataFrame, policy: Policy, contract: str | Column = "full") -> DataFrame:
     """What lines, addresses and JSON values of ``files(path, text)`` break; ``contract`` may be a column of theirs."""
     named = F.lit(contract) if isinstance(contract, str) else contract
-    lines = files.select("path", named.alias("_contract"), F.posexplode(text.lines_of(F.col("text"))).alias("_p", "line")).withColumn("line_number", F.col("_p") + 1)
-    lines = shapes.normalised(lines)
-    by_line = shapes.line_findings(lines, policy.phrases, contract=F.col("_contract"), patterns=dict(policy.patterns), repositories=policy.repositories, allowances=policy.allowances)
-    by_url = url_scan.url_findings(lines, policy.urls, F.col("_contract"))
-    kind = links.suffix_kind(F.col("path"))
-    leaves = structured.json_leaves(files.where(kind.isin("json", "jsonl")), "path", "text", lines=kind == "jsonl")
-    by_value = structured.key_findings(leaves, policy.detectors, policy.allowances).select(F.col("key").alias("path"), "rule", "detector").distinct()
-    return reduce(DataFrame.unionByName, (_found(by_line), _found(by_url), _found(by_value))).distinct()
+    units = files.select("path", named.alias("_contract"), F.explode(_units(files, F.lit(None).cast("array<struct<rule:string,detector:string>>"))).alias("u")).select("path", "_contract", "u.*")
+    return _found(_judged(units, policy)).distinct()
+
+
+def _own_findings(policy: Policy) -> Column:
+    """What is wrong with a decoded file as such."""
+    one = lambda when, rule, detector: F.when(when, F.struct(F.lit(rule).alias("rule"), F.lit(detector).alias("detector")))
+    plain = F.array_compact(F.array(
+        one(inventory.unsafe_path(F.col("path")), "path_escape", "path"), one(F.col("size") > policy.max_bytes, "file_too_large", "max_file_bytes"),
+        one(F.col("binary"), "unsupported_file_type", "binary"), one(~F.col("valid") & ~F.col("binary"), "invalid_utf8", "utf-8"),
+    ))
+    return F.concat(plain, F.transform("_names", lambda n: F.struct(F.lit("forbidden_filename").alias("rule"), n.alias("detector"))))
 
 
 def source_findings(items: DataFrame, policy: Policy, contract: str | Column = "full") -> DataFrame:
-    """Every finding of ``items(path, data)``, distinct, with its identifier (of the path as it may be shown)."""
-    files = decoded(items, policy.max_bytes)
-    named = inventory.filename_findings(files, policy.filenames, dict(policy.filename_patterns))
-    parts = [
-        _found(files.where(inventory.unsafe_path(F.col("path"))), "path_escape", "path"),
-        _found(inventory.collisions(files, "path", text.fold(F.col("path"))), "path_collision", "nfkc_casefold"),
-        _found(inventory.size_findings(files, policy.max_bytes), detector="max_file_bytes"),
-        _found(files.where("binary"), "unsupported_file_type", "binary"),
-        _found(files.where("NOT valid AND NOT binary"), "invalid_utf8", "utf-8"),
-        _found(named),
-        _found(content_findings(files.where("text IS NOT NULL"), policy, contract)),
-    ]
-    shown = named.select("path").distinct().withColumn("_hidden", F.lit(True))
-    found = reduce(DataFrame.unionByName, parts).join(shown, "path", "left")
-    return shapes.with_evidence(found.withColumn("path", redacted_path(F.col("path"), F.coalesce("_hidden", F.lit(False)))).drop("_hidden"))
+    """Every finding of ``items(path, data)``, distinct, with its identifier (of the path as it may be shown).
+
+    The bytes are read once: a file's own findings, lines and JSON leaves are rows of one table that all detectors see.  A second
+    scan, of the paths alone, is for paths that collide.
+    """
+    named = F.lit(contract) if isinstance(contract, str) else contract
+    names = inventory.name_hits(F.col("path"), policy.filenames, dict(policy.filename_patterns))
+    files = decoded(items, policy.max_bytes).withColumn("_names", names)
+    units = files.select("path", (F.size("_names") > 0).alias("_hidden"), named.alias("_contract"), F.explode(_units(files, _own_findings(policy))).alias("u")).select("path", "_hidden", "_contract", "u.*")
+    collided = _found(inventory.collisions(items.select("path"), "path", text.fold(F.col("path"))), "path_collision", "nfkc_casefold").withColumn("_hidden", F.size(names) > 0)
+    found = _judged(units, policy).select(*COLUMNS, "_hidden").unionByName(collided)
+    return shapes.with_evidence(found.withColumn("path", redacted_path(F.col("path"), F.col("_hidden"))).drop("_hidden"))
 
 
 def scan_source(items: DataFrame, policy: Policy, contract: str | Column = "full") -> tuple[DataFrame, DataFrame]:
     """Findings, and one row per item with size, digest, media type and pass or deny."""
     found = source_findings(items, policy, contract)
-    files = decoded(items, policy.max_bytes)
-    hidden = inventory.filename_findings(files, policy.filenames, dict(policy.filename_patterns)).select("path").distinct().withColumn("_hidden", F.lit(True))
-    shown = files.join(hidden, "path", "left").withColumn("path", redacted_path(F.col("path"), F.coalesce("_hidden", F.lit(False))))
+    hidden = F.size(inventory.name_hits(F.col("path"), policy.filenames, dict(policy.filename_patterns))) > 0
+    shown = decoded(items, policy.max_bytes).withColumn("path", redacted_path(F.col("path"), hidden))
     counted = found.groupBy("path").agg(F.count("*").alias("n_findings"))
     covered = shown.join(counted, "path", "left").select("path", "size", "sha256", inventory.media_type(F.col("path"), F.col("binary")).alias("media_type"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"))
     return found, covered.withColumn("status", F.when(F.col("n_findings") > 0, "deny").otherwise("pass"))
