@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from typing import NamedTuple
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.evidence import redacted_path
-from ..operators import inventory, links, shapes, structured, url_scan
+from ..operators import inventory, links, rule_tables, shapes, structured, url_scan
 from . import reports
 
 MAX_BYTES = 5 << 20
@@ -125,41 +126,85 @@ def scan_source(items: DataFrame, policy: Policy, contract: str | Column = "full
     return found, covered.withColumn("status", F.when(F.col("n_findings") > 0, "deny").otherwise("pass"))
 
 
-def control_findings(files: DataFrame, policy: Policy) -> DataFrame:
-    """What the files that say the rules may not hold either: all but phrases, names and repositories."""
-    return content_findings(files, policy._replace(phrases=(), patterns=(), repositories=(), filenames=(), filename_patterns=(), urls=policy.urls._replace(repository_hosts=(), filenames=(), filename_patterns=())))
+#: What files that say the rules may hold, because they name it.
+NAMED_BY_CONTROLS = ("forbidden_phrase", "private_repository_link", "forbidden_downloadable_document", "forbidden_filename")
+#: Gates of findings about a file as such; all others are of the policy gate.
+FILE_GATES = {"artifact_file_too_large": "eligibility", "artifact_text_not_utf8": "parse"}
 
 
-def scan_artifact(items: DataFrame, manifest: DataFrame, policy: Policy, site_hosts: tuple[str, ...], origins: tuple[str, ...] = (), excluded: tuple[str, ...] = (), controls: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the folder that ``spark.checkpoint.dir`` names, so that its uses do not read the input again; itself where none is named."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def class_findings(paths: DataFrame, classes: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``(rule, path, detector)``: ``classes(path, disposition)`` of source paths against the artifact's ``manifest(path, class)``.
+
+    A path that must be absent may not be in the manifest, and one that is a control must be of that class there.
+    """
+    met = paths.select("path").distinct().join(classes, "path").join(manifest.select("path", "class"), "path", "left")
+    rule = F.when((F.col("disposition") == "must-be-absent") & F.col("class").isNotNull(), "nondeploy_path_in_artifact_manifest").when((F.col("disposition") == CONTROL) & ~F.col("class").eqNullSafe(CONTROL), "publication_control_manifest_mismatch")
+    return met.select(rule.alias("rule"), "path", F.lit("source_classification").alias("detector")).where("rule IS NOT NULL").distinct()
+
+
+CONTROL = "publication-control"
+
+
+def scan_artifact(
+    items: DataFrame, manifest: DataFrame, policy: Policy, site_hosts: tuple[str, ...], origins: tuple[str, ...] = (), excluded: tuple[str, ...] = (), controls: tuple[str, ...] = (),
+    folders: DataFrame | None = None, sealed: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """``(gate, rule, path, detector)`` of a built site, ``items(path, data)`` against ``manifest(path, class)``; and its links by class.
 
-    Classes in ``excluded`` may not be published; ``controls`` are the files that hold rules, looked through by
-    ``control_findings``.  One gate after another denies; ``reports.gates`` counts them.
+    Classes in ``excluded`` may not be published; ``controls`` are the files that hold rules, in which names of what they
+    forbid may stand.  ``folders(folder)`` are those that are there, ``sealed(path, sha256)`` what the files were when they were committed:
+    a file that is another one now, a control that is (twice wrong), and a declared file that no scan saw are findings.  The bytes are read
+    once for the policy and once for the links; the rest reads paths.
     """
     files = decoded(items, policy.max_bytes)
     gate = lambda name, df, rule=None, detector=None: _found(df, rule, detector).select(F.lit(name).alias("gate"), "rule", "path", "detector")
     texts = files.where("text IS NOT NULL")
-    found = links.links_of(texts, "path", "text", links.suffix_kind(F.col("path")))
+    found = _kept(links.links_of(texts, "path", "text", links.suffix_kind(F.col("path"))), "links")
     broken = found.where("error IS NOT NULL").select("path", F.col("error").alias("rule")).distinct()
     each = links.one_per_target(found.where("error IS NULL"), "path")
     base = F.concat(F.lit(f"https://{site_hosts[0]}/"), F.col("path"))
-    classed = links.classify(each, base, site_hosts, files.select("path"), origins, policy.urls.repositories, "path")
+    paths = items.select("path")
+    classed = links.classify(each, base, site_hosts, paths, origins, policy.urls.repositories, "path")
     fine = ("internal-artifact-link", "documented-internal-url", "allowed-public-repository", "allowlisted-external-origin")
-    plain, rules = texts.where(~F.col("path").isin(*controls)), texts.where(F.col("path").isin(*controls))
+    one = lambda when, rule, detector: F.when(when, F.struct(F.lit(rule).alias("rule"), F.lit(detector).alias("detector")))
+    own = F.concat(
+        F.array_compact(F.array(one(F.col("size") > policy.max_bytes, "artifact_file_too_large", "max_file_bytes"), one(~F.col("valid") & ~F.col("binary"), "artifact_text_not_utf8", "utf-8"))),
+        F.transform(inventory.name_hits(F.col("path"), policy.filenames, dict(policy.filename_patterns)), lambda n: F.struct(F.lit("forbidden_filename").alias("rule"), n.alias("detector"))),
+    )
+    units = files.select("path", F.lit("full").alias("_contract"), F.explode(_units(files, own)).alias("u")).select("path", "_contract", "u.*")
+    judged = _judged(units, policy).where(~(F.col("path").isin(*controls) & F.col("rule").isin(*NAMED_BY_CONTROLS) & F.col("line_number").isNotNull()))
+    gates = F.coalesce(*(F.when(F.col("rule") == r, F.lit(g)) for r, g in FILE_GATES.items()), F.lit("policy"))
     parts = [
-        gate("inventory", inventory.missing(manifest, files, "path"), "missing_artifact_path", "manifest"),
-        gate("inventory", inventory.missing(files, manifest, "path"), "extra_artifact_path", "manifest"),
-        gate("inventory", inventory.collisions(files, "path", text.fold(F.col("path"))), "artifact_path_collision", "nfkc_casefold"),
-        gate("eligibility", files.where(inventory.path_error(F.col("path")).isNotNull()).withColumn("rule", inventory.path_error(F.col("path"))), detector="path"),
-        gate("eligibility", inventory.size_findings(files, policy.max_bytes).withColumn("rule", F.lit("artifact_file_too_large")), detector="max_file_bytes"),
+        gate("inventory", inventory.missing(manifest, paths, "path"), "missing_artifact_path", "manifest"),
+        gate("inventory", inventory.missing(paths, manifest, "path"), "extra_artifact_path", "manifest"),
+        gate("inventory", inventory.collisions(paths, "path", text.fold(F.col("path"))), "artifact_path_collision", "nfkc_casefold"),
+        gate("eligibility", paths.where(inventory.path_error(F.col("path")).isNotNull()).withColumn("rule", inventory.path_error(F.col("path"))), detector="path"),
         gate("eligibility", manifest.where(F.col("class").isin(*excluded)), "path_not_public_eligible", "class"),
         gate("parse", broken, detector="link_parser"),
-        gate("parse", files.where("NOT valid AND NOT binary"), "artifact_text_not_utf8", "utf-8"),
-        gate("policy", content_findings(plain, policy)),
-        gate("policy", control_findings(rules, policy)),
-        gate("policy", inventory.filename_findings(files, policy.filenames, dict(policy.filename_patterns))),
+        judged.select(gates.alias("gate"), "rule", "path", "detector"),
         gate("links", classed.where(~F.col("classification").isin(*fine)).withColumn("rule", F.col("classification")), detector="redacted_link_target"),
     ]
+    if folders is not None:
+        extra = rule_tables.folder_faults(manifest.select("path"), folders).where("fault = 'extra'")
+        parts.append(gate("inventory", extra.select(F.col("folder").alias("path")), "extra_artifact_directory", "default_deny"))
+    if sealed is not None:
+        digests = _kept(files.select("path", "sha256"), "digests")
+        other = digests.join(sealed.select("path", F.col("sha256").alias("_sealed")), "path").where("NOT sha256 <=> _sealed").select("path")
+        parts.append(gate("eligibility", other, "artifact_commit_blob_mismatch", "git_object_binding"))
+        parts.append(gate("policy", other.where(F.col("path").isin(*controls)), "publication_control_mismatch", "git_object_binding"))
+        unseen = manifest.select("path").join(digests.where("sha256 IS NOT NULL").select("path"), "path", "left_anti")
+        parts.append(gate("policy", unseen, "publication_policy_unscanned", "coverage"))
     listed = classed.select(F.col("path").alias("source_path"), "context", "classification", F.when(F.col("classification").isin(*fine), F.col("shown")).alias("target"), "fingerprint")
     return reduce(DataFrame.unionByName, parts).distinct(), listed
 

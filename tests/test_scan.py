@@ -181,3 +181,26 @@ def test_an_artifact_scan_through_its_gates(spark):
     assert {r.gate: r.result for r in scan_plan.gate_report(found).collect()} == dict.fromkeys(reports.GATES, "deny")
     ordered = reports.artifact_order(found).collect()
     assert ordered[0].path == "b.html" and ordered[-1].path == "x.json"
+
+
+def test_sealed_files_folders_and_classes(spark):
+    rows = [("a/x.md", b"same"), ("a/y.md", b"other"), ("rules.md", b"new rules"), ("b/z.md", b"")]
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    manifest = spark.createDataFrame([("a/x.md", "page"), ("a/y.md", "page"), ("rules.md", "page"), ("gone/w.md", "page")], "path string, class string")
+    sealed = spark.createDataFrame([("a/x.md", digest(b"same")), ("a/y.md", digest(b"was")), ("rules.md", digest(b"old rules")), ("gone/w.md", digest(b"w"))], "path string, sha256 string")
+    folders = spark.createDataFrame([("a",), ("b",), ("gone",)], "folder string")
+    found, _ = scan_plan.scan_artifact(spark.createDataFrame(rows, "path string, data binary"), manifest, scan_plan.Policy(), ("site.com",), controls=("rules.md",), folders=folders, sealed=sealed)
+    assert {(r.gate, r.rule, r.path) for r in found.collect()} == {
+        ("inventory", "missing_artifact_path", "gone/w.md"), ("inventory", "extra_artifact_path", "b/z.md"), ("inventory", "extra_artifact_directory", "b"), ("eligibility", "artifact_commit_blob_mismatch", "a/y.md"),
+        ("eligibility", "artifact_commit_blob_mismatch", "rules.md"), ("policy", "publication_control_mismatch", "rules.md"), ("policy", "publication_policy_unscanned", "gone/w.md"),
+    }
+    classes = spark.createDataFrame([("a/x.md", "must-be-absent"), ("rules.md", "publication-control"), ("b/z.md", "must-be-absent"), ("a/y.md", "deploy")], "path string, disposition string")
+    got = scan_plan.class_findings(spark.createDataFrame(rows, "path string, data binary"), classes, manifest)
+    assert {(r.rule, r.path) for r in got.collect()} == {("nondeploy_path_in_artifact_manifest", "a/x.md"), ("publication_control_manifest_mismatch", "rules.md")}
+
+
+def test_the_bytes_are_scanned_once(spark, tmp_path):
+    spark.createDataFrame([("a.md", b"x")], "path string, data binary").write.parquet(str(tmp_path / "items"))
+    items = spark.read.parquet(str(tmp_path / "items"))
+    plan = scan_plan.source_findings(items, scan_plan.Policy(phrases=("x",)))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("ReadSchema: struct<path:string,data:binary>", plan)) == 1
