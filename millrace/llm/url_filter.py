@@ -5,11 +5,11 @@ character entropy, parameter counts, host shape, and statistics of the host's su
 segment (how many labelled URLs have it, which share of them is blocked; a URL learnt from gets those of the
 other folds).  Suffixes are counted over all labelled URLs, segments over those that are drawn for the fit, so that
 their table is bounded.  Each boosting
-round grows one tree of depth two: the gradients and curvatures of the logistic loss are summed per node,
-feature and bin by one aggregation, the driver sees that table only (its size is nodes x features x bins), and
-the tree becomes a CASE expression, so scoring stays in generated code.  A fifth of the rows, by hash, grows no
-tree: rounds end when the loss on it has not fallen for ``PATIENCE`` rounds, and the trees up to the best are
-kept.  DataFrame functions throughout.  ``holdout`` measures what the trees are worth on URLs they did not see.
+round grows one tree of depth two from one aggregation: the gradients and curvatures of the logistic loss summed per pair of
+features and pair of their bins, which gives the root's table as well as, for any root, its children's; the
+driver sees that table only (its size is set by features and bins), and the tree becomes a CASE expression, so scoring stays in
+generated code.  A fifth of the rows, by hash, grows no tree: rounds end when the loss on it has not fallen for ``PATIENCE``
+rounds, and the trees up to the best are kept.  DataFrame functions throughout.  ``holdout`` measures what the trees are worth on URLs they did not see.
 
 The fit uses at most about ``TRAIN_ROWS`` labelled URLs, chosen by hash; every URL is judged.
 
@@ -21,16 +21,18 @@ columns are ignored.
 
 from __future__ import annotations
 
-import math
 import string
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep, table
 
 TRAIN_ROWS, ROUNDS, PATIENCE, BINS, RATE, RIDGE, FOLDS = 50_000, 16, 2, 16, 0.5, 1.0, 5
+#: The share of blocked URLs that a key without URLs counts as having.
+NEUTRAL = 0.5
 
 
 @dataclass(frozen=True)
@@ -137,55 +139,86 @@ def _best_split(rows: list, cuts: dict[str, list[float]]) -> tuple[str, float] |
     return found
 
 
+def _tables(sums: dict[int, tuple[float, float]]) -> np.ndarray:
+    """Gradients and curvatures by feature, feature, bin and bin, both ways round."""
+    size = len(FEATURES)
+    out = np.zeros((size, size, BINS, BINS, 2))
+    for key, value in sums.items():
+        pair, bins = divmod(key, BINS * BINS)
+        i, j, a, b = *divmod(pair, size), *divmod(bins, BINS)
+        out[i, j, a, b] = out[j, i, b, a] = value
+    return out
+
+
+def _rows(table: np.ndarray) -> list[dict]:
+    """A node's table by feature and bin as rows; bins without a row of the data are left out."""
+    return [{"feature": f, "bin": b, "g": float(g), "h": float(h)} for f, own in zip(FEATURES, table, strict=True) for b, (g, h) in enumerate(own) if h > 0]
+
+
 def boost(rows: DataFrame, base: float) -> Column:
-    """Log-odds of block, as an expression of the feature columns; ``rows`` has ``label`` 0.0 or 1.0."""
+    """Log-odds of block, as an expression of the feature columns; ``rows`` has ``label`` 0.0 or 1.0, and ``weight`` if rows are to weigh differently."""
     aside = F.pmod(F.xxhash64(*FEATURES, "label"), F.lit(5)) == 0
-    train = rows.where(~aside)
-    quantiles = train.agg(*(F.percentile_approx(f, [k / BINS for k in range(1, BINS)]).alias(f) for f in FEATURES)).first()
+    quantiles = rows.where(~aside).agg(*(F.percentile_approx(f, [k / BINS for k in range(1, BINS)]).alias(f) for f in FEATURES)).first()
     cuts = {f: sorted(set(quantiles[f] or [])) for f in FEATURES}
-    bin_of = lambda f: sum(((F.col(f) > c).cast("int") for c in cuts[f]), F.lit(0))
-    binned = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), bin_of(f).alias("bin")) for f in FEATURES)))
-
-    def sums(node: Column, current: Column) -> dict[int, list]:
-        p = 1 / (1 + F.exp(-current))
-        each = train.select(node.alias("node"), (F.col("label") - p).alias("g"), (p * (1 - p)).alias("h"), binned.alias("b"))
-        got = each.groupBy("node", "b.feature", "b.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
-        return {n: [r for r in got if r["node"] == n] for n in {r["node"] for r in got}}
-
-    def loss(current: Column) -> float:
-        """The mean logistic loss on the rows set aside."""
-        signed = F.when(F.col("label") > 0, current).otherwise(-current)
-        return rows.where(aside).agg(F.avg(F.log1p(F.exp(-signed)))).first()[0] or 0.0
-
-    def leaf(got: list) -> float:
-        own = [r for r in got if r["feature"] == FEATURES[0]]
-        return RATE * sum(r["g"] for r in own) / (sum(r["h"] for r in own) + RIDGE)
-
-    score = best = F.lit(base)
-    least, since = loss(score), 0
-    for _ in range(ROUNDS):
-        root = _best_split(sums(F.lit(0), score).get(0, []), cuts)
-        if not root:
-            break
-        left = F.col(root[0]) <= root[1]
-        tables = sums(F.when(left, 0).otherwise(1), score)
-        splits = {n: _best_split(tables.get(n, []), cuts) for n in (0, 1)}
-        side = lambda n: (F.col(splits[n][0]) <= splits[n][1]) if splits[n] else F.lit(True)  # noqa: B023, E731
-        node = F.when(left, F.when(side(0), 0).otherwise(1)).otherwise(F.when(side(1), 2).otherwise(3))
-        leaves = sums(node, score)
-        score = score + F.element_at(F.array(*(F.lit(leaf(leaves.get(n, []))) for n in range(4))), node + 1)
-        now = loss(score)
-        if now < least:
+    bins = F.array(*(sum(((F.col(f) > c).cast("int") for c in cuts[f]), F.lit(0)) for f in FEATURES))
+    weight = F.col("weight") if "weight" in rows.columns else F.lit(1.0)
+    binned = keep(rows.select(bins.alias("bins"), "label", weight.alias("weight"), aside.alias("aside")), "binned")
+    size = len(FEATURES)
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+
+    def one_pass(current: Column) -> tuple[float, np.ndarray]:
+        """The weighted mean loss on the rows set aside, and the tables of the others, at the present log-odds."""
+        p = 1 / (1 + F.exp(-F.col("now")))
+        signed = F.when(F.col("label") > 0, F.col("now")).otherwise(-F.col("now"))
+        at = lambda k: F.get("bins", F.lit(k))
+        keys = F.array(*(((i * size + j) * BINS + at(i)) * BINS + at(j) for i, j in pairs))
+        lost = F.array(F.lit(-1))
+        given = binned.withColumn("now", current).select(
+            F.when(F.col("aside"), F.col("weight") * F.log1p(F.exp(-signed))).otherwise(F.col("weight") * (F.col("label") - p)).alias("g"),
+            F.when(F.col("aside"), F.col("weight")).otherwise(F.col("weight") * p * (1 - p)).alias("h"), F.explode(F.when(F.col("aside"), lost).otherwise(keys)).alias("key"),
+        )
+        sums = {r.key: (r.g, r.h) for r in given.groupBy("key").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()}  # of set size
+        total, n = sums.pop(-1, (0.0, 0.0))
+        return (total / n if n else 0.0), _tables(sums)
+
+    def below(split: tuple[str, float]) -> tuple[int, int]:
+        return FEATURES.index(split[0]), cuts[split[0]].index(split[1])
+
+    score, seen = F.lit(base), F.lit(base)  # of features, and of bins
+    best, least, since = score, None, 0
+    for _ in range(ROUNDS + 1):
+        now, tables = one_pass(seen)
+        if least is None or now < least:
             best, least, since = score, now, 0
         else:
             since += 1
-        if since == PATIENCE:
+        root = None if since == PATIENCE else _best_split(_rows(np.array([np.einsum("aac->ac", tables[f, f]) for f in range(size)])), cuts)
+        if not root:
             break
+        f, place = below(root)
+        sides = tables[f][:, : place + 1].sum(1), tables[f][:, place + 1 :].sum(1)
+        leaves, conditions, places = [], [], []
+        for own in sides:
+            split = _best_split(_rows(own), cuts)
+            k, at = below(split) if split else (0, BINS - 1)
+            conditions.append(F.col(split[0]) <= split[1] if split else F.lit(True))
+            places.append(F.get("bins", F.lit(k)) <= at)
+            leaves += [F.lit(RATE * float(part[:, 0].sum()) / (float(part[:, 1].sum()) + RIDGE)) for part in (own[k][: at + 1], own[k][at + 1 :])]
+        tree = lambda first, second, third: F.when(first, F.when(second, leaves[0]).otherwise(leaves[1])).otherwise(F.when(third, leaves[2]).otherwise(leaves[3]))  # noqa: B023, E731
+        score = score + tree(F.col(root[0]) <= root[1], *conditions)
+        seen = seen + tree(F.get("bins", F.lit(f)) <= place, *places)
     return best
 
 
+def blanked(train: DataFrame) -> DataFrame:
+    """Rows with features as they are, with the suffix as if never seen, and with the segment too."""
+    blank = {"suffix": {"suffix_count": F.lit(0.0), "suffix_blocked": F.lit(NEUTRAL)}, "segment": {"segment_count": F.lit(0.0), "segment_blocked": F.lit(NEUTRAL)}}
+    one = train.withColumns(blank["suffix"])
+    return train.unionByName(one).unionByName(one.withColumns(blank["segment"]))
+
+
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[DataFrame, DataFrame, float, Column]:
-    """The suffix and segment tables and the share of blocked URLs, all for ``lexical_features``, and the log-odds of block.
+    """The suffix and segment tables and what a key without URLs counts as, all for ``lexical_features``, and the log-odds of block.
 
     ``labelled`` has page_id, url, host, path and ``ruled``.
     """
@@ -195,10 +228,12 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[DataFrame, D
     drawn = labelled.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(max(n, train_rows))) < train_rows)
     segments = keep(key_statistics(drawn, "segment"), "segments")
     if not 0 < prior < 1:
-        return suffixes, segments, prior, F.lit(1.0 if prior else -1.0)
+        return suffixes, segments, NEUTRAL, F.lit(1.0 if prior else -1.0)
     label = (F.col("ruled") == "block").cast("double")
-    train = lexical_features(drawn, suffixes, segments, prior, learning=True).select(*FEATURES, label.alias("label"))
-    return suffixes, segments, prior, boost(keep(train, "labelled"), math.log(prior / (1 - prior)))
+    # of equal weight in sum: the class that is commoner among rules says nothing of URLs without one
+    weight = F.when(F.col("label") > 0, 0.5 / prior).otherwise(0.5 / (1 - prior))
+    train = lexical_features(drawn, suffixes, segments, NEUTRAL, learning=True).select(*FEATURES, label.alias("label")).withColumn("weight", weight)
+    return suffixes, segments, NEUTRAL, boost(blanked(keep(train, "labelled")), 0.0)
 
 
 def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -209,10 +244,10 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, train_rows: int
     return out.withColumn("verdict", F.coalesce("ruled", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")))
 
 
-def holdout(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
-    """One row: of the ruled URLs of a fold by hash, how many the trees of the other folds judge as their rule does, and how many are blocked."""
+def holdout(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, by: str = "url") -> DataFrame:
+    """One row: of the ruled URLs of a fold by hash of ``by`` (an expression: url, host), how many the trees of the other folds judge as their rule does, and how many are blocked."""
     ruled = apply_rules(pages.select("page_id", "url"), rules).where("ruled IS NOT NULL")
-    ours = _fold("holdout") == 0
+    ours = F.pmod(F.xxhash64(F.expr(by), F.lit("holdout")), F.lit(FOLDS)) == 0
     *statistics, score = fit(ruled.where(~ours))
     seen = lexical_features(ruled.where(ours), *statistics)
     right = ((score >= 0) == (F.col("ruled") == "block")).cast("long")
