@@ -191,7 +191,7 @@ def phrase_rules(spark, d):
 
 
 def doc_coverage(spark, d):
-    found = shapes.line_findings(_lines(spark, d), phrases=PHRASES, detectors=("email_address",))
+    found = shapes.line_findings(_lines(spark, d), phrases=PHRASES)
     return reports.coverage(_content(spark, d), found, "path", "text")
 
 
@@ -199,8 +199,21 @@ def report_summary(spark, d):
     return reports.summary(doc_coverage(spark, d))
 
 
+def report_rows(spark, d):
+    """All findings of documents, numbered in the order of a report."""
+    return reports.numbered(shapes.line_findings(_lines(spark, d), phrases=PHRASES)).select("row", "path", "line_number", "rule", "detector")
+
+
+def class_rules(spark, d):
+    """Pages as source files whose disposition hangs on their folder, against an artifact's manifest of the pages reached by https."""
+    files = _t(spark, d, "pages").select(F.col("url").alias("path"), urls.part(F.col("url"), 5).alias("at"))
+    classes = files.select("path", F.when(F.col("at").startswith("/en/"), "must-be-absent").when(F.col("at").startswith("/de/"), "publication-control").otherwise("deploy").alias("disposition")).distinct()
+    manifest = files.where("path LIKE 'https:%'").select("path", F.when(F.length("path") % 2 == 0, "publication-control").otherwise("page").alias("class")).distinct()
+    return scan.class_findings(files, classes, manifest)
+
+
 def gate_rollup(spark, d):
-    policy = shapes.line_findings(_lines(spark, d), phrases=PHRASES, detectors=("email_address",)).select(F.lit("policy").alias("gate"))
+    policy = shapes.line_findings(_lines(spark, d), phrases=PHRASES).select(F.lit("policy").alias("gate"))
     declared = inventory.missing(_t(spark, d, "documents"), _t(spark, d, "labels"), "doc_id").select(F.lit("inventory").alias("gate"))
     return reports.gates(policy.unionByName(declared))
 
@@ -468,7 +481,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         fork_cache_classify, link_documents, repositories, waitlist_dedup, waitlist_pending, waitlist_texts, seq_chain_check, chain_head, exact_duplicates, revenue_by_nation,
         url_findings, phrase_regex, repository_needles, filename_rules, media_types, declared_paths, links_by_kind, link_contexts, repository_references,
         canonical_spellings, finding_ids_escaped, record_faults, page_phrases, audit_markdown, source_scan, artifact_gates,
-        bag_compare, count_faults, phrase_table, phrase_table_joined, host_rules, glob_rules, folder_faults, forbidden_table,
+        report_rows, class_rules, bag_compare, count_faults, phrase_table, phrase_table_joined, host_rules, glob_rules, folder_faults, forbidden_table,
     )
 }
 
@@ -483,8 +496,6 @@ _SQL_PHRASES = " UNION ALL ".join(
     [f"SELECT path, line_number, 'forbidden_phrase' AS rule, 'phrase[{i}]' AS detector, NULL AS \"column\" FROM lines WHERE contains(lower(trim(regexp_replace(line, '\\s+', ' ', 'g'))), '{p}')" for i, p in enumerate(PHRASES)]
     + [f"SELECT path, line_number, 'ownership_percentage_claim', 'ownership[{i}]', CAST(length(regexp_extract(line, '(?s)^(.*?)(?:{p})', 1)) + 1 AS INT) FROM lines WHERE regexp_matches(line, '{p}')" for i, p in enumerate(_SQL_OWN)]
 )
-_SQL_FOUND = f"found AS ({_SQL_PHRASES} UNION ALL SELECT path, line_number, 'sensitive_data_shape', 'email_address', CAST(col AS INT) FROM mails)"
-_SQL_COVER = "cover AS (SELECT 'doc-' || doc_id AS path, octet_length(encode(text)) AS size, sha256(text) AS sha256, coalesce(n, 0) AS n_findings, CASE WHEN n > 0 THEN 'deny' ELSE 'pass' END AS status FROM documents LEFT JOIN (SELECT path, count(*) AS n FROM found GROUP BY path) f ON f.path = 'doc-' || doc_id)"
 _SQL_URL = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\\?[^#]*)?', ['s', 'h', 'p', 'q'])"
 _SQL_HREFS = "hrefs AS (SELECT page_id, CAST(i - 1 AS INT) AS position, rs[i] AS raw FROM (SELECT page_id, rs, unnest(range(1, len(rs) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?i)\\shref=\"([^\"]*)\"', 1) AS rs FROM pages)))"
 _SQL_SSN = "(?:^|[^0-9])(?:00[1-9]|0[1-9][0-9]|[1-578][0-9][0-9]|6[0-57-9][0-9]|66[0-57-9])-(?:0[1-9]|[1-9][0-9])-(?:000[1-9]|00[1-9][0-9]|0[1-9][0-9][0-9]|[1-9][0-9]{3})(?:[^0-9]|$)"
@@ -503,6 +514,8 @@ _SQL_SHAPES = {
     "email_address": _SQL_EMAIL, "us_ssn": _SQL_SSN, "phone_number": "(?i)\\b(phone|mobile|cell|tel)\\b\\s*[:=]?\\s*(\\+?1[\\s.-]?)?([(]\\d{3}[)]|\\d{3})[\\s.-]\\d{3}[\\s.-]\\d{4}\\b",
     "postal_address": "(?i)\\b(address|street)\\b\\s*[:=]\\s*[\"'']?\\d{1,6}\\s+[A-Za-z0-9 .''-]{2,80}\\s+(street|st|avenue|ave|road|rd|boulevard|blvd|lane|ln|drive|dr)\\b", "submitted_customer_record": "(?i)[\"''](submitted_at|submission_id|waitlist_submission)[\"'']\\s*:.{0,256}[\"''](email|phone|note|customer_id|account_id)[\"'']\\s*:",
 }
+_SQL_FOUND = f"found AS ({_SQL_PHRASES} UNION ALL " + " UNION ALL ".join(f"SELECT path, line_number, 'sensitive_data_shape', '{d}', CAST(length(regexp_extract(line, '(?s)^(.*?)(?:{p})', 1)) + 1 AS INT) FROM lines WHERE regexp_matches(line, '{p}')" for d, p in _SQL_SHAPES.items()) + ")"
+_SQL_COVER = "cover AS (SELECT 'doc-' || doc_id AS path, octet_length(encode(text)) AS size, sha256(text) AS sha256, coalesce(n, 0) AS n_findings, CASE WHEN n > 0 THEN 'deny' ELSE 'pass' END AS status FROM documents LEFT JOIN (SELECT path, count(*) AS n FROM found GROUP BY path) f ON f.path = 'doc-' || doc_id)"
 _SQL_PROBE = """probes AS (SELECT DISTINCT ON (url) url, page_id FROM pages ORDER BY url, page_id)"""
 
 ORACLES: dict[str, str] = {
@@ -602,6 +615,10 @@ ORACLES: dict[str, str] = {
     "revenue_by_nation": "SELECT n_name, sum(l_quantity) AS quantity, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' GROUP BY n_name",
 }
 ORACLES |= {
+    "report_rows": f"WITH {_SQL_LINES}, {_SQL_FOUND} SELECT row_number() OVER (ORDER BY lower(path), path, line_number, coalesce(\"column\", 0), rule, detector) AS row, path, line_number, rule, detector FROM found",
+    "class_rules": f"""WITH p AS (SELECT DISTINCT url, url LIKE 'https:%' AS listed, length(url) % 2 = 0 AS control, u.p AS place FROM (SELECT url, {_SQL_URL} AS u FROM pages))
+      SELECT 'nondeploy_path_in_artifact_manifest' AS rule, url AS path, 'source_classification' AS detector FROM p WHERE listed AND place LIKE '/en/%'
+      UNION ALL SELECT 'publication_control_manifest_mismatch', url, 'source_classification' FROM p WHERE place LIKE '/de/%' AND NOT (listed AND control)""",
     "bag_compare": """WITH l AS (SELECT l_suppkey, l_quantity, l_returnflag, count(*) AS n_left FROM lineitem GROUP BY ALL),
       r AS (SELECT l_suppkey, l_quantity, l_returnflag, count(*) AS n_right FROM (SELECT * FROM lineitem WHERE NOT (l_returnflag = 'A' AND l_quantity = 50) UNION ALL SELECT * FROM lineitem WHERE l_returnflag = 'N' AND l_quantity = 1) GROUP BY ALL)
       SELECT l_suppkey, l_quantity, l_returnflag, n_left, coalesce(n_right, 0) AS n_right FROM l LEFT JOIN r USING (l_suppkey, l_quantity, l_returnflag) WHERE n_left <> coalesce(n_right, 0)""",

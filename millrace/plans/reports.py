@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import fold
 from ..operators.shapes import count_over
@@ -40,6 +42,43 @@ def render(report: DataFrame) -> str:
     return json.dumps(row.asDict(True) if row else {}, indent=2, sort_keys=True)
 
 
+#: The order of a report: path (case aside), place (a missing one first), rule, detector.
+REPORT_ORDER = ("lower(path)", "path", "coalesce(line_number, 0)", "coalesce(column, 0)", "rule", "detector")
+
+
+def write_shards(findings: DataFrame, folder: str, order: tuple[str, ...] = REPORT_ORDER) -> None:
+    """``findings`` in report order as shards of a range each, sorted, with ``_shard`` and ``_place``: no task sees more than its range."""
+    by = [F.expr(o).asc_nulls_first() for o in order]
+    ranged = findings.repartitionByRange(*by).sortWithinPartitions(*by)
+    ranged.select("*", F.spark_partition_id().alias("_shard"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_place")).write.parquet(folder)
+
+
+def read_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Shards of ``write_shards`` with ``row``, the number in the whole report from 1: a shard's first one from the counts of those before it."""
+    shards = spark.read.parquet(folder)
+    counts = {r["_shard"]: r.n for r in shards.groupBy("_shard").agg(F.count("*").alias("n")).collect()}  # a row per shard
+    starts, total = [], 0
+    for shard in sorted(counts):
+        starts.append((shard, total))
+        total += counts[shard]
+    first = spark.createDataFrame(starts, "_shard int, _first long")
+    return shards.join(F.broadcast(first), "_shard").withColumn("row", F.col("_first") + F.col("_place") + 1).drop("_shard", "_place", "_first")
+
+
+def numbered(findings: DataFrame, order: tuple[str, ...] = REPORT_ORDER) -> DataFrame:
+    """``findings`` with ``row``, their number in report order, by way of shards in the folder that ``spark.checkpoint.dir`` names.
+
+    Without such a folder (a session in one process) by one window.
+    """
+    spark = findings.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return findings.withColumn("row", F.row_number().over(Window.orderBy(*(F.expr(o).asc_nulls_first() for o in order))).cast("long"))
+    path = f"{folder.rstrip('/')}/report-{uuid.uuid4().hex}"
+    write_shards(findings, path, order)
+    return read_shards(spark, path)
+
+
 def artifact_order(findings: DataFrame) -> DataFrame:
     """Findings by folded path, path, gate, rule and detector."""
     return findings.orderBy(fold(F.col("path")), "path", "gate", "rule", "detector")

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.operators import audit, automaton, bags, links, rule_tables, shapes, structured
-from millrace.plans import validation
+from millrace.plans import reports, validation
 
 
 def rows(df, *columns):
@@ -129,3 +129,19 @@ def test_forbidden_addresses_by_table_are_those_by_tuple(spark, max_bytes):
     forbidden = ("https://never.example.com/x?a=1&b=2", "http://b.co/p", "https://unseen.example.com/")
     table = spark.createDataFrame([(u,) for u in forbidden], "url string")
     assert rows(audit.forbidden_by_table(docs, table, max_bytes)) == rows(audit.forbidden_links(docs, forbidden))
+
+
+def test_sharded_reports_are_in_order(spark, tmp_path):
+    rng = random.Random(4)
+    found = [(rng.choice(["b", "A", "a", "c"]), rng.choice([None, 1, 2, 3]), rng.choice("xy"), rng.choice("mn"), rng.choice([None, 5])) for _ in range(400)]
+    df = spark.createDataFrame(found, "path string, line_number int, rule string, detector string, column int").repartition(5)
+    key = lambda r: (r.path.lower(), r.path, r.line_number or 0, r.column or 0, r.rule, r.detector)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        reports.write_shards(df, str(tmp_path / "shards"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r["_shard"] for r in spark.read.parquet(str(tmp_path / "shards")).select("_shard").collect()}) > 1
+    got = sorted(reports.read_shards(spark, str(tmp_path / "shards")).collect(), key=lambda r: r.row)
+    assert [r.row for r in got] == [*range(1, 401)] and [*map(key, got)] == sorted(map(key, got))
+    assert sorted((r.row, key(r)) for r in reports.numbered(df).collect()) == [(r.row, key(r)) for r in got]
