@@ -8,7 +8,7 @@ are tested in that order, each at the whole level of the stratum, up to the firs
 nothing is split among rules and cutoffs).  A policy is certified if a true false-rejection rate of ``risk``
 would show as few rejections as ``k`` of ``n`` with probability at most ``delta / strata`` (the exact
 binomial tail, Bonferroni over the strata).  The strictest certified policy counts, so with probability
-``1 - delta`` no stratum loses more than ``risk`` of its good documents to all rules together.  A stratum
+``1 - delta`` no stratum loses more than ``risk`` of its good documents that pass the base rule to all rules together.  A stratum
 without labels enough to certify anything loses nothing but to the base rule.
 
 Everything is DataFrame functions: statistics in one row-wise pass, counts by one aggregation.

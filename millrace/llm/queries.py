@@ -16,6 +16,21 @@ def url_rules(spark, sf_dir: str) -> DataFrame:
     return url_filter.apply_rules(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", F.col("ruled").alias("verdict"))
 
 
+def token_bytes(spark, sf_dir: str) -> DataFrame:
+    """What of ``op2_token_counts`` SQL can express: the bytes of every text."""
+    return token_counts.op2_counts(spark, sf_dir).select("doc_id", "n_bytes")
+
+
+def quality_folds(spark, sf_dir: str) -> DataFrame:
+    """What of ``op3_quality_classifier`` SQL can express: who is held out, and that scores and predictions agree."""
+    return quality_classifier.op3_quality(spark, sf_dir).select("doc_id", "held_out", ((F.col("score") >= 0.5).cast("int") == F.col("predicted")).alias("agrees"), F.col("score").between(0, 1).alias("in_range"))
+
+
+def lm_base(spark, sf_dir: str) -> DataFrame:
+    """What of ``op4_lm_scoring`` SQL can express: all but the model's own score."""
+    return language_model.op4_scores(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
 def queries() -> dict[str, Callable[..., DataFrame]]:
     return {
         "op1_best_fit_packing": packing.op1_packing,
@@ -32,6 +47,9 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
         "op12_conversation_repair": conversations.op12_repair,
         "op13_pii": pii.op13_pii,
         "url_rules": url_rules,
+        "token_bytes": token_bytes,
+        "quality_folds": quality_folds,
+        "lm_base": lm_base,
     }
 
 
@@ -83,6 +101,12 @@ _RESAMPLING = f"""WITH {_CRC_TABLE},
   o AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n_features) AS o FROM z)
   SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND o <= (SELECT 10 * count(*) // 100 FROM z WHERE n_features >= 20) THEN o END AS rank FROM o"""
 
+_QUALITY_FOLDS = f"WITH {_CRC_TABLE} SELECT doc_id, {_crc32('CAST(doc_id AS VARCHAR)')} % 3 = 1 AS held_out, true AS agrees, true AS in_range FROM documents, crc"
+
+_LM_BASE = f"""WITH {_CRC_TABLE}, d AS (SELECT doc_id, {_crc32('CAST(doc_id AS VARCHAR)')} % 10 = 0 AS held_out, list_append(list_filter(string_split_regex({_ASCII_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), '') AS ws FROM documents, crc),
+  t AS (SELECT doc_id, held_out, unnest(ws) AS w FROM d), c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w), n AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c)
+  SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(n AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))), 4) AS base_score FROM t LEFT JOIN c USING (w), n GROUP BY doc_id, held_out, n"""
+
 _SPACED = "[\\x20\\x09-\\x0D]"
 _TO = "CASE s WHEN 2 THEN 3 ELSE 2 END"  # the state that an inserted turn, or a role given, leads to
 _REPAIR = f"""WITH RECURSIVE {_CRC_TABLE},
@@ -146,4 +170,5 @@ def _rules_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     """For the operators that SQL can express; the others are tested against brute force."""
-    return {"op5_suffix_dedup": _REPEATS, "url_rules": _URL_RULES, "op8_minhash_near_dedup": _NEAR, "op9_quality_rules": _rules_sql(), "op11_importance_resampling": _RESAMPLING, "op12_conversation_repair": _REPAIR}
+    return {"op5_suffix_dedup": _REPEATS, "url_rules": _URL_RULES, "op8_minhash_near_dedup": _NEAR, "op9_quality_rules": _rules_sql(), "op11_importance_resampling": _RESAMPLING, "op12_conversation_repair": _REPAIR,
+            "token_bytes": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents", "quality_folds": _QUALITY_FOLDS, "lm_base": _LM_BASE}
