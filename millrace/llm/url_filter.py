@@ -162,20 +162,21 @@ def boost(rows: DataFrame, base: float) -> Column:
     cuts = {f: sorted(set(quantiles[f] or [])) for f in FEATURES}
     bins = F.array(*(sum(((F.col(f) > c).cast("int") for c in cuts[f]), F.lit(0)) for f in FEATURES))
     weight = F.col("weight") if "weight" in rows.columns else F.lit(1.0)
-    binned = keep(rows.select(bins.alias("bins"), "label", weight.alias("weight"), aside.alias("aside")), "binned")
     size = len(FEATURES)
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    at = lambda k: F.get("bins", F.lit(k))
+    keys = F.array(*(((i * size + j) * BINS + at(i)) * BINS + at(j) for i, j in pairs))
+    given = rows.select(bins.alias("bins"), "label", weight.alias("weight"), aside.alias("aside"))
+    # what a row adds to does not change from round to round; one set aside adds to the loss alone
+    binned = keep(given.withColumn("keys", F.when(F.col("aside"), F.array(F.lit(-1))).otherwise(keys)), "binned")
 
     def one_pass(current: Column) -> tuple[float, np.ndarray]:
         """The weighted mean loss on the rows set aside, and the tables of the others, at the present log-odds."""
         p = 1 / (1 + F.exp(-F.col("now")))
         signed = F.when(F.col("label") > 0, F.col("now")).otherwise(-F.col("now"))
-        at = lambda k: F.get("bins", F.lit(k))
-        keys = F.array(*(((i * size + j) * BINS + at(i)) * BINS + at(j) for i, j in pairs))
-        lost = F.array(F.lit(-1))
         given = binned.withColumn("now", current).select(
             F.when(F.col("aside"), F.col("weight") * F.log1p(F.exp(-signed))).otherwise(F.col("weight") * (F.col("label") - p)).alias("g"),
-            F.when(F.col("aside"), F.col("weight")).otherwise(F.col("weight") * p * (1 - p)).alias("h"), F.explode(F.when(F.col("aside"), lost).otherwise(keys)).alias("key"),
+            F.when(F.col("aside"), F.col("weight")).otherwise(F.col("weight") * p * (1 - p)).alias("h"), F.explode("keys").alias("key"),
         )
         sums = {r.key: (r.g, r.h) for r in given.groupBy("key").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()}  # of set size
         total, n = sums.pop(-1, (0.0, 0.0))
