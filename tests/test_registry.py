@@ -15,3 +15,9 @@ def test_the_page_of_least_id_answers_for_an_address(spark, tmp_path):
     assert got == {"https://e.com/a": ("unreachable", 410), "https://e.com/b": ("reachable-current", 200)}
     assert {r.classification: r.n for r in registry.probe_counts(spark, str(tmp_path)).collect() if r.n} == {"unreachable": 1, "reachable-current": 1}
     assert {r.line: r.n for r in registry.audit_markdown(spark, str(tmp_path)).where("part = 5 AND line LIKE '%/a |%'").collect()} == {"| url | https://e.com/a | unreachable | 410 |  |  |": 1}
+
+
+def test_a_link_document_is_the_page_of_least_id(spark, tmp_path):
+    _repeated_pages(spark, tmp_path)
+    got = {r.source: (r.classification, r.status, r.detail, r.matches) for r in registry.link_documents(spark, str(tmp_path)).collect()}
+    assert got == {"https://e.com/a": ("probe-error", 200, "malformed-extracted-url", ""), "https://e.com/b": ("unreachable", 404, None, "")}
