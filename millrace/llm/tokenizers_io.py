@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import os
-import re
 import sys
 import unicodedata
 from functools import lru_cache
@@ -42,12 +41,14 @@ def load_ranks(name: str, special_from: str):
 
 
 @lru_cache(maxsize=1)
-def _unassigned() -> re.Pattern:
-    """Code points without a category, on which libraries of different Unicode versions split texts differently."""
-    points = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
-    starts = [c for c, before in zip(points, [-2, *points], strict=False) if c != before + 1]
-    ends = [c for c, after in zip(points, [*points[1:], -2], strict=True) if after != c + 1]
-    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True)) + "]")
+def _unassigned() -> np.ndarray:
+    """For every code point, whether it is without a category: libraries of different Unicode versions split texts with such differently."""
+    return np.array([unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)])
+
+
+def has_unassigned(text: str) -> bool:
+    """Whether a text has such a code point, by one look at a table a character."""
+    return not text.isascii() and bool(_unassigned()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].any())
 
 
 def byte_level_ids(text: str, tokenizer: str) -> np.ndarray:
@@ -58,7 +59,7 @@ def byte_level_ids(text: str, tokenizer: str) -> np.ndarray:
     library.
     """
     ranks = f"{tokenizer.removesuffix('.json')}.tiktoken"
-    if os.path.exists(tokenizer_path(ranks)) and (text.isascii() or not _unassigned().search(text)):
+    if os.path.exists(tokenizer_path(ranks)) and not has_unassigned(text):
         try:
             return load_ranks(ranks, tokenizer).encode_to_numpy(text, allowed_special="all").astype("<u4")
         except ValueError:
