@@ -21,3 +21,20 @@ def test_a_link_document_is_the_page_of_least_id(spark, tmp_path):
     _repeated_pages(spark, tmp_path)
     got = {r.source: (r.classification, r.status, r.detail, r.matches) for r in registry.link_documents(spark, str(tmp_path)).collect()}
     assert got == {"https://e.com/a": ("probe-error", 200, "malformed-extracted-url", ""), "https://e.com/b": ("unreachable", 404, None, "")}
+
+
+def _python_steps(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("+- ArrowEvalPython")
+
+
+def test_lines_visit_python_once(spark, tmp_path):
+    texts = [(1, "the Straße and  the\nx"), (2, ""), (3, None), (4, "a@b.co &amp; AND​ the\n"), (5, "none")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1,)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
+    found = registry.phrase_rules(spark, str(tmp_path))
+    assert _python_steps(found) == _python_steps(registry.gate_rollup(spark, str(tmp_path))) == 1
+    assert sorted((r.path, r.line_number) for r in found.collect()) == [("doc-1", 1), ("doc-4", 1)]
+    rows = registry.report_rows(spark, str(tmp_path))
+    assert _python_steps(rows) == 0  # ranges are drawn from what is kept, not from a second scan
+    assert [(r.row, r.path, r.detector) for r in rows.orderBy("row").collect()] == [(1, "doc-1", "phrase[0]"), (2, "doc-4", "phrase[0]"), (3, "doc-4", "email_address")]
+    assert sorted((r.path, r.line_number, r.line) for r in registry.line_explode(spark, str(tmp_path)).where("path <> 'doc-4'").collect()) == [("doc-1", 1, texts[0][1].split("\n")[0]), ("doc-1", 2, "x"), ("doc-5", 1, "none")]
