@@ -1,5 +1,6 @@
 """Registered queries on small tables made to be odd."""
 
+from millrace.operators import automaton
 from millrace.plans import registry
 
 
@@ -38,3 +39,18 @@ def test_lines_visit_python_once(spark, tmp_path):
     assert _python_steps(rows) == 0  # ranges are drawn from what is kept, not from a second scan
     assert [(r.row, r.path, r.detector) for r in rows.orderBy("row").collect()] == [(1, "doc-1", "phrase[0]"), (2, "doc-4", "phrase[0]"), (3, "doc-4", "email_address")]
     assert sorted((r.path, r.line_number, r.line) for r in registry.line_explode(spark, str(tmp_path)).where("path <> 'doc-4'").collect()) == [("doc-1", 1, texts[0][1].split("\n")[0]), ("doc-1", 2, "x"), ("doc-5", 1, "none")]
+
+
+def test_findings_of_keys_are_dealt_before_they_are_made_distinct(spark, tmp_path):
+    spark.createDataFrame([(k, f"n{k}") for k in range(20)] + [(3, "n3")], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    found = registry.json_key_alias(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and "HashAggregate" not in plan.split("Exchange hashpartitioning(")[1]
+    assert found.count() == found.distinct().count() == 2 * (1 + 1 + 3 + 7 * 5)
+
+
+def test_grams_are_cut_once(spark):
+    texts, needles = spark.createDataFrame([(1, "abcdefgh"), (2, None)], "_row long, _text string"), spark.createDataFrame([(7, "cdefgh"), (8, "zz")], "rule_id long, phrase string")
+    met = automaton.candidates(texts, needles)
+    assert "size(" not in met._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in met.collect()] == [(1, 7)]
