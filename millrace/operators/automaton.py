@@ -16,14 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import case_folded, collapse_space, normalise_match_text
+from ..functions.rows import exploded
+from ..functions.text import collapse_space, match_forms
 
 MAX_RULE_BYTES, GRAM = 16 << 20, 6
 
 
 def folded_phrase(text: Column) -> Column:
     """The form in which a line holds a phrase: entities and forms resolved, case folded, white space collapsed."""
-    return collapse_space(case_folded(normalise_match_text(text)))
+    return collapse_space(F.coalesce(match_forms(text)["cased"], F.lower(text)))
 
 
 def _automaton(phrases: list[tuple[int, str]]) -> ahocorasick.Automaton:
@@ -76,9 +77,9 @@ def candidates(texts: DataFrame, needles: DataFrame, size: int = GRAM) -> DataFr
     short = F.least(F.length("phrase"), F.lit(size))
     parts = None
     for (n,) in sorted(needles.select(short).distinct().collect()):  # ``size`` values at most
-        own = needles.where(short == n).select("rule_id", F.explode(grams(F.col("phrase"), n)).alias("gram")).select("rule_id", F.xxhash64("gram").alias("gram"))
+        own = exploded(needles.where(short == n), "rule_id", gram=grams(F.col("phrase"), n)).select("rule_id", F.xxhash64("gram").alias("gram"))
         rarest = own.join(own.groupBy("gram").agg(F.count("*").alias("n")), "gram").groupBy("rule_id").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-        met = texts.select("_row", F.explode(F.transform(grams(F.col("_text"), n), lambda g: F.xxhash64(g))).alias("gram")).join(rarest, "gram").select("_row", "rule_id")
+        met = exploded(texts, "_row", gram=F.transform(grams(F.col("_text"), n), lambda g: F.xxhash64(g))).join(rarest, "gram").select("_row", "rule_id")
         parts = met if parts is None else parts.unionByName(met)
     return parts.distinct() if parts is not None else texts.select("_row").join(needles.select("rule_id"), F.lit(False))
 
