@@ -43,11 +43,18 @@ from .near_dedup import mix, word_hashes
 ORDER, FLUSH_TOKENS = 2, 2_000_000
 #: Shards a shuffle partition, so that partitions come out even.
 SHARDS = 2
+#: Bytes of training text that a shard may come from, of n-grams and of words: a task holds one, so their number grows with the input.
+GRAM_BYTES, WORD_BYTES = 16 << 20, 32 << 20
 
 
-def word_bits(bits: int) -> int:
-    """Words are few beside n-grams and have fewer shards, so that what shards of n-grams send to them stays few rows."""
-    return bits // 2 + 1
+def shard_bits(n_bytes: int, partitions: int) -> tuple[int, int]:
+    """Bits that tell the shards of n-grams, and those of words.
+
+    Words are few beside n-grams and have fewer shards, so that what shards of n-grams send to them stays few rows.
+    """
+    least = lambda n: max(1, math.ceil(math.log2(max(1, n))))
+    bits = max(least(SHARDS * partitions), least(n_bytes / GRAM_BYTES))
+    return bits, min(bits, max(bits // 2 + 1, least(n_bytes / WORD_BYTES)))
 
 
 BEGIN, END = np.uint64(0x0123456789ABCDEF << 8 & (1 << 64) - 1), np.uint64(0xFEDCBA9876543210)
@@ -142,9 +149,9 @@ def _smallest(a: np.ndarray) -> np.ndarray:
 class Counts:
     """The whole model: where its files are, and the sums over all of them."""
 
-    def __init__(self, folder: str, bits: int, order: int, totals: dict[int, list[int]]):
+    def __init__(self, folder: str, bits: int, word_bits: int, order: int, totals: dict[int, list[int]]):
         #: Bits of a hash that tell its shard: of n-grams by the word before the last, of words by the word.
-        self.folder, self.bits, self.word_bits, self.order = folder, bits, word_bits(bits), order
+        self.folder, self.bits, self.word_bits, self.order = folder, bits, word_bits, order
         grams, words = totals.get(0, [0] * 4 * (order - 1)), totals.get(1, [0] * 7)
         #: By order, from 2 on.
         self.discounts = {k: discounts(grams[4 * (k - 2) : 4 * (k - 1)]) for k in range(2, order + 1)}
@@ -181,8 +188,8 @@ def count_model(docs: DataFrame, order: int = ORDER) -> Counts:
     if order < 2:
         raise ValueError("an order of 2 at least")
     spark = docs.sparkSession
-    bits = max(1, math.ceil(math.log2(SHARDS * shuffle_partitions(spark))))
-    shift, word_shift = np.uint64(64 - bits), np.uint64(64 - word_bits(bits))
+    bits, word_bits = shard_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, shuffle_partitions(spark))
+    shift, word_shift = np.uint64(64 - bits), np.uint64(64 - word_bits)
     folder = f"{shared_dir(spark)}/millrace-lm-{uuid.uuid4().hex}"
 
     def flush(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
@@ -239,7 +246,7 @@ def count_model(docs: DataFrame, order: int = ORDER) -> Counts:
         _put(folder, f"grams-{number}", own + files)
         (first,), stats = _group([v], _stats(count))
         (second,), more = _group([w], [raw, np.ones(len(raw), np.int64)])
-        rows = [(number >> bits - word_bits(bits), 0, _pack(first), np.stack(stats, 1).astype("<u4").tobytes(), _of_counts(count) + of_counts)]
+        rows = [(number >> bits - word_bits, 0, _pack(first), np.stack(stats, 1).astype("<u4").tobytes(), _of_counts(count) + of_counts)]
         shard = (second >> word_shift).astype(np.int64)
         for s in np.unique(shard).tolist():
             a, b = np.searchsorted(shard, (s, s + 1))
@@ -268,7 +275,7 @@ def count_model(docs: DataFrame, order: int = ORDER) -> Counts:
     made = grams.groupBy("shard").applyInArrow(contexts, WORDS).groupBy("shard").applyInArrow(words, TOTALS)
     places = F.posexplode("totals").alias("place", "n")
     sums = keep(made, "lm-totals").select("kind", places).groupBy("kind", "place").agg(F.sum("n").alias("n")).orderBy("kind", "place").collect()
-    return Counts(folder, bits, order, {k: [r.n for r in sums if r.kind == k] for k in {r.kind for r in sums}})
+    return Counts(folder, bits, word_bits, order, {k: [r.n for r in sums if r.kind == k] for k in {r.kind for r in sums}})
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
