@@ -204,3 +204,14 @@ def test_the_bytes_are_scanned_once(spark, tmp_path):
     items = spark.read.parquet(str(tmp_path / "items"))
     plan = scan_plan.source_findings(items, scan_plan.Policy(phrases=("x",)))._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall("ReadSchema: struct<path:string,data:binary>", plan)) == 1
+
+
+def test_what_a_line_is_looked_through_in_is_computed_once(spark, tmp_path):
+    rows = [("a.md", b"A@b.co and\r\nThe\tcat and  the\x0bdog\n"), ("b.md", b"\x01\x02\x03ab"), ("c.md", b"a\r\r\n\x01" + b"x" * 9000), ("d.md", "and\u2003THE \u2028a%40b.co GIT%40e.com:o/r".encode())]
+    spark.createDataFrame(rows, "path string, data binary").write.parquet(str(tmp_path / "items"))
+    found = scan_plan.source_findings(spark.read.parquet(str(tmp_path / "items")), scan_plan.Policy(phrases=("and the",), urls=url_scan.UrlPolicy(repository_hosts=("e.com",))))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lower(coalesce(") <= 4  # not once for every hint of every shape
+    assert {(r.path, r.line_number, r.rule, r.column) for r in found.collect()} == {
+        ("a.md", 1, "sensitive_data_shape", 1), ("a.md", 2, "forbidden_phrase", None), ("b.md", None, "unsupported_file_type", None), ("d.md", 1, "forbidden_phrase", None), ("d.md", 2, "private_repository_link", 8),
+    }
