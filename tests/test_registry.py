@@ -1,5 +1,7 @@
 """Registered queries on small tables made to be odd."""
 
+import duckdb
+
 from millrace.operators import automaton
 from millrace.plans import registry
 
@@ -24,6 +26,20 @@ def test_a_link_document_is_the_page_of_least_id(spark, tmp_path):
     assert got == {"https://e.com/a": ("probe-error", 200, "malformed-extracted-url", ""), "https://e.com/b": ("unreachable", 404, None, "")}
 
 
+def test_link_documents_without_text_or_id(spark, tmp_path):
+    """Pages without text, without an id, and with negative ones; a page with an id comes before one without."""
+    pages = [(3, "https://e.com/a", None), (2, "https://e.com/b", None), (None, "https://e.com/c", "x"), (None, "https://e.com/d", "x"), (9, "https://e.com/d", "x"), (-10, "https://e.com/e", "x"), (-9, "https://e.com/f", "x")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = registry.link_documents(spark, str(tmp_path)).collect()
+    view = f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'"
+    with duckdb.connect() as db:
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, db.execute(view).execute(registry.ORACLES["link_documents"]).fetchall()))
+    never = "https://never.example.com/x"
+    assert {r.source[-1]: (r.classification, r.status, r.matches) for r in got} == {
+        "a": ("linked", 200, never), "b": ("probe-error", 200, ""), "c": ("reachable-current", 200, ""), "d": ("linked", 200, never), "e": ("reachable-current", 200, ""), "f": ("linked", 200, never),
+    }
+
+
 def _python_steps(df):
     return df._jdf.queryExecution().executedPlan().toString().count("+- ArrowEvalPython")
 
